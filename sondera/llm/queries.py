@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, neardup, pii, quality, sharding
+from . import decontam, licenses, linededup, mixing, neardup, ngram_lm, pii, quality, sharding, tokens
 from .common import read_documents
 
 
@@ -26,13 +27,47 @@ def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_documents(spark, sf_dir))
 
 
+def op5_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_documents(spark, sf_dir))
+    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
 def op7_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_documents(spark, sf_dir))
 
 
+def op8_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(read_documents(spark, sf_dir))
+
+
+def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read_documents(spark, sf_dir))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_tokens(*tokens.write_tokens(read_documents(spark, sf_dir), tokenizer_path()))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_curriculum, op3_minhash, op4_divergence, op7_slots)}
+    ops = (op1_pii, op2_curriculum, op3_minhash, op4_divergence, op5_lemma, op6_automaton, op7_slots, op8_backoff, op9_winnow, op10_flat)
+    return {f.__name__: f for f in (*ops, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_curriculum": mixing.oracle()}
+    return {"op2_curriculum": mixing.oracle(), "op8_backoff": ngram_lm.oracle(), "op9_winnow": linededup.oracle()}
