@@ -14,10 +14,11 @@ def _least(neighbours: DataFrame) -> DataFrame:
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """Links every neighbour above a node to the least of the node and its neighbours. Edges are (u, v) with u > v."""
+    """Links every neighbour above a node to the least of the node and its neighbours (an edge may come more than once). Edges are
+    (u, v) with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     linked = both.where("v > u").join(_least(both), "u")
-    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
 
 
 def small_star(edges: DataFrame) -> DataFrame:

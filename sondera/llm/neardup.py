@@ -2,12 +2,12 @@
 
 A document's set is its distinct five-word shingles as 64-bit hashes. Documents with equal sets are one class, held by its
 least doc_id from there on. Each class gets minima of many universal hash functions, and the minima in bands of five are its
-buckets. Within a bucket classes are compared by stars, so that a bucket of n alike classes costs n pairs and not n * n: all
-are compared with a centre, the class that shares most buckets with others. A pair is a link if its signatures agree
-enough and then its full sets do. Components come from alternating large-star and small-star; a bucket whose classes are of one
-component is settled. Others go on: small ones by all pairs across components, large ones are first divided by the keys of
-the other bands and then get further centres, four times as many each round, until no bucket has a pair across
-components that has not been compared. So no link between components is lost, and nothing is capped.
+buckets. Within a bucket classes are first compared by a star, so that a bucket of n alike classes costs n pairs and not
+n * n: all are compared with a centre, the class that shares most buckets with others. A pair is a link if its signatures
+agree enough and then its full sets do. Components come from alternating large-star and small-star. A bucket whose classes
+are then of one component is settled. In the others classes of different components are compared with one another: in
+small ones by pairs, in large ones block by block, where only links leave a task. So no link between components is
+lost, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import arrow_map
@@ -32,12 +32,18 @@ class Minhash:
     bands: int = 48
     rows: int = 5
     #: A pair whose share of equal signature bytes is below similarity - slack is not compared further; at 240 minima
-    #: the slack is over six standard deviations.
-    slack: float = 0.18
-    #: Buckets of at most so many unresolved classes are compared pair by pair.
+    #: the slack is over five standard deviations.
+    slack: float = 0.15
+    #: Buckets of at most so many classes are compared pair by pair; larger ones by blocks of so many.
     small: int = 24
+    block: int = 256
     seed: int = 7
 
+    def least_share(self) -> float:
+        """Least share of equal signature bytes, chance agreement of bytes included."""
+        least = self.percent / 100 - self.slack
+        return least + (1 - least) / 256
+
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all rows one after another, bounds of the rows)."""
@@ -150,13 +156,12 @@ def _set_map(p: Minhash):
 
 def _alike_map(p: Minhash):
     """Pairs whose signature bytes agree often enough."""
-    least = p.percent / 100 - p.slack
 
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
             share = (a == b).mean(axis=1) if batch.num_rows else np.empty(0)
-            keep = pa.array((share - 1 / 256) / (1 - 1 / 256) >= least)
+            keep = pa.array(share >= p.least_share())
             yield pa.RecordBatch.from_arrays([column(batch, c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     return run
@@ -169,11 +174,7 @@ def _linked_map(p: Minhash):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for k, (x, y) in enumerate(zip(column(batch, "set_a"), column(batch, "set_b"))):
-                u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                at = np.searchsorted(u, v)
-                at[at == len(u)] = 0
-                inter = int((u[at] == v).sum())
-                keep[k] = 100 * inter >= p.percent * (len(u) + len(v) - inter)
+                keep[k] = similar(*(np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y)), p.percent)
             yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     return run
@@ -192,72 +193,126 @@ def _near_in_size(p: Minhash):
     return 100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")
 
 
-def _top(members: DataFrame, n: int) -> DataFrame:
-    """The n classes of each bucket (key, id, n, degree, comp) that share most buckets with others, as (key, c, n_c, comp_c)."""
-    order = Window.partitionBy("key").orderBy(F.col("degree").desc(), "id")
-    top = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
-    return top.select("key", F.col("id").alias("c"), F.col("n").alias("n_c"), F.col("comp").alias("comp_c"))
+def _pairs(left: DataFrame, right: DataFrame, p: Minhash) -> DataFrame:
+    """Distinct pairs (a, b) of left (key, id, n, comp) and right (key, c, n_c, comp_c) in one bucket, of different components
+    and near in size."""
+    both = left.join(right, "key").where("comp <> comp_c")
+    both = both.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), F.col("n").alias("n_a"), F.col("n_c").alias("n_b"))
+    return both.where(100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
 
 
-def _stars(members: DataFrame, centres: DataFrame, p: Minhash) -> DataFrame:
-    """Pairs of the centres with the members of their bucket that belong to other components, near in size."""
-    pairs = members.join(centres, "key").where("comp <> comp_c")
-    pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), F.col("n").alias("n_a"), F.col("n_c").alias("n_b"))
-    return pairs.where(100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")).select("a", "b")
+def _as_partner(members: DataFrame) -> DataFrame:
+    return members.select("key", F.col("id").alias("c"), F.col("n").alias("n_c"), F.col("comp").alias("comp_c"))
 
 
-def links(reps: DataFrame, docs: DataFrame, p: Minhash) -> DataFrame:
-    """Links (a, b) that connect the classes of each component (not all links of it). reps: one signature row per class."""
+def class_components(reps: DataFrame, docs: DataFrame, p: Minhash) -> DataFrame | None:
+    """(node, component) of the classes that have links; None if no two classes share a bucket. reps: a signature row per class."""
     bands = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialise(bands.join(shared, "key"), "bucket-members")
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
-    left = materialise(members.join(degree, "id").select("key", "id", "n", "degree"), "open-buckets")
+    left = materialise(members.join(degree, "id").select("key", "id", "n", "degree", F.col("id").alias("comp")), "buckets")
     discard(members)
+    if left.isEmpty():
+        discard(left)
+        return None
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = left.select(F.col("id").alias("doc_id")).distinct()
     sets = arrow_map(plain.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), _set_map(p), "doc_id long, members binary")
     sets = materialise(sets.dropDuplicates(["doc_id", "members"]), "shingle-sets")
-    found, round_ = None, 0
-    while True:
-        open_, found_now = _open(left, found), found
-        if open_.isEmpty():
-            discard(open_, left, sets)
-            return found
-        few = open_.where(F.col("size") <= p.small) if round_ else open_.where("size <= 2")
-        many = open_.where(F.col("size") > p.small) if round_ else open_.where("size > 2")
-        if round_ == 1:
-            # what one star has not settled is divided first, and compared in the rounds after this one
-            many, pairs = _split(many, reps), _stars(few, _top(few, p.small), p)
-        else:
-            centres = _top(many, 4 ** max(0, round_ - 1))
-            pairs = _stars(few, _top(few, p.small), p).unionByName(_stars(many, centres, p))
-            many = many.join(centres.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti")
-        new = _confirmed(pairs.distinct(), reps, sets, p)
-        found = materialise(new if found is None else found.unionByName(new).distinct(), "links")
-        after = materialise(many.select("key", "id", "n", "degree"), "open-buckets")
-        discard(open_, left, *([found_now] if found_now is not None else []))
-        left, round_ = after, round_ + 1
-
-
-def _open(left: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The buckets that still hold more than one component, as (key, id, n, degree, comp, size)."""
-    if found is None:
-        left = left.withColumn("comp", F.col("id"))
-    else:
-        comp = connected_components(found)
-        left = left.join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    spread = left.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "size")
-    return materialise(left.join(spread, "key"), "open-buckets")
+    top = left.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "n")).alias("m"))
+    centres = top.select("key", (-F.col("m.minus")).alias("c"), F.col("m.n").alias("n_c"), (-F.col("m.minus")).alias("comp_c"))
+    found = materialise(_confirmed(_pairs(left, centres, p), reps, sets, p), "links")
+    comp = materialise(connected_components(found), "components")
+    # what the stars have not settled
+    now = left.drop("comp").join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    spread = now.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    open_ = materialise(now.join(spread.where("lo < hi AND size > 2").select("key", "size", "weight"), "key"), "open-buckets")
+    few = open_.where(F.col("size") <= p.small)
+    rest = _confirmed(_pairs(few, _as_partner(few), p), reps, sets, p)
+    rest = rest.unionByName(_in_blocks(open_.where(F.col("size") > p.small), reps, sets, p))
+    stars = comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    more = materialise(rest, "links")
+    if not more.isEmpty():
+        comp = materialise(connected_components(stars.unionByName(more)), "components")
+    discard(found, left, open_, sets, more)
+    return comp
+
+
+def _in_blocks(open_: DataFrame, reps: DataFrame, sets: DataFrame, p: Minhash) -> DataFrame:
+    """Links across components in large buckets. A bucket's classes are dealt into blocks and each two blocks are one task,
+    which compares signatures without giving pairs out. First only the classes come out that have a partner to compare in
+    full; then these come together again with their sets, and links come out, one for each two components that they join."""
+    blocks = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("weight") / (p.block * 2000))).cast("long")
+    dealt = open_.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "comp")
+    marks = reps.select(F.col("doc_id").alias("id"), "sig", "keys")
+    group = ["key", "lo", "hi"]
+    schema = "key long, lo long, hi long, own long, id long, n long, comp long"
+    busy = materialise(dealt.join(marks, "id").groupBy(*group).applyInArrow(_busy(p), schema), "busy")
+    full = busy.join(marks, "id").join(sets.select(F.col("doc_id").alias("id"), "members"), "id")
+    return full.groupBy(*group).applyInArrow(_links_in_block(p), "a long, b long").distinct()
+
+
+def _block_pairs(t: pa.Table, p: Minhash) -> list[tuple[int, int]]:
+    """Row pairs of a block task whose signatures agree enough, most alike first: of different components, near in size, of
+    the two blocks, and in the first of the buckets that the two classes share."""
+    get = lambda c: t.column(c).to_numpy()
+    own, n, comp, key = get("own"), get("n"), get("comp"), t.column("key")[0].as_py()
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    keys = np.array(t.column("keys").to_pylist(), np.int64).reshape(t.num_rows, -1)
+    lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+    first = np.flatnonzero(own == lo)
+    second = np.flatnonzero(own == hi)
+    out = []
+    for a in first:
+        b = second[second > a] if lo == hi else second
+        b = b[(comp[b] != comp[a]) & (100 * np.minimum(n[b], n[a]) >= p.percent * np.maximum(n[b], n[a]))]
+        share = (sig[b] == sig[a]).mean(axis=1)
+        b, share = b[share >= p.least_share()], share[share >= p.least_share()]
+        same = keys[b] == keys[a]
+        here = keys[a][np.argmax(same, axis=1)] == key
+        out += [(-s, int(a), int(x)) for s, x in zip(share[here], b[here])]
+    return [(a, b) for _, a, b in sorted(out)]
+
+
+def _busy(p: Minhash):
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted({x for pair in _block_pairs(t, p) for x in pair})
+        return t.select(["key", "lo", "hi", "own", "id", "n", "comp"]).take(pa.array(rows, pa.int64()))
+
+    return run
+
 
+def similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets, neither empty."""
+    at = np.searchsorted(u, v)
+    at[at == len(u)] = 0
+    inter = int((u[at] == v).sum())
+    return 100 * inter >= percent * (len(u) + len(v) - inter)
 
-def _split(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Large buckets divided by the keys of the other bands: classes similar enough share many bands besides this one, so each
-    pair still meets (with odds like those of the bands themselves), while classes that met by a shared passage part."""
-    keys = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key2"))
-    finer = members.join(keys, "id").where("key <> key2").withColumn("key", F.xxhash64("key", "key2")).drop("key2", "size")
-    size = finer.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "size")
-    return finer.join(size, "key")
+
+def _links_in_block(p: Minhash):
+    def run(t: pa.Table) -> pa.Table:
+        comp, ids = t.column("comp").to_pylist(), t.column("id").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
+        root = {c: c for c in comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for a, b in _block_pairs(t, p):
+            x, y = find(comp[a]), find(comp[b])
+            if x != y and similar(sets[a], sets[b], p.percent):
+                root[max(x, y)] = min(x, y)
+                out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, p: Minhash = Minhash()) -> DataFrame:
@@ -276,18 +331,16 @@ def near_duplicates(docs: DataFrame, p: Minhash = Minhash()) -> DataFrame:
     reps = materialise(reps, "class-signatures")
     slim = materialise(sigs.select("doc_id", "n_shingles", "f1", "f2"), "sizes")
     discard(sigs)
-    found = links(reps, docs, p)
+    comp = class_components(reps, docs, p)
     discard(reps)
-    # members of a class and documents that share a doc_id are links too, each a star already
-    own = slim.join(classes, ["n_shingles", "f1", "f2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    twice = own.groupBy("b").count().where("count > 1").limit(1)
-    if found is None:
-        found = spark.createDataFrame([], "a long, b long")
-    if not twice.isEmpty() or _ids_in_two_classes(slim):
-        comp = connected_components(found.unionByName(own))
+    if comp is None:
+        comp = spark.createDataFrame([], "node long, component long")
+    if _ids_in_two_classes(slim):
+        # then a doc_id joins its classes, and members of a class are links too, each a star already
+        own = slim.join(classes, ["n_shingles", "f1", "f2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        comp = connected_components(comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(own))
         joined = slim.join(comp, slim["doc_id"] == comp["node"], "left")
     else:
-        comp = connected_components(found)
         named = classes.join(comp, classes["rep"] == comp["node"], "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component"))
         joined = slim.join(named, ["n_shingles", "f1", "f2"], "left")
     component = F.coalesce("component", "doc_id")
