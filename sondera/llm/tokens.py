@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 from urllib.parse import urlparse
@@ -26,8 +27,8 @@ from ..session import arrow_map
 from .common import column, materialise, new_folder
 
 END_ID = 1
-#: Entries that a worker's caches of encoded words may have before they are emptied.
-CACHE_ENTRIES = 250_000
+#: Entries that a worker's caches of encoded words and pieces may have before they are emptied.
+WORD_ENTRIES, PIECE_ENTRIES = 600_000, 400_000
 
 
 # ---------------------------------------------------------------- files
@@ -76,65 +77,73 @@ class Encoder:
     """Encodes texts as the tokenizer does, remembering the ids of words.
 
     No pattern of the tokenizer joins what blanks or line feeds part, so a text's ids are those of its pieces between
-    them, one after another; that is checked when the encoder is made. Letters followed by marks are two words to the
-    tokenizer, so that "word", "Word" and "word," share one entry.
+    them, one after another. A piece of Latin letters and marks after them is two words to the tokenizer, so that "word",
+    "Word" and "word," share one entry, and such words may go to its BPE model without normalising. Both are tried on samples
+    when the encoder is made, and only used where the ids are those of the tokenizer as a whole.
     """
 
-    # letters below the first combining or script-specific ones: composed already, and untouched by the marks after them
-    _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
+    # letters up to U+00FF are composed, and lower-case to letters up to U+00FF; the apostrophe, < and > are no marks here,
+    # since contractions and special tokens hold them
+    _plain = re.compile(r'([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|()"-]*)')
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         most = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.dtype = "<u2" if max(most, end_id) < 1 << 16 else "<u4"
+        self.code = "H" if self.dtype == "<u2" else "I"
         self.end = np.array([end_id], self.dtype).tobytes()
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-        probe = "Ab, c\nd.\n\n e'S  x. (Y)"
-        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        self.by_piece = whole == [i for p in re.split("[ \n]", probe) for i in self.tokenizer.encode(p, add_special_tokens=False).ids]
-        one = [i for w in ("ab", ",") for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        self.by_word = self.by_piece and one == self.tokenizer.encode("Ab,", add_special_tokens=False).ids
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.pieces) + len(missing) > CACHE_ENTRIES:
-            self.pieces = {"": b""}
-        if len(self.words) > CACHE_ENTRIES:
-            self.words = {}
-        if not self.by_word:
-            self.pieces.update(zip(missing, self._raw(missing)))
-            return
-        parts = {}
-        for p in missing:
-            m = self._plain.fullmatch(p)
-            parts[p] = ((m[1].lower() if m[1].isascii() else m[1]), m[2]) if m else (p, "")
-        words = list({w for pair in parts.values() for w in pair if w} - self.words.keys())
-        self.words.update(zip(words, self._raw(words)))
-        self.words[""] = b""
-        for p, (a, b) in parts.items():
-            self.pieces[p] = self.words[a] + self.words[b]
+        letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100)) if chr(c).isalpha()]
+        samples = [*letters, *["".join(letters[k : k + 7]) for k in range(0, len(letters), 3)], *'.,;:!?*#$%&|()"-', '."', ",-", "...", "***", "$$$"]
+        one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.by_piece = one("\n ".join(samples)) == [i for x in samples for i in one(x)]
+        self.by_word = self.by_piece and all(one(a.upper() + b) == one(a) + one(b) for a in ("ab", "z", "été", "über") for b in samples if not b[0].isalpha())
+        self.by_model = self.by_word and all(self._model(x) == one(x) for x in samples)
+        self.pieces = _Pieces(self)
+
+    def _model(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.as_bytes))]
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= WORD_ENTRIES:
+                self.words.clear()
+            ids = array(self.code, self._model(word) if self.by_model else self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            self.words[word] = ids
+        return ids
+
+    def piece(self, piece: str) -> bytes:
+        m = self._plain.fullmatch(piece) if self.by_word else None
+        if m:
+            return self._word(m[1].lower()) + (self._word(m[2]) if m[2] else b"")
+        return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes() if piece else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
         if not self.by_piece:
-            return [raw + self.end for raw in self._raw(texts)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        seen: set[str] = set()
-        for s in split:
-            seen.update(s)
-        missing = [p for p in seen if p not in self.pieces]
-        if missing:
-            if len(self.pieces) + len(missing) > CACHE_ENTRIES:
-                missing = list(seen)
-            self._learn(missing)
+            return [array(self.code, e.ids).tobytes() + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.pieces) >= PIECE_ENTRIES:
+            self.pieces.clear()
         get = self.pieces.__getitem__
-        return [b"".join(map(get, s)) + self.end for s in split]
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) + self.end for t in texts]
+
+
+class _Pieces(dict):
+    """Ids of pieces, worked out when first asked for."""
+
+    def __init__(self, owner: Encoder):
+        self.owner = owner
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.owner.piece(piece)
+        return ids
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
