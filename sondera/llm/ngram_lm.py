@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import arrow_map, ship
+from ..session import arrow_map
 from .common import gram_hashes, row_of, text_buffer, word_hashes, word_runs
 
 BITS = 56
@@ -29,23 +29,42 @@ class Backoff:
     order: int = 3
     alpha: float = 0.4
     #: Text bytes of a chunk, about; the number of chunks follows the input.
-    chunk: int = 8 << 20
+    chunk: int = 5 << 20
 
 
 def _column(table, name: str) -> pa.Array:
     return table.column(name).combine_chunks() if isinstance(table, pa.Table) else table.column(name)
 
 
-def places(buf: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """(row of each word, index of each row's first word, for n = 1.. the (last word, key) of each n-gram)."""
-    words, first = word_hashes(buf, offs)
-    row = row_of(first)
-    out = []
-    for n in range(1, order + 1):
-        key = gram_hashes(words, n) >> np.uint64(64 - BITS)
-        at = np.flatnonzero(row[n - 1 :] == row[: len(row) - n + 1]) if len(row) >= n else np.empty(0, np.int64)
-        out.append((at + n - 1, key[at]))
-    return row, first, out
+def places(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(last word, key) of each n-gram that does not cross rows, in order."""
+    if len(row) < n:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    at = np.flatnonzero(row[n - 1 :] == row[: len(row) - n + 1])
+    return at + n - 1, (gram_hashes(words, n) >> np.uint64(64 - BITS))[at]
+
+
+def _pack_map(batches):
+    """Rows of one batch and chunk as one compressed Arrow stream, which is less to shuffle and to sort."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        chunk = batch.column(0).to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(chunk[order]) != 0, [True]])) if len(chunk) else np.zeros(1, np.int64)
+        numbers, packs = [], []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            sink = pa.BufferOutputStream()
+            part = batch.take(pa.array(order[a:b])).select([1, 2])
+            with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+                out.write_batch(part)
+            numbers.append(int(chunk[order[a]]))
+            packs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(packs, pa.binary())], ["chunk", "pack"])
+
+
+def _unpacked_rows(table: pa.Table) -> pa.Table:
+    """(doc_id, text) of a chunk. Both passes see the same rows; their order does not matter."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in _column(table, "pack")])
 
 
 def packed(values: np.ndarray) -> tuple[np.ndarray, int]:
@@ -67,20 +86,21 @@ RESPONSE = "chunk long, n long, part long, size long, sums binary"
 
 def _request(p: Backoff, bits: int):
     def run(table: pa.Table) -> pa.Table:
-        buf, offs = text_buffer(_column(table, "text"))
         chunk = _column(table, "chunk")[0].as_py()
+        words, first = word_hashes(*text_buffer(_column(_unpacked_rows(table), "text")))
+        row = row_of(first)
         rows = []
-        for n, (_, keys) in enumerate(places(buf, offs, p.order)[2], 1):
-            distinct, counts = np.unique(keys, return_counts=True)
+        for n in range(1, p.order + 1):
+            distinct, counts = np.unique(places(words, row, n)[1], return_counts=True)
             part = (distinct >> np.uint64(BITS - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
             for a, b in zip(cuts[:-1], cuts[1:]):
                 steps = distinct[a:b].copy()
                 steps[1:] -= distinct[a : b - 1]
                 steps[0] -= np.uint64(int(part[a]) << (BITS - bits))
-                rows.append({"part": int(part[a]), "chunk": chunk, "n": n, "size": int(b - a), "keys": packed(steps)[0].tobytes(), "counts": packed(counts[a:b])[0].tobytes()})
-        schema = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-        return pa.Table.from_pylist(rows, schema=schema)
+                rows.append((int(part[a]), chunk, n, int(b - a), packed(steps)[0].tobytes(), packed(counts[a:b])[0].tobytes()))
+        kinds = (("part", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()))
+        return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
 
     return run
 
@@ -111,24 +131,30 @@ def _respond(bits: int):
 
 
 def _score(p: Backoff, corpus_words: int):
-    def run(docs: pa.Table, responses: pa.Table) -> pa.Table:
-        buf, offs = text_buffer(_column(docs, "text"))
-        row, first, grams = places(buf, offs, p.order)
+    def run(packs: pa.Table, responses: pa.Table) -> pa.Table:
+        docs = _unpacked_rows(packs)
+        words_, first = word_hashes(*text_buffer(_column(docs, "text")))
+        row = row_of(first)
         words = len(row)
         answers = sorted(zip(*(_column(responses, c).to_pylist() for c in ("n", "part", "size", "sums"))))
         # for each word: counts in the other documents of the n-gram that it ends, 0 where there is none
         counts = []
-        for n, (last, keys) in enumerate(grams, 1):
+        for n in range(1, p.order + 1):
+            last, keys = places(words_, row, n)
             distinct, at = np.unique(keys, return_inverse=True)
             mine = [unpacked(s, k) for m, _, k, s in answers if m == n]
             total = np.concatenate(mine).astype(np.int64) if mine else np.empty(0, np.int64)
             if len(total) != len(distinct):
                 raise RuntimeError("responses do not fit the chunk: its rows changed between two reads")
             pair = row[last] * max(1, len(distinct)) + at
-            _, own_at, own = np.unique(pair, return_inverse=True, return_counts=True)
             c = np.zeros(words, np.int64)
-            c[last] = total[at] - own[own_at]
+            c[last] = total[at]
+            del keys, distinct, total, at
+            _, own_at, own = np.unique(pair, return_inverse=True, return_counts=True)
+            c[last] -= own[own_at]
+            del pair, own_at, own
             counts.append(c)
+        del words_, answers
         length = np.diff(first)
         place = np.arange(words) - np.repeat(first[:-1], length)
         others = corpus_words - length[row] if words else np.empty(0, np.int64)
@@ -181,8 +207,8 @@ def score(docs: DataFrame, p: Backoff = Backoff()) -> DataFrame:
     size = arrow_map(rows.select("text"), _size_map, "bytes long, words long").agg(F.sum("bytes").alias("b"), F.sum("words").alias("w")).first()
     chunks = max(1, -(-(size.b or 0) // p.chunk))
     bits = max(4, int(chunks).bit_length())
-    ship(docs.sparkSession)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")
+    dealt = arrow_map(rows.select(chunk.alias("chunk"), "doc_id", "text"), _pack_map, "chunk long, pack binary")
     requests = dealt.groupBy("chunk").applyInArrow(_request(p, bits), REQUEST)
     responses = requests.groupBy("part").applyInArrow(_respond(bits), RESPONSE)
     types = "doc_id long, n_words long, log_score double, " + ", ".join(f"n_order{n} long" for n in range(p.order + 1))
