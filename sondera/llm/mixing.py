@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_hex, lookup_join, materialise, words
+from .common import WORD, key_hex, lookup_join, materialise, words
 
 #: Base weights by a source's rank in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -121,11 +121,12 @@ def digest(planned: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
     """The documents as the mix trains on them: each as often as it occurs, whole, in the columns of docs; documents that
-    the mix takes nothing of go. Rows of one doc_id count as one document of that source order: their occurrences
-    are those of the first of them."""
+    the mix takes nothing of go. Rows of one doc_id and source count as one document here: they occur as often as that of
+    them which occurs most."""
     planned = plan(docs, weights, most, seed)
-    n = planned.groupBy("doc_id").agg(F.max(F.size("occurrences")).alias("__times")).where("__times > 0").withColumnRenamed("doc_id", "__mix_id")
-    out = docs.join(n.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")))
+    n = planned.groupBy("doc_id", "source").agg(F.max(F.size("occurrences")).alias("__times")).where("__times > 0").toDF("__mix_id", "__mix_source", "__times")
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")) & docs["source"].cast("string").eqNullSafe(F.col("__mix_source"))
+    out = docs.where(F.coalesce(docs["text"].rlike(WORD), F.lit(False))).join(n.hint("shuffle_hash"), on)
     return out.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
 
 
