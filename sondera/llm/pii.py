@@ -27,7 +27,7 @@ ROUNDS = 8
 
 _NOT_BEFORE = r"(?<![\dA-Za-z])(?<!\d[./-])"
 CARD = _NOT_BEFORE + r"(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\dA-Za-z]|[./-]\d)"
-PHONE = r"(?<![\dA-Za-z+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+PHONE = r"(?<![\dA-Za-z+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{4}|(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4})(?!\d|\.\d)"
 SSN = _NOT_BEFORE + r"\d{3}-\d{2}-\d{4}(?![\dA-Za-z]|[./-]\d)"
 IPV4 = _NOT_BEFORE + r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\dA-Za-z]|[./-]\d)"
 DATE = _NOT_BEFORE + r"(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)\d\d)(?![\dA-Za-z]|[./-]\d)"

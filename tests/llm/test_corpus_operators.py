@@ -253,3 +253,11 @@ def test_stages_keep_the_columns_of_edge_documents(spark, edge):
             assert out.columns == table.columns
             out.count()
         corpus_pipeline.STAGES[-1][1](spark, table, "/root/testdata/sf0.001").count()
+
+
+def test_a_long_lookup_table_is_joined_with_salts(edge, monkeypatch):
+    from sondera.llm import common
+
+    want = sorted(map(str, mixing.plan(edge).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, mixing.plan(edge).collect())) == want

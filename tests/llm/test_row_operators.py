@@ -118,6 +118,13 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(docs, "other").where("doc_id = 2").first().text != got[2].text
 
 
+def test_values_side_by_side_are_all_replaced(spark):
+    text = "+1 (826) 555-4081 190.137.223.204 4111111111111111 +1 (826) 555-4081 +44 20 7946 0958 10.1.2.3 a@b.org 4111111111111111 219-09-9999 2024-02-29"
+    got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert got.n_replaced == 10
+    assert not any(v in got.text for v in ("555-4081", "190.137.223.204", "4111111111111111", "7946 0958", "10.1.2.3", "219-09-9999", "2024-02-29"))
+
+
 def test_feistel_is_a_permutation(spark):
     rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"), F.col("id"))
     digits = [r.x for r in rows.select(pii.feistel_digits(F.col("d"), "k", "t").alias("x")).collect()]
