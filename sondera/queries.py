@@ -27,7 +27,8 @@ def _patches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _roles(spark: SparkSession, d: str) -> DataFrame:
-    return splits.full_split(_patches(spark, d))
+    """Patches with roles, kept since a query reads them several times (spilled to disk where memory ends)."""
+    return splits.full_split(_patches(spark, d)).persist()
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +40,7 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _search(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(queries, bank, candidates)."""
     q, b = _sides(spark, d)
-    return q, b, search.nearest(q.select("vec_id", "embedding"), b.select("vec_id", "embedding"), k)
+    return q, b, search.nearest(q.select("vec_id", "embedding"), b.select("vec_id", "embedding"), k).persist()
 
 
 def _with_item(q: DataFrame, found: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def _topk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     q, b, found = _search(spark, d, K)
     weighted = scoring.softmax_weights(found)
     dist = scoring.reconstruction_distance(weighted, b.select("vec_id", "embedding"), q.select("vec_id", "embedding"))
-    return q, b, weighted, dist
+    return q, b, weighted, dist.persist()
 
 
 def _image_scores(q: DataFrame, dist: DataFrame, value: str) -> DataFrame:
@@ -68,7 +69,7 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     q, _, _, dist = _topk(spark, d)
     s = _image_scores(q, dist, "topk_distance")
     # rounded, so that engines that add in another order rank and cut alike
-    return s.withColumn("score", F.round("score", 6))
+    return s.withColumn("score", F.round("score", 6)).persist()
 
 
 def _threshold(scores: DataFrame) -> DataFrame:
@@ -332,7 +333,7 @@ def _ablation(spark: SparkSession, d: str) -> DataFrame:
     variants = {"topk": F.col("base"), "topk_boundary": F.col("base") * F.col("w"), "family_cap_topk": F.col("diverse"), "family_cap_topk_boundary": F.col("diverse") * F.col("w")}
     long_ = rows.select("image_id", "role", "y", "patch_id", F.explode(F.create_map(*[x for k, v in variants.items() for x in (F.lit(k), v)])).alias("variant", "value"))
     s = scoring.top_fraction_mean(long_, ["variant", "image_id", "role", "y"], "value", tie="patch_id")
-    return s.withColumn("score", F.round("score", 6))
+    return s.withColumn("score", F.round("score", 6)).persist()
 
 
 @query
@@ -366,7 +367,7 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 def _pooled(spark: SparkSession, d: str) -> DataFrame:
     pooled = diagnostics.mean_pool(_patches(spark, d).select("image_id", "embedding"), "image_id")
-    return _samples(spark, d).join(pooled, F.col("image") == F.col("image_id")).drop("image_id")
+    return _samples(spark, d).join(pooled, F.col("image") == F.col("image_id")).drop("image_id").persist()
 
 
 @query
