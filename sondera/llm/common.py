@@ -3,7 +3,9 @@ vectorised kernels over the byte buffers of Arrow text columns."""
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -31,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     if path is None:
         path = spark.sparkContext.getCheckpointDir()
     if path is None:
-        path = "file://" + tempfile.mkdtemp(prefix="sondera-")
+        own = tempfile.mkdtemp(prefix="sondera-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = "file://" + own
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 

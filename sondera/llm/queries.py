@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_curriculum": mixing.oracle(), "op8_backoff": ngram_lm.oracle(), "op9_winnow": linededup.oracle()}
+    return {"op2_curriculum": mixing.oracle(), "op3_minhash": neardup.oracle(), "op8_backoff": ngram_lm.oracle(), "op9_winnow": linededup.oracle()}

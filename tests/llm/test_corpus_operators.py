@@ -56,8 +56,9 @@ def held_against_plain(docs, p=neardup.Minhash()):
         assert r.kept == (r.doc_id is None or r.doc_id == r.component_id)
 
 
-def test_near_duplicates(documents):
+def test_near_duplicates(documents, db):
     held_against_plain(documents)
+    same(neardup.near_duplicates(documents).toPandas(), db.sql(neardup.oracle()).df())
     kept = neardup.keep_one(documents)
     assert kept.columns == documents.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in neardup.near_duplicates(documents).where("kept").collect()}
