@@ -67,17 +67,30 @@ def _unpacked_rows(table: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in _column(table, "pack")])
 
 
-def packed(values: np.ndarray) -> tuple[np.ndarray, int]:
-    """(bytes, width): unsigned integers in as few whole bytes each as the largest needs, little-endian."""
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned integers as planes of bytes, low to high, each compressed where that helps: the low planes of hash differences
+    are noise, but their high plane and those of counts are not."""
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width], width
-
-
-def unpacked(raw, n: int) -> np.ndarray:
-    data = np.frombuffer(raw, np.uint8).reshape(n, -1)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : data.shape[1]] = data
-    return out.view("<u8")[:, 0]
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
+    out = [bytes([width])]
+    for k in range(width):
+        raw = planes[k].tobytes()
+        small = pa.compress(raw, codec="zstd", asbytes=True)
+        out.append((len(small) if len(small) < len(raw) else 0).to_bytes(4, "little"))
+        out.append(small if len(small) < len(raw) else raw)
+    return b"".join(out)
+
+
+def unpacked(blob, n: int) -> np.ndarray:
+    data = memoryview(blob)
+    planes, at = np.zeros((8, n), np.uint8), 1
+    for k in range(data[0]):
+        size = int.from_bytes(data[at : at + 4], "little")
+        at += 4
+        raw = pa.decompress(data[at : at + size], decompressed_size=n, codec="zstd") if size else data[at : at + n]
+        planes[k] = np.frombuffer(raw, np.uint8)
+        at += size or n
+    return np.ascontiguousarray(planes.T).view("<u8")[:, 0]
 
 
 REQUEST = "part long, chunk long, n long, size long, keys binary, counts binary"
@@ -98,7 +111,7 @@ def _request(p: Backoff, bits: int):
                 steps = distinct[a:b].copy()
                 steps[1:] -= distinct[a : b - 1]
                 steps[0] -= np.uint64(int(part[a]) << (BITS - bits))
-                rows.append((int(part[a]), chunk, n, int(b - a), packed(steps)[0].tobytes(), packed(counts[a:b])[0].tobytes()))
+                rows.append((int(part[a]), chunk, n, int(b - a), packed(steps), packed(counts[a:b])))
         kinds = (("part", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()))
         return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
 
@@ -123,7 +136,7 @@ def _respond(bits: int):
             back[order] = total[np.cumsum(new) - 1]
             at = 0
             for k in mine:
-                sums[k] = packed(back[at : at + sizes[k]])[0].tobytes()
+                sums[k] = packed(back[at : at + sizes[k]])
                 at += sizes[k]
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "n": pa.array(ns, pa.int64()), "part": pa.array(np.full(len(ns), part), pa.int64()), "size": pa.array(sizes, pa.int64()), "sums": pa.array(sums, pa.binary())})
 
