@@ -36,50 +36,45 @@ SECRET = r"(?<=(?:token|TOKEN|key|KEY|secret|SECRET|password|PASSWORD) = \")[0-9
 ANY = "|".join([SECRET, EMAIL, IPV4, DATE, SSN, CARD, PHONE])
 
 
-def _prf(key: str, kind: str, round_: int, half: Column) -> Column:
+def _prf(key: str, kind: str, round_: Column, half: Column) -> Column:
     """48 bits of a keyed hash of half a value."""
-    return hex_int(F.substring(F.sha2(F.concat(F.lit(f"{key}|{kind}|{round_}|"), half), 256), 1, 12))
+    return hex_int(F.substring(F.sha2(F.concat(F.lit(f"{key}|{kind}|"), round_.cast("string"), F.lit("|"), half), 256), 1, 12))
 
 
-def feistel_number(value: Column, low: Column, high: Column, key: str, kind: str) -> Column:
-    """Keyed permutation of 0 <= value < low * high (longs): the halves value / low and value % low add keyed hashes of one
-    another in turn, each modulo its own size."""
+def _rounds(a: Column, b: Column, changed: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """The struct (a, b) after the rounds: a changes in even and b in odd ones, to changed(round, ours, other, even)."""
 
-    def step(r: int) -> Callable[[Column], Column]:
-        if r % 2:
-            return lambda p: F.struct(p["a"].alias("a"), F.pmod(p["b"] + _prf(key, kind, r, p["a"].cast("string")), low).alias("b"))
-        return lambda p: F.struct(F.pmod(p["a"] + _prf(key, kind, r, p["b"].cast("string")), high).alias("a"), p["b"].alias("b"))
+    def step(p: Column, r: Column) -> Column:
+        even = r % 2 == 0
+        new = changed(r, F.when(even, p["a"]).otherwise(p["b"]), F.when(even, p["b"]).otherwise(p["a"]), even)
+        return F.struct(F.when(even, new).otherwise(p["a"]).alias("a"), F.when(even, p["b"]).otherwise(new).alias("b"))
 
-    done = _folded(F.struct(F.floor(value / low).cast("long").alias("a"), F.pmod(value, low).alias("b")), [step(r) for r in range(ROUNDS)])
-    return done["a"] * low + done["b"]
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.alias("a"), b.alias("b")), step)
 
 
-def feistel_digits(digits: Column, key: str, kind: str) -> Column:
-    """Keyed permutation of the decimal strings of one length (2 to 30 digits)."""
-    n = F.length(digits)
-    half = F.floor(n / 2).cast("int")
-    pair = F.struct(F.substr(digits, F.lit(1), half).alias("a"), F.substr(digits, half + 1).alias("b"))
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value being worked out once."""
+    return F.transform(F.array(value), then)[0]
 
-    def step(r: int) -> Callable[[Column], Column]:
-        ours, other = ("a", "b") if r % 2 == 0 else ("b", "a")
 
-        def run(p: Column) -> Column:
-            size = F.pow(F.lit(10.0), F.length(p[ours])).cast("long")
-            new = F.lpad(F.pmod(p[ours].cast("long") + _prf(key, kind, r, F.concat(p[other], F.lit("#"), n.cast("string"))), size).cast("string"), F.length(p[ours]), "0")
-            return F.struct(*[(new if x == ours else p[x]).alias(x) for x in "ab"])
+def feistel_number(value: Column, low: Column, high: Column, key: str, kind: str) -> Column:
+    """Keyed permutation of 0 <= value < low * high (longs): the halves value / low and value % low add keyed hashes of one
+    another in turn, each modulo its own size."""
+    moved = lambda r, ours, other, even: F.pmod(ours + _prf(key, kind, r, other.cast("string")), F.when(even, high).otherwise(low))
+    return _let(_rounds(F.floor(value / low).cast("long"), F.pmod(value, low), moved), lambda p: p["a"] * low + p["b"])
 
-        return run
 
-    done = _folded(pair, [step(r) for r in range(ROUNDS)])
-    return F.when(n < 2, digits).otherwise(F.concat(done["a"], done["b"]))
+def feistel_digits(digits: Column, key: str, kind: str) -> Column:
+    """Keyed permutation of the decimal strings of one length (2 to 30 digits; a single digit stays)."""
+    n = F.length(digits)
+    half = F.floor(n / 2).cast("int")
 
+    def moved(r: Column, ours: Column, other: Column, even: Column) -> Column:
+        size = F.pow(F.lit(10.0), F.length(ours)).cast("long")
+        return F.lpad(F.pmod(ours.cast("long") + _prf(key, kind, r, F.concat(other, F.lit("#"), n.cast("string"))), size).cast("string"), F.length(ours), "0")
 
-def _folded(first: Column, steps: list[Callable[[Column], Column]]) -> Column:
-    """steps applied one after another, each value being worked out once (nested expressions would repeat it)."""
-    state = F.array(first)
-    for s in steps:
-        state = F.transform(state, s)
-    return state[0]
+    done = _rounds(F.substr(digits, F.lit(1), half), F.substr(digits, half + 1), moved)
+    return F.when(n < 2, digits).otherwise(_let(done, lambda p: F.concat(p["a"], p["b"])))
 
 
 def _digits(x: Column) -> Column:
@@ -185,22 +180,15 @@ def _moved_hex(c: Column, shift: Column) -> Column:
 def feistel_text(x: Column, key: str, kind: str, moved: Callable[[Column, Column], Column]) -> Column:
     """Keyed permutation of strings of one length: the characters of each half move on by keyed hashes of the other half."""
 
-    def shifted(part: Column, r: int, other: Column) -> Column:
-        chars = F.filter(F.split(part, ""), lambda c: c != "")
-        pad = F.sha2(F.concat(F.lit(f"{key}|{kind}|{r}|"), other), 256)
+    def changed(r: Column, ours: Column, other: Column, even: Column) -> Column:
+        chars = F.filter(F.split(ours, ""), lambda c: c != "")
+        pad = F.sha2(F.concat(F.lit(f"{key}|{kind}|"), r.cast("string"), F.lit("|"), other), 256)
         # 61 windows of 4 hex digits, then the same again: each place has a shift of its own
-        shift = lambda i: F.conv(F.substr(pad, F.pmod(i, F.lit(61)) + 1, F.lit(4)), 16, 10).cast("int") + i
-        return F.array_join(F.transform(chars, lambda c, i: moved(c, shift(i))), "")
-
-    def step(r: int) -> Callable[[Column], Column]:
-        if r % 2:
-            return lambda p: F.struct(p["a"].alias("a"), shifted(p["b"], r, p["a"]).alias("b"))
-        return lambda p: F.struct(shifted(p["a"], r, p["b"]).alias("a"), p["b"].alias("b"))
+        shift = lambda h, i: F.conv(F.substr(h, F.pmod(i, F.lit(61)) + 1, F.lit(4)), 16, 10).cast("int") + i
+        return _let(pad, lambda h: F.array_join(F.transform(chars, lambda c, i: moved(c, shift(h, i))), ""))
 
     half = F.floor(F.length(x) / 2).cast("int")
-    pair = F.struct(F.substr(x, F.lit(1), half).alias("a"), F.substr(x, half + 1).alias("b"))
-    done = _folded(pair, [step(r) for r in range(ROUNDS)])
-    return F.concat(done["a"], done["b"])
+    return _let(_rounds(F.substr(x, F.lit(1), half), F.substr(x, half + 1), changed), lambda p: F.concat(p["a"], p["b"]))
 
 
 def email(x: Column, key: str) -> Column:
