@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +23,26 @@ def hashed_rank(df: DataFrame, key: str, tie: str, out: str, partition: tuple[st
     up = Window.partitionBy(*partition).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(*[F.col(c).alias(f"__p{k}") for k, c in enumerate(by)], F.coalesce(F.sum("__n").over(up), F.lit(0)).alias("__base"))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(key, tie)) - 1
-    on = None
-    for k, c in enumerate(by):
-        one = F.col(c).eqNullSafe(F.col(f"__p{k}"))
-        on = one if on is None else on & one
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__p{k}")) for k, c in enumerate(by)])
     joined = rows.withColumn("__place", place).join(base, on)
     return joined.withColumn(out, F.col("__base") + F.col("__place")).drop("__bucket", "__place", "__base", *[f"__p{k}" for k in range(len(by))])
 
 
+def ordered_rank(df: DataFrame, partition: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds the 0-based rank of each row in order, within partitions that may be few and large: rows are range-partitioned,
+    counted per range, and ranked within it. The ranges are kept, so that counts and ranks see the same ones (a lost part is
+    worked out again from the same shuffle). order must not have ties that matter."""
+    ranged = df.repartitionByRange(*partition, *order).withColumn("__range", F.spark_partition_id()).persist()
+    by = [*partition, "__range"]
+    counts = ranged.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    up = Window.partitionBy(*partition).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(*[F.col(c).alias(f"__p{k}") for k, c in enumerate(by)], F.coalesce(F.sum("__n").over(up), F.lit(0)).alias("__base"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__p{k}")) for k, c in enumerate(by)])
+    joined = ranged.withColumn("__place", place).join(base, on)
+    return joined.withColumn(out, F.col("__base") + F.col("__place")).drop("__range", "__place", "__base", *[f"__p{k}" for k in range(len(by))])
+
+
 def even_places(n: Column, count: int) -> Column:
     """Array of `count` evenly spaced 0-based places among n, first and last included; all of them if n <= count."""
     if count == 1:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import even_places
+from ..functions.ordering import even_places, ordered_rank
 
 
 def even_sample(rows: DataFrame, group: list[str], order: list[str], count: int) -> DataFrame:
@@ -31,14 +31,8 @@ def dedup_last(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def round_robin(rows: DataFrame, order: str, shards: int) -> DataFrame:
-    """Adds shard: the row's place in order, modulo the number of shards. Places are counted in two steps: per range partition
-    and then within it."""
-    parts = rows.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    parts = parts.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1)
-    sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    up = Window.partitionBy().orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("__p", F.coalesce(F.sum("__n").over(up), F.lit(0)).alias("__base"))
-    return parts.join(F.broadcast(base), "__p").withColumn("shard", F.pmod(F.col("__base") + F.col("__k"), F.lit(shards)).cast("int")).drop("__p", "__k", "__base")
+    """Adds shard: the row's place in order, modulo the number of shards."""
+    return ordered_rank(rows, [], [order], "__rank").withColumn("shard", F.pmod(F.col("__rank"), F.lit(shards)).cast("int")).drop("__rank")
 
 
 def batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:

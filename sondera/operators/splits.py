@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import hashed_rank, shuffle_key
+from ..functions.ordering import hashed_rank, ordered_rank, shuffle_key
 
 SEED = 42
 
@@ -104,5 +104,5 @@ def overlapping_families(rows: DataFrame) -> DataFrame:
 
 
 def sample_ordinals(rows: DataFrame, partition: str, *order: str) -> DataFrame:
-    """Adds sample_id: 0-based place in the partition."""
-    return rows.withColumn("sample_id", F.row_number().over(Window.partitionBy(partition).orderBy(*order)) - 1)
+    """Adds sample_id: 0-based place in the partition. Partitions are roles, few and large, so places are counted per range."""
+    return ordered_rank(rows, [partition], list(order), "sample_id")

@@ -1,7 +1,8 @@
 """The patch view: embeddings as patches of images of source families.
 
 Vectors of a label are numbered in vec_id order; five in a row are an image, and 10 (labels 0-4, real) or 20 (labels 5-9, fake) are a
-family shared by a real and a fake label.
+family shared by a real and a fake label. The view only gives the test tables the shape of image patches, and numbers each
+label in one window; real data bring their image, patch and family columns with them.
 """
 
 from __future__ import annotations

@@ -58,6 +58,18 @@ def test_hashed_rank_is_the_global_order(spark):
     assert got == [r.id for r in rows.orderBy("key", "id").collect()]
 
 
+def test_ordered_rank_counts_across_ranges(spark):
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("v"), F.when(F.col("id") % 3 > 0, "big").alias("g"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordering.ordered_rank(rows, ["g"], ["v"], "rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in ("big", None):
+        mine = sorted((r.v, r["rank"]) for r in got if r.g == g)
+        assert [k for _, k in mine] == list(range(len(mine))) and mine
+
+
 def test_ranking_metrics_with_ties(spark):
     rng = np.random.default_rng(1)
     y, s = rng.integers(0, 2, 200), rng.integers(0, 12, 200) / 4
