@@ -25,15 +25,17 @@ from .common import hex_int
 
 ROUNDS = 8
 
-_NOT_BEFORE = r"(?<![\dA-Za-z])(?<!\d[./-])"
-CARD = _NOT_BEFORE + r"(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\dA-Za-z]|[./-]\d)"
-PHONE = r"(?<![\dA-Za-z+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{4}|(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4})(?!\d|\.\d)"
-SSN = _NOT_BEFORE + r"\d{3}-\d{2}-\d{4}(?![\dA-Za-z]|[./-]\d)"
-IPV4 = _NOT_BEFORE + r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\dA-Za-z]|[./-]\d)"
-DATE = _NOT_BEFORE + r"(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)\d\d)(?![\dA-Za-z]|[./-]\d)"
+# Each pattern begins with what its first character must be, so that most places of a text fail at once.
 EMAIL = r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}_.%+-]{0,200}@[A-Za-z0-9.-]{0,200}[A-Za-z0-9]\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-SECRET = r"(?<=(?:token|TOKEN|key|KEY|secret|SECRET|password|PASSWORD) = \")[0-9A-Fa-f]{16,128}(?=\")"
-ANY = "|".join([SECRET, EMAIL, IPV4, DATE, SSN, CARD, PHONE])
+SECRET = r"(?=[0-9A-Fa-f]{16})(?<=(?:token|TOKEN|key|KEY|secret|SECRET|password|PASSWORD) = \")[0-9A-Fa-f]{16,128}(?=\")"
+PHONE = r"\+(?<![\dA-Za-z+]\+)\d{1,3}(?:[ .-]?\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{4}|(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4})(?!\d|\.\d)"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
+DATE = r"(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)\d\d"
+SSN = r"\d{3}-\d{2}-\d{4}"
+CARD = r"\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}"
+NUMBER = rf"(?=\d)(?<![\dA-Za-z])(?<!\d[./-])(?:{IPV4}|{DATE}|{SSN}|{CARD})(?![\dA-Za-z]|[./-]\d)"
+ANY = "|".join([SECRET, EMAIL, NUMBER, PHONE])
 
 
 def _prf(key: str, kind: str, round_: Column, half: Column) -> Column:
