@@ -228,14 +228,17 @@ def class_components(reps: DataFrame, docs: DataFrame, p: Minhash) -> DataFrame
     now = left.drop("comp").join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     spread = now.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     open_ = materialise(now.join(spread.where("lo < hi AND size > 2").select("key", "size", "weight"), "key"), "open-buckets")
-    few = open_.where(F.col("size") <= p.small)
-    rest = _confirmed(_pairs(few, _as_partner(few), p), reps, sets, p)
-    rest = rest.unionByName(_in_blocks(open_.where(F.col("size") > p.small), reps, sets, p))
-    stars = comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    more = materialise(rest, "links")
-    if not more.isEmpty():
-        comp = materialise(connected_components(stars.unionByName(more)), "components")
-    discard(found, left, open_, sets, more)
+    if not open_.isEmpty():
+        few, many = open_.where(F.col("size") <= p.small), open_.where(F.col("size") > p.small)
+        rest = _confirmed(_pairs(few, _as_partner(few), p), reps, sets, p)
+        if not many.isEmpty():
+            rest = rest.unionByName(_in_blocks(many, reps, sets, p))
+        more = materialise(rest, "links")
+        if not more.isEmpty():
+            stars = comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            comp = materialise(connected_components(stars.unionByName(more)), "components")
+        discard(more)
+    discard(found, left, open_, sets)
     return comp
 
 
