@@ -6,8 +6,9 @@ buckets. Within a bucket classes are first compared by a star, so that a bucket
 n * n: all are compared with a centre, the class that shares most buckets with others. A pair is a link if its signatures
 agree enough and then its full sets do. Components come from alternating large-star and small-star. A bucket whose classes
 are then of one component is settled. In the others classes of different components are compared with one another: in
-small ones by pairs, in large ones block by block, where only links leave a task. So no link between components is
-lost, and nothing is capped.
+small ones by pairs, in large ones block by block. There a block of classes is one packed row, blocks and not classes are
+paired, and two blocks of a bucket's main component never meet. Only links leave a task. So no link between components
+is lost, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import arrow_map
@@ -209,10 +210,9 @@ def class_components(reps: DataFrame, docs: DataFrame, p: Minhash) -> DataFrame
     """(node, component) of the classes that have links; None if no two classes share a bucket. reps: a signature row per class."""
     bands = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialise(bands.join(shared, "key"), "bucket-members")
-    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
-    left = materialise(members.join(degree, "id").select("key", "id", "n", "degree", F.col("id").alias("comp")), "buckets")
-    discard(members)
+    # a class is in p.bands buckets at most, so this window is small
+    degree = F.sum("size").over(Window.partitionBy("id"))
+    left = materialise(bands.join(shared, "key").select("key", "id", "n", degree.alias("degree"), F.col("id").alias("comp")), "buckets")
     if left.isEmpty():
         discard(left)
         return None
@@ -226,8 +226,8 @@ def class_components(reps: DataFrame, docs: DataFrame, p: Minhash) -> DataFrame
     comp = materialise(connected_components(found), "components")
     # what the stars have not settled
     now = left.drop("comp").join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    spread = now.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_ = materialise(now.join(spread.where("lo < hi AND size > 2").select("key", "size", "weight"), "key"), "open-buckets")
+    spread = now.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    open_ = materialise(now.join(spread.where("lo < hi AND size > 2").select("key", "size"), "key"), "open-buckets")
     if not open_.isEmpty():
         few, many = open_.where(F.col("size") <= p.small), open_.where(F.col("size") > p.small)
         rest = _confirmed(_pairs(few, _as_partner(few), p), reps, sets, p)
@@ -243,46 +243,110 @@ def class_components(reps: DataFrame, docs: DataFrame, p: Minhash) -> DataFrame
 
 
 def _in_blocks(open_: DataFrame, reps: DataFrame, sets: DataFrame, p: Minhash) -> DataFrame:
-    """Links across components in large buckets. A bucket's classes are dealt into blocks and each two blocks are one task,
-    which compares signatures without giving pairs out. First only the classes come out that have a partner to compare in
-    full; then these come together again with their sets, and links come out, one for each two components that they join."""
-    blocks = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("weight") / (p.block * 2000))).cast("long")
-    dealt = open_.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "comp")
-    marks = reps.select(F.col("doc_id").alias("id"), "sig", "keys")
-    group = ["key", "lo", "hi"]
-    schema = "key long, lo long, hi long, own long, id long, n long, comp long"
-    busy = materialise(dealt.join(marks, "id").groupBy(*group).applyInArrow(_busy(p), schema), "busy")
-    full = busy.join(marks, "id").join(sets.select(F.col("doc_id").alias("id"), "members"), "id")
-    return full.groupBy(*group).applyInArrow(_links_in_block(p), "a long, b long").distinct()
-
-
-def _block_pairs(t: pa.Table, p: Minhash) -> list[tuple[int, int]]:
-    """Row pairs of a block task whose signatures agree enough, most alike first: of different components, near in size, of
-    the two blocks, and in the first of the buckets that the two classes share."""
-    get = lambda c: t.column(c).to_numpy()
-    own, n, comp, key = get("own"), get("n"), get("comp"), t.column("key")[0].as_py()
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-    keys = np.array(t.column("keys").to_pylist(), np.int64).reshape(t.num_rows, -1)
-    lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-    first = np.flatnonzero(own == lo)
-    second = np.flatnonzero(own == hi)
+    """Links across components in large buckets.
+
+    A bucket's main component, the one with most classes in it, and the rest are dealt into blocks apart. A block is packed
+    into one row, and the rows are paired: any two blocks but two of the main component. Two blocks are one task, which
+    compares signatures and gives out only a bit mask per block, of the classes with a partner to compare in full. The
+    masked classes are packed again, now with their sets, and links come out, one for each two components that they join.
+    Rows grow with the classes in a bucket; what is sent twice is packed blocks, once per block of the rest."""
+    held = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("held_n"))
+    per = held.groupBy("key").agg(F.max(F.struct("held", "comp", "held_n")).alias("m"), F.sum("held").alias("size"), F.sum("held_n").alias("weight"))
+    blocks = lambda size, weight: F.greatest(F.ceil(size / p.block), F.ceil(weight / (p.block * 2000))).cast("long")
+    rest = blocks(F.col("size") - F.col("m.held"), F.col("weight") - F.col("m.held_n"))
+    per = per.select("key", F.col("m.comp").alias("main"), rest.alias("n_rest"), blocks(F.col("m.held"), F.col("m.held_n")).alias("n_main"))
+    block = F.when(F.col("comp") == F.col("main"), F.col("n_rest") + F.pmod(F.xxhash64("id"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("id"), F.col("n_rest")))
+    dealt = open_.select("key", "id", "n", "comp").join(per, "key").select("key", block.alias("block"), "n_rest", "n_main", "id", "n", "comp")
+    marks = dealt.join(reps.select(F.col("doc_id").alias("id"), "sig", "keys"), "id")
+    schema = "key long, block long, n_rest long, n_main long, pack binary"
+    packs = materialise(marks.groupBy("key", "block").applyInArrow(_pack, schema), "blocks")
+    # block k of the rest meets every block from k on, which are the rest and then the main component
+    others = F.when(F.col("block") < F.col("n_rest"), F.sequence(F.lit(0).cast("long"), F.col("n_rest") + F.col("n_main") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1))
+    met = packs.select("key", "block", F.explode(others).alias("other"), "pack")
+    met = met.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "pack")
+    masks = met.groupBy("key", "lo", "hi").applyInArrow(_busy(p), "key long, block long, other long, mask binary")
+    asks = materialise(masks.groupBy("key", "block").agg(F.collect_list(F.struct("other", "mask")).alias("asks")), "asks")
+    wanted = arrow_map(packs.join(asks, ["key", "block"]).select("key", "block", "pack", "asks.mask"), _masked_map, "key long, block long, at int, id long, n long, comp long, sig binary, keys array<long>")
+    full = wanted.join(sets.select(F.col("doc_id").alias("id"), "members"), "id").withColumn("n_rest", F.lit(0).cast("long")).withColumn("n_main", F.lit(0).cast("long"))
+    again = full.groupBy("key", "block").applyInArrow(_pack, schema).drop("n_rest", "n_main")
+    met = again.join(asks, ["key", "block"]).select("key", "block", "pack", F.inline("asks"))
+    met = met.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "pack", "mask")
+    links = materialise(met.groupBy("key", "lo", "hi").applyInArrow(_links_in_block(p), "a long, b long").distinct(), "links")
+    discard(packs, asks)
+    return links
+
+
+def _pack(t: pa.Table) -> pa.Table:
+    """A block's classes, in order of id, as one Arrow stream."""
+    t = t.sort_by("id")
+    sink = pa.BufferOutputStream()
+    part = t.drop_columns(["key", "block", "n_rest", "n_main"])
+    with pa.ipc.new_stream(sink, part.schema) as out:
+        out.write_table(part)
+    return t.select(["key", "block", "n_rest", "n_main"]).slice(0, 1).append_column("pack", pa.array([sink.getvalue().to_pybytes()], pa.binary()))
+
+
+def _unpack(pack: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(pack.as_buffer()).read_all().combine_chunks()
+
+
+def _bits(mask: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(mask, np.uint8), count=n).astype(bool)
+
+
+def _masked_map(batches):
+    """The classes of a block that any mask names, with their places in the block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            block = _unpack(column(batch, "pack")[k])
+            at = np.flatnonzero(np.logical_or.reduce([_bits(m, block.num_rows) for m in column(batch, "mask")[k].as_py()]))
+            rows = block.take(pa.array(at))
+            same = lambda name: pa.array(np.full(len(at), column(batch, name)[k].as_py()), pa.int64())
+            out = pa.table({"key": same("key"), "block": same("block"), "at": pa.array(at, pa.int32()), **{c: rows.column(c) for c in ("id", "n", "comp", "sig", "keys")}})
+            yield from out.combine_chunks().to_batches()
+
+
+def _two_blocks(t: pa.Table) -> tuple[list[int], list[pa.Table]]:
+    """Numbers and classes of the one or two blocks of a task, the lower first."""
+    t = t.sort_by("block")
+    return t.column("block").to_pylist(), [_unpack(x) for x in t.column("pack")]
+
+
+def _block_pairs(key: int, blocks: list[pa.Table], p: Minhash) -> list[tuple[int, int]]:
+    """Places (in the first block, in the last) of the pairs whose signatures agree enough, most alike first: of different
+    components, near in size, and in the first of the buckets that the two classes share."""
+    get = lambda t, c: t.column(c).to_numpy()
+    wide = lambda t, c, kind: (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) if c == "sig" else t.column(c).combine_chunks().flatten().to_numpy()).reshape(t.num_rows, -1)
+    left, right = blocks[0], blocks[-1]
+    (n, m), (comp, comp_r) = ([get(t, c) for t in (left, right)] for c in ("n", "comp"))
+    (sig, sig_r), (keys, keys_r) = ([wide(t, c, kind) for t in (left, right)] for c, kind in (("sig", np.uint8), ("keys", np.int64)))
     out = []
-    for a in first:
-        b = second[second > a] if lo == hi else second
-        b = b[(comp[b] != comp[a]) & (100 * np.minimum(n[b], n[a]) >= p.percent * np.maximum(n[b], n[a]))]
-        share = (sig[b] == sig[a]).mean(axis=1)
+    for a in range(left.num_rows):
+        b = np.arange(a + 1 if len(blocks) == 1 else 0, right.num_rows)
+        b = b[(comp_r[b] != comp[a]) & (100 * np.minimum(m[b], n[a]) >= p.percent * np.maximum(m[b], n[a]))]
+        share = (sig_r[b] == sig[a]).mean(axis=1) if len(b) else np.empty(0)
         b, share = b[share >= p.least_share()], share[share >= p.least_share()]
-        same = keys[b] == keys[a]
-        here = keys[a][np.argmax(same, axis=1)] == key
-        out += [(-s, int(a), int(x)) for s, x in zip(share[here], b[here])]
+        if len(b):
+            same = keys_r[b] == keys[a]
+            here = keys[a][np.argmax(same, axis=1)] == key
+            out += [(-s, a, int(x)) for s, x in zip(share[here], b[here])]
     return [(a, b) for _, a, b in sorted(out)]
 
 
 def _busy(p: Minhash):
     def run(t: pa.Table) -> pa.Table:
-        rows = sorted({x for pair in _block_pairs(t, p) for x in pair})
-        return t.select(["key", "lo", "hi", "own", "id", "n", "comp"]).take(pa.array(rows, pa.int64()))
+        key = t.column("key")[0].as_py()
+        numbers, blocks = _two_blocks(t)
+        # a block whose partner is missing cannot be: every block number up to the count holds a class or no row at all
+        pairs = _block_pairs(key, blocks, p) if len(blocks) == 2 or t.column("lo")[0] == t.column("hi")[0] else []
+        rows = []
+        if pairs:
+            busy = [np.zeros(b.num_rows, bool) for b in blocks]
+            for a, b in pairs:
+                busy[0][a] = busy[-1][b] = True
+            rows = [(key, numbers[k], numbers[-1 - k], np.packbits(mask).tobytes()) for k, mask in enumerate(busy)]
+        kinds = (("key", pa.int64()), ("block", pa.int64()), ("other", pa.int64()), ("mask", pa.binary()))
+        return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
 
     return run
 
@@ -297,9 +361,16 @@ def similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
 
 def _links_in_block(p: Minhash):
     def run(t: pa.Table) -> pa.Table:
-        comp, ids = t.column("comp").to_pylist(), t.column("id").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
-        root = {c: c for c in comp}
+        t = t.sort_by("block")
+        _, blocks = _two_blocks(t)
+        # only what was busy between these two blocks; the rest of a block's packed classes is for other tasks
+        for k, mask in enumerate(t.column("mask").to_pylist()):
+            named = _bits(mask, 8 * len(mask))
+            blocks[k] = blocks[k].filter(pa.array(named[blocks[k].column("at").to_numpy()])).combine_chunks()
+        left, right = blocks[0], blocks[-1]
+        ids, comps = ([x.column(c).to_pylist() for x in (left, right)] for c in ("id", "comp"))
+        sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("members")] for b in (left, right)]
+        root = {c: c for c in (*comps[0], *comps[1])}
 
         def find(c: int) -> int:
             while root[c] != c:
@@ -308,11 +379,11 @@ def _links_in_block(p: Minhash):
             return c
 
         out = []
-        for a, b in _block_pairs(t, p):
-            x, y = find(comp[a]), find(comp[b])
-            if x != y and similar(sets[a], sets[b], p.percent):
+        for a, b in _block_pairs(t.column("key")[0].as_py(), blocks, p):
+            x, y = find(comps[0][a]), find(comps[1][b])
+            if x != y and similar(sets[0][a], sets[1][b], p.percent):
                 root[max(x, y)] = min(x, y)
-                out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+                out.append(sorted((ids[0][a], ids[1][b])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
@@ -321,7 +392,8 @@ def _links_in_block(p: Minhash):
 def near_duplicates(docs: DataFrame, p: Minhash = Minhash()) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links, itself included), kept (doc_id = component_id).
 
-    A null, empty or blank text has no shingles and is linked with nothing. A row without a doc_id cannot be named by a link:
+    A null, empty or blank text has no shingles and is linked with nothing. A very long text is one set like others, hashed in
+    blocks, whole. A row without a doc_id cannot be named by a link:
     its component_id is null and it is kept. Rows that share a doc_id are one document for linking. Equal texts are
     one class whatever their number. An empty table gives no rows; columns other than doc_id and text are not read. Odds
     that no band joins a pair of similarity 0.75 are (1 - 0.75**5)**48, about 2 in a million, and fall fast above it.
@@ -330,7 +402,8 @@ def near_duplicates(docs: DataFrame, p: Minhash = Minhash()) -> DataFrame:
     sigs = materialise(signatures(docs, p), "signatures")
     some = sigs.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialise(some.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sigs.join(classes, ["n_shingles", "f1", "f2"]).where("doc_id = rep").drop("rep").dropDuplicates(["doc_id", "f1", "f2"])
+    # on the representative's id too, so that copies of one text, which carry long rows, do not meet on its key
+    reps = sigs.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n_shingles", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
     reps = materialise(reps, "class-signatures")
     slim = materialise(sigs.select("doc_id", "n_shingles", "f1", "f2"), "sizes")
     discard(sigs)
@@ -357,7 +430,9 @@ def _ids_in_two_classes(slim: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, p: Minhash = Minhash()) -> DataFrame:
-    """One document of each component, in the columns of docs; of rows that share the doc_id kept, one stays."""
+    """One document of each component, in the columns of docs, whatever others they are; of rows that share the doc_id kept,
+    one stays. Texts that are null, empty or blank, and rows without a doc_id, are linked with nothing and stay, repeated
+    rows of the latter included. Ties cannot be: the least doc_id stays. Very long texts are compared whole. No rows give none."""
     out = near_duplicates(docs, p)
     drop = materialise(out.where("NOT kept").select(F.col("doc_id").alias("__drop_id")).distinct(), "dropped")
     kept = docs.join(drop.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("__drop_id"), "left_anti")
