@@ -1,16 +1,21 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
 Values that a pattern finds and a check confirms are permuted within their own format by a keyed Feistel network, so equal
-values become equal pseudonyms in every document and different values stay different:
+values become equal pseudonyms in every document and different values of one length stay different:
 
 - payment card numbers (13 to 19 digits, blanks or hyphens between allowed, Luhn sum 0): the digits but the last are permuted
   and the last becomes the check digit, so that the pseudonym is a valid number too;
-- phone numbers (+ and country code, 8 to 15 digits in all): the digits after the country code;
+- phone numbers: + and a country code of the international plan, 8 to 15 digits in all, or ten digits in the layouts of the
+  North American plan, with 1 or nothing before. The digits after the code are permuted under the code, whatever
+  the layout, so that one number has one pseudonym; a trunk zero in brackets stays. Pseudonyms under code 1 are walked on until
+  area and exchange are ones that exist;
 - social security numbers (3-2-4 digits in their issued ranges): the nine digits, walked on until they are valid again;
 - IPv4 addresses (four octets): as a 32-bit number, two halves of 16 bits;
-- dates (year-month-day or day/month/year, valid in the calendar, 1900 to 2099): as the number of the day in that range;
-- e-mail addresses: letters and digits of the local part, each class within itself, so the shape stays;
-- secrets written as token, key, secret or password = "...": hexadecimal digits.
+- dates (year-month-day, day/month/year, or month/day/year where the day is over 12; valid in the calendar, 1900 to 2099): as
+  the number of the day in that range, so that one day in two layouts has one pseudonym;
+- e-mail addresses: letters and digits of the local part, each class within itself, so the shape stays (letters beyond Latin-1
+  stay as they are);
+- secrets written after token, key, secret or password and = or a colon: hexadecimal digits.
 """
 
 from __future__ import annotations
@@ -27,15 +32,20 @@ ROUNDS = 8
 
 # Each pattern begins with what its first character must be, so that most places of a text fail at once.
 EMAIL = r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}_.%+-]{0,200}@[A-Za-z0-9.-]{0,200}[A-Za-z0-9]\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-SECRET = r"(?=[0-9A-Fa-f]{16})(?<=(?:token|TOKEN|key|KEY|secret|SECRET|password|PASSWORD) = \")[0-9A-Fa-f]{16,128}(?=\")"
-PHONE = r"\+(?<![\dA-Za-z+]\+)\d{1,3}(?:[ .-]?\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{4}|(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4})(?!\d|\.\d)"
+SECRET = r"(?=[0-9A-Fa-f]{16})(?<=(?i:token|key|secret|password)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[0-9A-Fa-f]{16,128}(?![0-9A-Za-z_-])"
+PHONE = r"\+(?<![\dA-Za-z+]\+)\d{1,3}(?:[ .-]?\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{4}|(?:[ .-]?\(\d{1,4}\))?[ .-]?\d{1,4}(?:[ .-]?\d{2,4}){1,4})(?!\d|\.\d)"
+#: Layouts of the North American plan: (212) 555-1234, 212-555-1234, 212.555.1234, with or without 1 before.
+NATIONAL = r"(?:1[ .-])?(?:\([2-9]\d\d\) ?[2-9]\d\d[ .-]\d{4}|[2-9]\d\d-[2-9]\d\d-\d{4}|[2-9]\d\d\.[2-9]\d\d\.\d{4})"
+BRACKET = rf"(?=\([2-9])(?<![\dA-Za-z+)][ .-]?){NATIONAL}(?!\d|[./-]\d)"
+# The country codes of the international numbering plan by their lengths; what is left has three digits.
+CODE = r"^(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
-DATE = r"(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)\d\d"
+DATE = r"(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])|(?:0[1-9]|1[0-2])/(?:1[3-9]|2\d|3[01]))/(?:19|20)\d\d"
 SSN = r"\d{3}-\d{2}-\d{4}"
 CARD = r"\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}"
-NUMBER = rf"(?=\d)(?<![\dA-Za-z])(?<!\d[./-])(?:{IPV4}|{DATE}|{SSN}|{CARD})(?![\dA-Za-z]|[./-]\d)"
-ANY = "|".join([SECRET, EMAIL, NUMBER, PHONE])
+NUMBER = rf"(?=\d)(?<![\dA-Za-z])(?<!\d[./-])(?:{IPV4}|{DATE}|{SSN}|{CARD}|{NATIONAL})(?![\dA-Za-z]|[./-]\d)"
+ANY = "|".join([SECRET, EMAIL, NUMBER, PHONE, BRACKET])
 
 
 def _prf(key: str, kind: str, round_: Column, half: Column) -> Column:
@@ -66,14 +76,15 @@ def feistel_number(value: Column, low: Column, high: Column, key: str, kind: str
     return _let(_rounds(F.floor(value / low).cast("long"), F.pmod(value, low), moved), lambda p: p["a"] * low + p["b"])
 
 
-def feistel_digits(digits: Column, key: str, kind: str) -> Column:
-    """Keyed permutation of the decimal strings of one length (2 to 30 digits; a single digit stays)."""
+def feistel_digits(digits: Column, key: str, kind: str, tweak: Column | None = None) -> Column:
+    """Keyed permutation of the decimal strings of one length (2 to 30 digits; a single digit stays), another one for each tweak."""
     n = F.length(digits)
+    salt = F.concat(F.lit("#"), n.cast("string"), *([] if tweak is None else [F.lit("#"), tweak]))
     half = F.floor(n / 2).cast("int")
 
     def moved(r: Column, ours: Column, other: Column, even: Column) -> Column:
         size = F.pow(F.lit(10.0), F.length(ours)).cast("long")
-        return F.lpad(F.pmod(ours.cast("long") + _prf(key, kind, r, F.concat(other, F.lit("#"), n.cast("string"))), size).cast("string"), F.length(ours), "0")
+        return F.lpad(F.pmod(ours.cast("long") + _prf(key, kind, r, F.concat(other, salt)), size).cast("string"), F.length(ours), "0")
 
     done = _rounds(F.substr(digits, F.lit(1), half), F.substr(digits, half + 1), moved)
     return F.when(n < 2, digits).otherwise(_let(done, lambda p: F.concat(p["a"], p["b"])))
@@ -118,10 +129,23 @@ def is_phone(x: Column) -> Column:
     return F.length(_digits(x)).between(8, 15)
 
 
+def _is_american(d: Column) -> Column:
+    return d.rlike(r"^[2-9]\d\d[2-9]\d{6}$")
+
+
 def phone(x: Column, key: str) -> Column:
-    code = F.regexp_extract(x, r"^\+\d{1,3}", 0)
-    rest = F.substr(x, F.length(code) + 1)
-    return F.concat(code, _poured(rest, feistel_digits(_digits(rest), key, "phone")))
+    """What stands before the national digits (+ and the code, or 1), then these poured into their layout. A walk of 24 steps
+    under code 1 ends except with odds under 10**-10; then the last step's number stays, which is a permuted one too."""
+    code = F.when(x.startswith("+"), F.regexp_extract(_digits(x), CODE, 0)).otherwise(F.lit("1"))
+    head = F.when(x.startswith("+"), F.concat(F.lit("+"), code)).otherwise(F.regexp_extract(x, r"^1[ .-]", 0))
+    # a trunk zero is no digit of the number
+    shape = F.regexp_replace(F.substr(x, F.length(head) + 1), r"\(0\)", "(_)")
+    digits = _digits(shape)
+    permuted = lambda v: feistel_digits(v, key, "phone", code)
+    american = (code == "1") & _is_american(digits)
+    steps = F.sequence(F.lit(1), F.when(american, F.lit(25)).otherwise(F.lit(1)))
+    walked = F.aggregate(steps, digits, lambda v, k: F.when((k > 1) & _is_american(v), v).otherwise(permuted(v)))
+    return F.concat(head, F.regexp_replace(_poured(shape, walked), r"\(_\)", "(0)"))
 
 
 def is_ssn(x: Column) -> Column:
@@ -149,9 +173,14 @@ def ipv4(x: Column, key: str) -> Column:
 _FIRST, _DAYS = "1900-01-01", 73049  # days from 1900-01-01 to 2099-12-31: 11 * 6641 - 2
 
 
+def _month_first(x: Column) -> Column:
+    return F.substr(x, F.lit(4), F.lit(2)) > "12"
+
+
 def _date(x: Column) -> Column:
-    iso = F.when(x.contains("-"), x).otherwise(F.concat_ws("-", F.substr(x, F.lit(7), F.lit(4)), F.substr(x, F.lit(4), F.lit(2)), F.substr(x, F.lit(1), F.lit(2))))
-    return F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")
+    part = lambda at, n: F.substr(x, F.lit(at), F.lit(n))
+    slashed = F.when(_month_first(x), F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2))).otherwise(F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2)))
+    return F.try_to_timestamp(F.when(x.contains("-"), x).otherwise(slashed), F.lit("yyyy-MM-dd")).cast("date")
 
 
 def is_date(x: Column) -> Column:
@@ -165,14 +194,21 @@ def date(x: Column, key: str) -> Column:
     day = F.datediff(_date(x), F.lit(_FIRST).cast("date")).cast("long")
     out = F.aggregate(F.sequence(F.lit(1), F.lit(25)), day, lambda v, k: F.when((k > 1) & (v < _DAYS), v).otherwise(feistel_number(v, wide, high, key, "date")))
     new = F.date_add(F.lit(_FIRST).cast("date"), F.pmod(out, F.lit(_DAYS)).cast("int"))
-    return F.when(x.contains("-"), F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "dd/MM/yyyy"))
+    slashed = F.when(_month_first(x), F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
+    return F.when(x.contains("-"), F.date_format(new, "yyyy-MM-dd")).otherwise(slashed)
+
+
+#: Classes of characters (first code, how many) that e-mail names are moved within: digits, and the letters of ASCII and Latin-1.
+CLASSES = ((48, 10), (97, 26), (65, 26), (0xC0, 23), (0xD8, 7), (0xDF, 24), (0xF8, 8))
 
 
 def _moved(c: Column, shift: Column) -> Column:
-    """A letter or digit moved on within its class; a letter beyond ASCII becomes one of a-z, other characters stay."""
-    code = F.ascii(c)
-    within = lambda first, n: F.char(F.lit(first) + F.pmod(code - first + shift, F.lit(n)))
-    return F.when(c.between("0", "9"), within(48, 10)).when(c.between("a", "z"), within(97, 26)).when(c.between("A", "Z"), within(65, 26)).when(c > "\x7f", within(97, 26)).otherwise(c)
+    """A letter or digit moved on within its class; other characters stay. c may be of any alphabet."""
+    code, out = F.ascii(c), None
+    for first, n in CLASSES:
+        case, new = code.between(first, first + n - 1), F.char(F.lit(first) + F.pmod(code - first + shift, F.lit(n)))
+        out = F.when(case, new) if out is None else out.when(case, new)
+    return out.otherwise(c)
 
 
 def _moved_hex(c: Column, shift: Column) -> Column:
@@ -209,6 +245,7 @@ def kind_of(x: Column) -> Column:
     found = found.when(x.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ipv4")
     found = found.when(x.rlike(r"^(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4})$"), F.when(is_date(x), "date"))
     found = found.when(x.rlike(r"^\d{3}-\d\d-\d{4}$"), F.when(is_ssn(x), "ssn"))
+    found = found.when(x.rlike(rf"^{NATIONAL}$"), "phone")
     found = found.when(x.rlike(r"^[\d -]{13,19}$"), F.when(is_card(x), "card"))
     return found.when(x.rlike(r"^[0-9A-Fa-f]+$"), "secret")
 
@@ -226,8 +263,9 @@ def pseudonymise(docs: DataFrame, key: str = "public-test-key") -> DataFrame:
 
     A null text stays null with 0 replaced, an empty one stays empty; texts without values come back as they are. Candidates
     that fail their check (a Luhn sum, an impossible date, an unissued number) stay. Each row is worked on alone, so
-    repeated rows give equal results and the size of the table does not matter; columns other than doc_id and text are not
-    read. The key is a parameter; without it pseudonyms cannot be traced back.
+    repeated rows give equal results and the size of the table does not matter, nor does the length of a text: all of it is
+    searched, in one pass of the pattern. An empty table gives no rows. Where two patterns meet in one place the one that
+    begins first counts, then the one listed first. Columns other than doc_id and text are not read, whatever their names. The key is a parameter; without it pseudonyms cannot be traced back.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found"))
     tagged = F.transform("found", lambda x: F.struct(x.alias("x"), kind_of(x).alias("k")))
