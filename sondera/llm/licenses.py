@@ -21,31 +21,104 @@ from .common import column, prefix_hash, row_of, runs, slices, span_hash, text_b
 # Phrases that name a licence, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Licence notices as their licences give them.
+# Licences and their notices as their publishers word them. Short licences are whole; of long ones there are the
+# notices that files carry and the sections that are quoted most, each a template of its own.
+_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+_MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions"""
+_MIT_REST = f"""The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+{_WARRANTY} IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met"""
+_BSD_TWO = """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution."""
+_BSD_THREE = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission."""
+_BSD_REST = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC_GRANT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies."""
+_ISC_REST = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Licensed under the MIT License"),
-    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
-copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
-is furnished to do so, subject to the following conditions"""),
+    ("mit", _MIT_GRANT),
+    ("mit", f"{_MIT_GRANT}: {_MIT_REST}"),
+    ("bsd", _BSD_HEAD),
+    ("bsd", f"{_BSD_HEAD}: 1. {_BSD_TWO} {_BSD_REST}"),
+    ("bsd", f"{_BSD_HEAD}: 1. {_BSD_TWO} 3. {_BSD_THREE} {_BSD_REST}"),
+    ("isc", _ISC_GRANT),
+    ("isc", f"{_ISC_GRANT} {_ISC_REST}"),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""),
+    ("boost", "Distributed under the Boost Software License, Version 1.0"),
+    ("boost", f"""Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to
+prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless
+such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+{_WARRANTY.replace("PURPOSE AND NONINFRINGEMENT", "PURPOSE, TITLE AND NON-INFRINGEMENT")} IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE
+DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("unlicense", f"""This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by
+any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in
+the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software
+under copyright law. {_WARRANTY} IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("wtfpl", """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long
+as the name is changed"""),
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
 License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""),
+    ("apache", """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+permissions and limitations under the License."""),
+    ("apache", """Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual,
+worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display,
+publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."""),
+    ("apache", """Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual,
+worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use,
+offer to sell, sell, import, and otherwise transfer the Work"""),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
 published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"""),
+    ("gpl", """The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and
+other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is
+intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users."""),
+    ("gpl", """The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public
+License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."""),
+    ("gpl", """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
     ("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
 License as published by the Free Software Foundation"""),
     ("agpl", """it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the
 License, or (at your option) any later version"""),
-    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-conditions are met"""),
-    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
-that the above copyright notice and this permission notice appear in all copies"""),
     ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
 this file, You can obtain one at"""),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("epl", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available
+at"""),
+    ("epl", """THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE. ANY USE, REPRODUCTION OR DISTRIBUTION OF THE
+PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."""),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by", "Licensed under CC BY 4.0"),
@@ -88,22 +161,31 @@ class SuffixAutomaton:
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[list[tuple[int, int]]] = [[]]
+        self.own: list[list[tuple[int, int]]] = [[]]
         for s, sequence in enumerate(sequences):
             state = 0
             for at, word in enumerate(sequence):
                 state = self._extend(state, word)
-                self.ends[state].append((s, at + 1))
-        # a state also ends wherever the states that link to it end
-        for state in sorted(range(1, len(self.link)), key=lambda k: -self.length[k]):
-            if self.link[state] > 0:
-                self.ends[self.link[state]] += self.ends[state]
+                self.own[state].append((s, at + 1))
+        self.linked: list[list[int]] = [[] for _ in self.link]
+        for state, link in enumerate(self.link[1:], 1):
+            self.linked[link].append(state)
+
+    def ends(self, state: int) -> list[tuple[int, int]]:
+        """(sequence, end) wherever the state's runs stand: where it ends itself, and where the states that link to it end. Ends are
+        kept once, so the automaton grows in proportion to the templates."""
+        out, todo = [], [state]
+        while todo:
+            now = todo.pop()
+            out += self.own[now]
+            todo += self.linked[now]
+        return sorted(out)
 
     def _state(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.next.append(edges)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append([])
+        self.own.append([])
         return len(self.next) - 1
 
     def _split(self, p: int, word: int) -> int:
@@ -177,7 +259,7 @@ class Scanner:
         for k, (state, length) in enumerate(stats):
             grows = k + 1 < len(stats) and stats[k + 1][1] == length + 1
             if length >= self.p.least_run and not grows:
-                out += [(t, end - length, k + 1 - length, length) for t, end in self.automaton.ends[state]]
+                out += [(t, end - length, k + 1 - length, length) for t, end in self.automaton.ends(state)]
         return out
 
     def spans(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
@@ -230,9 +312,9 @@ class Scanner:
         return np.diff(first), rows
 
 
-def _scan_map(p: Scan):
+def _scan_map(shared):
     def run(batches):
-        scanner = Scanner(p)
+        scanner = shared.value
         for batch in batches:
             ids = column(batch, "doc_id")
             buf, offs = text_buffer(column(batch, "text"))
@@ -259,7 +341,9 @@ def scan(docs: DataFrame, p: Scan = Scan()) -> DataFrame:
     too), score (largest share of a template covered, 0.5 at least where a phrase stands) and spans.
 
     A null text counts as empty: no words, no labels (""), score 0. Repeated rows get equal results; an empty table gives
-    no rows; columns other than doc_id and text are not read. Texts of any length are streamed whole.
+    no rows; columns other than doc_id and text are not read, whatever their names. Texts of any length are streamed whole. Of
+    overlapping spans all are given. The automaton is made once, from the templates alone, and broadcast.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(p))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, _scan_map(p), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,covered:double>>")
+    return arrow_map(rows, _scan_map(shared), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,covered:double>>")
