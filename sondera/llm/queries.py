@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, licenses, linededup, mixing, neardup, ngram_lm, pii, quality, sharding, tokens
-from .common import read_documents
+from .common import read_documents, shared_dir
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op6_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(read_documents(spark, sf_dir))
+    return sharding.shard(read_documents(spark, sf_dir), 40, path=f"{shared_dir(spark)}/slot-map-40")
 
 
 def op8_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

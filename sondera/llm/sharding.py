@@ -1,9 +1,10 @@
 """Sharding by fixed virtual slots.
 
 A record's key is hashed into one of some thousands of slots once and for all. A versioned slot-to-shard map, stored as a
-small table, says where each slot lives; a rebalance edits rows of the map, never the hash. Two edits are offered: `grow`
-adds a shard that takes slots only into itself and looks at nothing but slot numbers, and `rebalance` moves slots off
-overfull shards by the bytes summed per slot.
+small table, says where each slot lives; a rebalance edits rows of the map, never the hash. The table has a folder per
+version with the slots that the version moves; the first has them all. Two edits are offered: `add_shard` appends a version in
+which a new shard takes slots only into itself, by slot numbers alone, and `rebalance_map` one that moves slots off overfull
+shards by the bytes summed per slot.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import arrow_map
-from .common import column, hex_int, key_hex, materialise, text_buffer
+from .common import column, file_exists, folders_in, hex_int, key_hex, materialise, text_buffer
 
 SLOTS = 4096
+#: Lots that rows of one key and content are dealt into.
+LOTS = 64
 #: Bytes that a record has besides its text.
 ROW_BYTES = 16
 
@@ -75,20 +78,65 @@ def rebalance(owner: list[int], slot_bytes: dict[int, int], shards: int, toleran
     return edits
 
 
-def map_versions(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
-    """The stored map as (version, vslot, owner): version `shards`, and version `shards` + 1 after one `grow` edit.
-    It has two rows per slot, so its size is fixed by the parameter and not by the data."""
-    rows = first_map(shards, slots)
-    owner = [o for _, _, o in rows]
-    grown = list(owner)
-    for slot in grow(owner, shards):
-        grown[slot] = shards
-    rows += [[shards + 1, s, o] for s, o in enumerate(grown)]
-    return materialise(spark.createDataFrame(rows, "version int, vslot int, owner int").coalesce(1), "slot-map")
+MAP_SCHEMA = "vslot int, owner int, shards int"
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    # a version counts once its job has committed, so that a run that died half-way leaves none behind
+    return sorted(int(name.split("=")[1]) for name in folders_in(spark, path) if name.startswith("version=") and file_exists(spark, f"{path}/{name}/_SUCCESS"))
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, int, list[int]] | None:
+    """(version, number of shards, owner of each slot) of the last version or of that given; None where no map is stored. The map
+    has as many rows as there are slots, and as many more as were ever moved."""
+    known = [v for v in _versions(spark, path) if version is None or v <= version]
+    if not known:
+        return None
+    rows = []
+    for v in known:
+        rows += [(v, *r) for r in spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={v}").collect()]
+    owner: dict[int, int] = {}
+    shards = 0
+    for _, slot, o, n in sorted(rows):
+        owner[slot], shards = o, n
+    return known[-1], shards, [owner[s] for s in range(len(owner))]
+
+
+def append_version(spark: SparkSession, path: str, edits: list[tuple[int, int]], shards: int) -> int:
+    """Stores (slot, owner) edits as the next version and returns its number. A version without edits is not stored."""
+    last = max(_versions(spark, path), default=0)
+    if not edits:
+        return last
+    rows = [(int(s), int(o), shards) for s, o in edits]
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={last + 1}")
+    return last + 1
+
+
+def ensure_map(spark: SparkSession, path: str, shards: int, slots: int = SLOTS) -> tuple[int, int, list[int]]:
+    """The stored map; where there is none yet, the first version for so many shards is stored."""
+    now = load_map(spark, path)
+    if now is None:
+        append_version(spark, path, [(s, o) for _, s, o in first_map(shards, slots)], shards)
+        now = load_map(spark, path)
+    return now
+
+
+def add_shard(spark: SparkSession, path: str) -> int:
+    """Appends the version in which one more shard joins."""
+    _, shards, owner = load_map(spark, path)
+    return append_version(spark, path, [(s, shards) for s in grow(owner, shards)], shards + 1)
+
+
+def rebalance_map(spark: SparkSession, path: str, docs: DataFrame, tolerance: float = 0.05) -> int:
+    """Appends the version in which slots have moved off shards whose bytes are over the mean by more than the tolerance. The
+    driver sees one row of sums per slot."""
+    _, shards, owner = load_map(spark, path)
+    sums = {r.vslot: r.bytes for r in slot_bytes(place(docs, len(owner))).collect()}
+    return append_version(spark, path, [(s, b) for s, _, b in rebalance(owner, sums, shards, tolerance)], shards)
 
 
 def slot_bytes(placed: DataFrame) -> DataFrame:
-    """Rows and bytes per slot: at most as many rows as there are slots."""
+    """Rows and bytes per slot (from place()): at most as many rows as there are slots."""
     return placed.groupBy("vslot").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
 
 
@@ -100,22 +148,41 @@ def _crc(batches):
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array((offs[1:] - offs[:-1]) + ROW_BYTES, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "size", "text_crc32"])
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
+def place(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32 and vslot of each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return arrow_map(rows, _crc, "doc_id long, size long, text_crc32 long").withColumn("vslot", slot_of(F.col("doc_id"), slots))
+
+
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """Each row's virtual slot, shard and place in the shard, and its shard when one more shard joins.
 
+    path is the folder of a stored map, whose last version is used; without one, a map for so many shards and slots is made.
     Columns: doc_id, size (UTF-8 bytes of the text plus 16), text_crc32, law ("key"), shard, slot (place in the shard in
-    order of virtual slot, doc_id, crc and size: gapless from 0), grown_shard, vslot (the virtual slot).
-    A null text counts as empty, a null doc_id hashes as a key of its own, repeated rows share a virtual slot and take one
-    place each, an empty table gives no rows; columns other than doc_id and text are not read.
+    order of virtual slot, doc_id, crc and size: gapless from 0), grown_shard, vslot (the virtual slot). The law holds for
+    maps that `add_shard` alone has edited.
+    A null text counts as empty, a null doc_id hashes as a key of its own, rows that agree in doc_id, crc and size share a
+    virtual slot and take one place each, whichever of them takes which; an empty table gives no rows; very long texts are
+    read in one pass; columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
-    placed = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _crc, "doc_id long, size long, text_crc32 long")
-    placed = materialise(placed.withColumn("vslot", slot_of(F.col("doc_id"), slots)), "placed")
-    versions = map_versions(spark, shards, slots)
-    owners = versions.groupBy("vslot").agg(F.min(F.when(F.col("version") == shards, F.col("owner"))).alias("shard"), F.min(F.when(F.col("version") == shards + 1, F.col("owner"))).alias("grown_shard"))
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    owners = owners.join(slot_bytes(placed), "vslot", "left").withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("long"))
-    inside = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    ranked = placed.withColumn("place", F.row_number().over(inside).cast("long") - 1)
-    out = ranked.join(F.broadcast(owners.select("vslot", "shard", "grown_shard", "base")), "vslot")
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("place")).alias("slot"), "grown_shard", "vslot")
+    if path is None:
+        shards, owner = shards, [o for _, _, o in first_map(shards, slots)]
+    else:
+        _, shards, owner = ensure_map(spark, path, shards, slots)
+    taken = set(grow(owner, shards))
+    owners = spark.createDataFrame([(s, o, shards if s in taken else o) for s, o in enumerate(owner)], "vslot int, shard int, grown_shard int")
+    # equal rows are dealt into lots by where they were written, so that a key with a third of all rows is no single window
+    lot = F.pmod(F.monotonically_increasing_id(), F.lit(LOTS)).cast("int")
+    placed = materialise(place(docs, len(owner)).select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_crc32", "size", "vslot", lot.alias("lot")), "placed")
+    same = ["vslot", "no_id", "id", "text_crc32", "size", "lot"]
+    counts = placed.groupBy(*same).agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy("vslot").orderBy(F.col("no_id").desc(), "id", "text_crc32", "size", "lot").rowsBetween(Window.unboundedPreceding, -1)
+    lots = counts.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("n")
+    per_slot = owners.join(slot_bytes(placed), "vslot", "left")
+    base = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
+    per_slot = per_slot.select("vslot", "shard", "grown_shard", F.coalesce(F.sum("rows").over(base), F.lit(0)).cast("long").alias("base"))
+    ranked = placed.withColumn("at", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))).cast("long") - 1)
+    out = ranked.join(lots, same).join(F.broadcast(per_slot), "vslot")
+    doc_id = F.when(~F.col("no_id"), F.col("id"))
+    return out.select(doc_id.alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("before") + F.col("at")).alias("slot"), "grown_shard", "vslot")
