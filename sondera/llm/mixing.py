@@ -20,8 +20,8 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 #: Relative weight at evenly spaced knots of training time, by the same rank: the heavy sources fade, the light ones grow.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
-#: Groups that each source's hash order is cut into, so that no window holds a whole source.
-BUCKETS = 4096
+#: Hexadecimal digits of the key that cut each source's order into groups, so that no window holds a whole source.
+BUCKET_DIGITS = 3
 
 
 def integrated(schedule: tuple[float, ...]) -> list[tuple[float, float, float, float, float]]:
@@ -82,13 +82,15 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_E
     up to the target, where the run stops inside the last document.
 
     A null text has size 0; a null source is a source of its own, last in order; documents of size 0 are never taken;
-    repeated rows each take their own place in the order; an empty table gives no rows. Only doc_id, text and source are
-    read, so other columns never clash.
+    repeated rows each take their own place in the order; a very long text is one document like others; an empty table
+    gives no rows. Only doc_id, text and source are read, so other columns never clash. The order is keyed by doc_id and
+    text, so that rows without a doc_id, or of one doc_id, spread over the buckets too.
     """
-    sizes = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words("text").alias("size")), "sizes")
+    doc_id = F.col("doc_id").cast("long")
+    sizes = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), words("text").alias("size"), key_hex(seed, doc_id, F.md5("text")).alias("order_key"))
+    sizes = materialise(sizes, "sizes")
     per = materialise(targets(sizes, weights, most).coalesce(1), "targets")
-    rows = sizes.withColumn("order_key", key_hex(seed, F.col("doc_id")))
-    rows = rows.withColumn("bucket", F.substring("order_key", 1, 3))
+    rows = sizes.withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
     counts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("n").over(by_bucket), F.lit(0)).alias("base"))
@@ -120,21 +122,27 @@ def digest(planned: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
-    """The documents as the mix trains on them: each as often as it occurs, whole, in the columns of docs; documents that
-    the mix takes nothing of go. Rows of one doc_id and source count as one document here: they occur as often as that of
-    them which occurs most."""
+    """The documents as the mix trains on them, in the columns of docs: each as often as it occurs, whole, range-sorted by its
+    training positions, so that the order of the rows is the curriculum; documents that the mix takes nothing of go.
+
+    Null, empty and blank texts are never taken; a null source is a source of its own; a very long text is one document like
+    others. Rows of one doc_id and source count as one document here: they occur where that of them does which occurs most.
+    Ties in position are settled by doc_id, epoch and text. Other columns are carried along, whatever their names; no
+    rows give none."""
     planned = plan(docs, weights, most, seed)
-    n = planned.groupBy("doc_id", "source").agg(F.max(F.size("occurrences")).alias("__times")).where("__times > 0").toDF("__mix_id", "__mix_source", "__times")
+    best = planned.groupBy("doc_id", "source").agg(F.max(F.struct(F.size("occurrences").alias("n"), "occurrences")).alias("best")).where("best.n > 0")
+    best = best.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("best.occurrences").alias("__occurrences"))
     on = docs["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")) & docs["source"].cast("string").eqNullSafe(F.col("__mix_source"))
-    out = docs.where(F.coalesce(docs["text"].rlike(WORD), F.lit(False))).join(n.hint("shuffle_hash"), on)
-    return out.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    out = docs.where(F.coalesce(docs["text"].rlike(WORD), F.lit(False))).join(best.hint("shuffle_hash"), on)
+    out = out.withColumn("__due", F.explode("__occurrences"))
+    return out.orderBy("__due.position", docs["doc_id"].asc_nulls_last(), "__due.epoch", F.xxhash64(docs["text"])).select(*[docs[c] for c in docs.columns])
 
 
 def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", table: str = "documents") -> str:
     """DuckDB SQL for digest(plan(documents)), the level being found by trying every number of capped sources."""
     shape = "CASE rank % 3 " + " ".join(f"WHEN {k} THEN {_invert_sql(s)}" for k, s in enumerate(SCHEDULES)) + " END"
     return f"""
-WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM {table}),
+WITH sizes AS (SELECT doc_id, source, md5('{seed}|' || coalesce('v' || doc_id, 'n') || '|' || coalesce('v' || md5(text), 'n')) AS order_key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM {table}),
 per0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 per1 AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS rank FROM per0),
 per2 AS (SELECT *, {list(weights)}[(rank % {len(weights)} + 1)::INT] AS weight FROM per1),
@@ -143,7 +151,7 @@ levels AS (SELECT a.k, a.bound, (SELECT (sum(source_size) - coalesce(sum(CASE WH
   / sum(CASE WHEN b.k >= a.k THEN weight END)::DOUBLE FROM per3 b) AS level FROM per3 a),
 chosen AS (SELECT max(level) AS level FROM levels),
 per AS (SELECT source, source_size, rank, CASE WHEN bound <= level THEN ({most} * source_size)::DOUBLE ELSE weight * level END AS target FROM per3, chosen),
-placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('{seed}|' || coalesce('v' || doc_id, 'n')), doc_id NULLS FIRST, size
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY order_key, doc_id NULLS FIRST, size
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sizes),
 joined AS (SELECT p.doc_id, size, source_size, target, rank, start, round(target)::BIGINT AS goal FROM placed p JOIN per ON p.source IS NOT DISTINCT FROM per.source),
 every AS (SELECT *, e.epoch AS epoch, greatest(least(goal - (e.epoch * source_size + start), size), 0) AS w, (e.epoch * source_size + start) / target AS u

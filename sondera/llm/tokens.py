@@ -1,6 +1,6 @@
 """Token ids as flat unsigned integer files with 64-bit document offsets, for memory mapping.
 
-Documents are range-partitioned and sorted by doc_id; each task encodes its documents and writes three files to the shared
+Documents are range-partitioned and sorted by doc_id, or by an order that is given; each task encodes its documents and writes three files to the shared
 folder: the ids one after another (little-endian, 16 bits where the vocabulary allows it, else 32), the offsets of its
 documents in ids (64 bits, with the end), and the doc_ids (64 bits each, then a byte each that is 1 for null). Tasks write
 under a name of their attempt and rename at the end, so a repeated task leaves the same files. The number of ids of each file
@@ -20,7 +20,8 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import arrow_map
@@ -219,26 +220,42 @@ def _read_map(uri: str):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str | None = None) -> tuple[str, DataFrame]:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str | None = None, order: list[Column] | None = None) -> tuple[str, DataFrame]:
     """Writes the files and returns (folder, table of parts): part, n_docs, n_ids, kind (of the integers), base (ids in the parts
     before). The driver sees one row of counts per part.
 
-    Documents stand in ascending doc_id order, null last; those of one doc_id by text. A null text counts as empty and
-    has the end id alone. An empty table gives no files. Columns other than doc_id and text are not read.
+    Documents stand in ascending doc_id order, null last, those of one doc_id in an order of their texts; or by the columns
+    that are given as order. A null text counts as empty and has the end id alone; a very long text is encoded whole, and its
+    ids are held in memory once. Repeated rows are documents of their own. An empty table gives no files. Columns other than
+    doc_id, text and those of the order are not read, whatever their names.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    rows = rows.repartitionByRange(*order[:1]).sortWithinPartitions(*order)
+    # a hash of the text parts rows of one doc_id, or of none, over the ranges
+    order = order or [docs["doc_id"].cast("long").asc_nulls_last(), F.xxhash64(docs["text"]).asc()]
+    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     parts = sorted(arrow_map(rows, _write_map(folder, tokenizer, end_id), "part long, n_docs long, n_ids long, kind string").collect())
     bases = [0, *accumulate(p.n_ids for p in parts)]
     table = spark.createDataFrame([(*p, b) for p, b in zip(parts, bases)], "part long, n_docs long, n_ids long, kind string, base long")
     return folder, materialise(table, "token-parts")
 
 
+def stored_order(docs: DataFrame) -> list[Column] | None:
+    """Columns by which rows read from files stand as they were written by a sorted job: file name (part number first), then row.
+    None for rows that come from no file."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        docs.select(at["row_index"]).schema  # noqa: B018  resolves the column
+    except AnalysisException:
+        return None
+    return [at["file_name"], at["row_index"]]
+
+
 def read_tokens(folder: str, parts: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens (with the end id) and ids_crc32 (of the ids as little-endian
-    unsigned 32-bit integers), from the memory-mapped files."""
+    unsigned 32-bit integers), from the memory-mapped files, one row per document that was written: those of empty or null
+    texts, repeated rows and rows without a doc_id (null here) included. No parts give no rows. Nothing else of the
+    documents' table is read."""
     n = max(1, parts.count())
     return arrow_map(parts.repartition(n), _read_map(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")

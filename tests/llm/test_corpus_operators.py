@@ -198,8 +198,74 @@ def test_packing_is_lossless():
         assert (ngram_lm.unpacked(ngram_lm.packed(x), 1000) == x).all()
 
 
-def test_line_dedup_matches_sql(documents, db):
-    same(linededup.dedup_lines(documents).toPandas(), db.sql(linededup.oracle()).df())
+@pytest.mark.parametrize("min_words", [5, 10, 50])
+def test_line_dedup_matches_sql(documents, db, min_words):
+    same(linededup.dedup_lines(documents, min_words).toPandas(), db.sql(linededup.oracle(min_words)).df())
+
+
+def plain_windows(found, least):
+    """Index ranges of the shortest run from each line on with so many words."""
+    for i in range(len(found)):
+        words = 0
+        for j in range(i, len(found)):
+            words += found[j].w
+            if words >= least:
+                yield i, j
+                break
+
+
+def test_fingerprints_are_the_minima_of_windows(spark, documents):
+    """One place per window, the last of the least hashes; far fewer than there are lines where lines are short."""
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(k, "\n".join(f"l{rng.integers(30)} x" for _ in range(200))) for k in range(5)], "doc_id long, text string").unionByName(documents.select("doc_id", "text").where("doc_id > 10"))
+    found = linededup.lines(docs, 20)
+    got = defaultdict(set)
+    for r in linededup.fingerprints(found, 20).collect():
+        got[r.doc_id].add((r.pos, r.h))
+    want, n_lines = defaultdict(set), Counter()
+    for r in found.collect():
+        n_lines[r.doc_id] = len(r.found)
+        for i, j in plain_windows(r.found, 20):
+            least = min(r.found[i : j + 1], key=lambda x: (x.h, -x.pos))
+            want[r.doc_id].add((least.pos, least.h))
+    assert dict(got) == {k: v for k, v in want.items() if v}
+    assert all(len(got[k]) < n_lines[k] / 2 for k in range(5))
+
+
+def test_only_windows_around_joined_fingerprints_are_compared(spark):
+    """What the join of fingerprints does not match is not extended, so a repeat is found by its fingerprint and by nothing else."""
+    passage = "\n".join(f"shared line {k} of some words" for k in range(12))
+    own = lambda d: "\n".join(f"own line {k} of text {d} alone" for k in range(30))
+    docs = spark.createDataFrame([(d, f"{own(d)}\n{passage}\n{own(-d)}") for d in range(1, 5)], "doc_id long, text string")
+    found = linededup.lines(docs, 50).cache()
+    matched = linededup.matches(linededup.fingerprints(found, 50))
+    assert {p for r in matched.collect() for p in r.places} <= set(range(30, 42))
+    runs = linededup.extended(found, matched, 50)
+    near = runs.collect()
+    # a window holds 9 lines or so of 6 words: only those that reach a place of the passage are there
+    assert near and all(r.last >= 30 and r.first <= 41 for r in near)
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in linededup.repeats(runs).collect()}
+    assert spans == {d: [(30, 41)] for d in (2, 3, 4)}
+    none = matched.where("doc_id < 0")
+    assert linededup.repeats(linededup.extended(found, none, 50)).count() == 0
+    found.unpersist()
+
+
+def test_many_short_lines_and_overlapping_repeats(spark, db):
+    """Texts that repeat a short cycle of lines: runs overlap their own first copies, and one text holds many spans."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for d in range(12):
+        cycle = [f"c{rng.integers(6)} w" for _ in range(rng.integers(3, 9))]
+        rows.append((d, "\n".join([*(cycle * 6), "", *(f"u{rng.integers(9)} v" for _ in range(40))])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    import pandas as pd
+
+    cycles = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841  read by name
+    for least in (4, 12):
+        want = db.sql(linededup.oracle(least).replace("FROM documents", "FROM cycles")).df()
+        assert want.n_deleted.sum() > 0
+        same(linededup.dedup_lines(frame, least).toPandas(), want)
 
 
 def test_shared_passages_go_after_the_first(spark):
@@ -233,14 +299,13 @@ def test_pipeline_is_its_stages_done_plainly(spark, documents, benchmark_items,
     single = {i for i in good if comp[i] == i}
     clean = {i for i in single if not any(b.text in rows[i].text for b in benchmark_items.collect())}
     left = documents.where(F.col("doc_id").isin(sorted(clean)))
-    times = {r.doc_id: len(r.occurrences) for r in mixing.plan(left).collect() if r.occurrences}
+    curriculum = sorted((o.position, r.doc_id, o.epoch) for r in mixing.plan(left).collect() for o in r.occurrences)
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want, start = [], 0
-    for i in sorted(times):
+    for _, i, _ in curriculum:
         ids = np.array([*whole.encode(rows[i].text, add_special_tokens=False).ids, 1], "<u4")
-        for _ in range(times[i]):
-            want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
-            start += len(ids)
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert sorted(map(tuple, got), key=lambda x: x[1]) == want
 

@@ -136,6 +136,47 @@ def test_feistel_is_a_permutation(spark):
     assert len({r.x for r in letters}) == 1000 and all(re.fullmatch(r"[a-z]\d{3}[A-Z]", r.x) for r in letters)
 
 
+#: Numbers in many layouts, and things that look like them.
+PRIVATE = """+1 212 555 1234 | +12125551234 | +1-212-555-1234 | +1 (212) 555-1234 | (212) 555-1234 | 212-555-1234 | 212.555.1234 | 1-212-555-1234 | 1 (212) 555-1234
++44 20 7946 0958 | +442079460958 | +44 (0)20 7946 0958 | +49 30 1234567 | +49301234567 | +33 1 23 45 67 89 | +33123456789 | +7 495 123 45 67 | +353 1 234 5678 | +212 522 123456
+12/31/2020 | 31/12/2020 | 2020-12-31 | 02/29/2024 | 02/30/2024 | 2024-02-29 | 05/06/2021 | 06/05/2021
+token = "0123456789abcdef0123" | API_KEY: 0123456789ABCDEF0123 | 'secret':'0123456789abcdef0123' | password=0123456789abcdef0123 | key 0123456789abcdef0123 | sha 0123456789abcdef0123
+jos\u00e9.m\u00fcller@x.org | jos\u00e8.m\u00fcller@x.org | \u6f22\u5b57.a1@x.org | Ann.B-9@example.org, ann@b.co.uk. | 999-12-3456 | 219-09-9999
+123-456-7890 | 212-155-1234 | 5212-555-1234 | 212-555-12345 | 4111 1111 1111 1111 | 4111-1111-1111-1112 | 10.0.0.1 | 1.2.3 | 3.14159 | page 212-555 | 1999-2001 | +1 2"""
+
+
+def test_pseudonyms_match_a_plain_version(spark, documents, edge):
+    from .plain_pii import pseudonymise
+
+    own = spark.createDataFrame([(k, t) for k, t in enumerate([PRIVATE, *PRIVATE.split("\n"), *PRIVATE.replace("\n", " | ").split(" | ")])], "doc_id long, text string")
+    values = 0
+    for docs in (own, documents, edge):
+        rows = docs.select("doc_id", "text").collect()
+        want = Counter((r.doc_id, *pseudonymise(r.text, "k")) for r in rows)
+        assert Counter(map(tuple, pii.pseudonymise(docs, "k").collect())) == want
+        values += sum(n * c for (_, _, n, _), c in want.items())
+    assert values > 100
+
+
+def test_one_value_has_one_pseudonym_in_any_layout(spark):
+    lines = PRIVATE.split("\n")
+    rows = [(100 * k + i, v.strip()) for k, line in enumerate(lines) for i, v in enumerate(line.split(" | "))]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    plain = lambda i: re.sub(r"\D", "", got[i].text.replace("(0)", ""))
+    american = {plain(k)[-10:] for k in range(9)}
+    assert len(american) == 1 and re.fullmatch(r"[2-9]\d\d[2-9]\d{6}", american.pop()) and "2125551234" not in plain(0)
+    assert len({plain(k) for k in (100, 101, 102)}) == len({plain(k) for k in (103, 104)}) == len({plain(k) for k in (105, 106)}) == 1
+    for k, code in ((100, "+44"), (103, "+49"), (107, "+7 "), (108, "+353"), (109, "+212")):
+        assert got[k].text.startswith(code) and got[k].text != dict(rows)[k]
+    us, eu, iso = (re.findall(r"\d+", got[k].text) for k in (200, 201, 202))
+    assert (us[2], us[0], us[1]) == (eu[2], eu[1], eu[0]) == tuple(iso) and got[204].n_replaced == 0 and iso != ["2020", "12", "31"]
+    assert plain(203) and {got[k].n_replaced for k in (206, 207)} == {1}
+    hidden = {re.findall("[0-9a-f]{20}", got[k].text.lower())[0] for k in (300, 301, 302, 303)}
+    assert len(hidden) == 1 and hidden != {"0123456789abcdef0123"} and got[304].n_replaced == got[305].n_replaced == 0
+    assert got[400].text != got[401].text and got[404].n_replaced == 0
+    assert [got[500 + k].n_replaced for k in range(12)] == [0, 0, 0, 0, 1, 0, 1, 0, 0, 0, 0, 0]
+
+
 def test_pseudonyms_edges(edge, empty):
     got = pii.pseudonymise(edge)
     assert sorted(map(str, (r.text for r in got.collect()))) == sorted(map(str, (r.text for r in edge.select("text").collect())))
@@ -192,6 +233,71 @@ def test_licence_spans(spark):
     assert (got[3].labels, got[3].score) == ("", 0) and got[4].labels == "cc-by-nc"
 
 
+def plain_spans(text, p=licenses.Scan()):
+    """(label, first, last, share) from runs found by comparing every place of the text with every place of every template."""
+    file = licence_words(text)
+    templates = [licence_words(t) for _, t in licenses.TEMPLATES]
+    run = {}  # (template, place in it, place in the file) -> length of the run that ends there
+    for t, words_ in enumerate(templates):
+        at = {}
+        for j, w in enumerate(words_):
+            at.setdefault(w, []).append(j)
+        for k, w in enumerate(file):
+            for j in at.get(w, ()):
+                run[t, j, k] = run.get((t, j - 1, k - 1), 0) + 1
+    longest = Counter()
+    for (_, _, k), n in run.items():
+        longest[k] = max(longest[k], n)
+    chains = {}
+    for (t, j, k), n in sorted(run.items(), key=lambda x: (x[0][2] - x[1], x[0][1] - x[1], x[1])):
+        if n != longest[k] or n < p.least_run or longest[k + 1] == n + 1:
+            continue
+        best = None
+        for c in chains.setdefault(t, []):
+            new = min(n, k - c["k"], j - c["j"])
+            if new > 0 and k - n - c["k"] <= p.gap and j - n - c["j"] <= p.gap and (best is None or c["n"] > best["n"]):
+                best = c
+        if best is None:
+            chains[t].append({"first": k - n + 1, "k": k, "j": j, "n": n})
+        else:
+            best["n"] += min(n, k - best["k"], j - best["j"])
+            best["k"], best["j"] = k, j
+    return Counter((licenses.TEMPLATES[t][0], c["first"], c["k"], min(1, c["n"] / len(templates[t]))) for t, cs in chains.items() for c in cs if c["n"] >= p.covered * len(templates[t]))
+
+
+def licence_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(FOLD))
+
+
+def test_licence_spans_match_a_plain_version(spark, documents, edge):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k, (_, t) in enumerate(licenses.TEMPLATES * 2):
+        w = t.split()
+        for _ in range(int(rng.integers(0, 2 + len(w) // 12))):
+            at = int(rng.integers(len(w)))
+            w[at : at + int(rng.integers(0, 4))] = ["changed"] * int(rng.integers(0, 3))
+        rows.append((k, "before it " + " ".join(w) + " and after " + (licenses.TEMPLATES[int(rng.integers(len(licenses.TEMPLATES)))][1] if k % 3 == 0 else "")))
+    damaged = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = 0
+    for docs in (damaged, documents, edge):
+        for r, text in zip(licenses.scan(docs).collect(), [x.text for x in docs.select("text").collect()]):
+            want = plain_spans(text)
+            assert Counter((s.label, s["first"], s.last, s.covered) for s in r.spans) == want
+            found = {x[0] for x in want} | set(filter(None, r.base_labels.split(",")))
+            assert r.labels == ",".join(sorted(found)) and r.score == max([x[3] for x in want] + [0.5 * (r.n_base > 0)])
+            seen += len(want)
+    assert seen > 80
+
+
+def test_whole_licences_have_their_labels(spark):
+    rows = [(k, t) for k, (_, t) in enumerate(licenses.TEMPLATES)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[k].labels.split(",") and got[k].score == 1
+    assert {label for label, _ in licenses.TEMPLATES} >= {"zlib", "boost", "epl", "gpl", "apache", "bsd", "mit", "isc"}
+
+
 def test_licence_empty(empty):
     assert licenses.scan(empty).count() == 0
 
@@ -240,6 +346,53 @@ def test_leaks_within_the_edit_budget_are_found(spark):
             assert near == ((r, w) in found)
 
 
+def test_short_items_are_found_by_all_their_words(spark):
+    items = [(1, "Two plus two?"), (2, "x"), (3, "The end."), (None, "Plus, TWO"), (4, "..."), (5, "plus two"), (6, "a short item of six words"), (7, "Two plus two?")]
+    texts = [(1, "what is two - PLUS two"), (2, "two plus twofold x1 ax"), (3, "x"), (4, "the\nend, of it"), (5, "the ending bend"), (6, "...?!"), (7, None), (8, "a short item of six"), (9, "see: A short item of, six words"), (None, "the end")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    flat = lambda t: [w for w in re.split(r"[^a-z0-9]+", (t or "").lower()) if w]
+    want = Counter()
+    for d, t in texts:
+        for i, item in items:
+            w, x = flat(t), flat(item)
+            want[d, i] += any(x and w[k : k + len(x)] == x for k in range(len(w)))
+    got = decontam.leaks(docs, bench).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got) == +want and all((r.distance, r.n_windows, r.covered) == (0, 1, 1.0) for r in got)
+    assert {r.first_char for r in got if (r.doc_id, r.item_id) == (1, 1)} == {8}
+    clean = decontam.keep_clean(docs, bench)
+    assert {r.doc_id for r in clean.collect()} == {d for d, _ in texts} - {d for d, _ in +want} and clean.count() == 5
+
+
+def test_a_text_of_one_letter_is_searched_in_bounded_memory(spark):
+    """100,000 equal letters against an item that holds 100 of them: 8.9 million pairs of places, summed lot by lot."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    p = decontam.Search()
+    index = decontam.Index([(1, "some words first " + "z" * 100 + " and some words after it")], p)
+    buf, offs = decontam.normalised(pa.array(["z" * 100_000, "q" * 500]))
+    small = decontam.Search(lot=1 << 16)
+    tracemalloc.start()
+    got = decontam.shared_grams(buf, offs, decontam.Index([(1, "some words first " + "z" * 100 + " and some words after it")], small))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    assert all((a == b).all() for a, b in zip(got, decontam.shared_grams(buf, offs, index)))
+    docs = spark.createDataFrame([(1, "z" * 100_000), (2, "y" * 100_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "z" * 120), (2, "short words here")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontam.leaks(docs, bench).collect()} == {(1, 1, 0)}
+
+
+def test_a_benchmark_of_many_blocks_gives_the_same(documents, edge, benchmark_items):
+    one, many = decontam.Search(), decontam.Search(block=500, sieve_bits=16, lot=1 << 12)
+    for docs in (documents, edge):
+        assert sorted(map(str, decontam.leaks(docs, benchmark_items, many).collect())) == sorted(map(str, decontam.leaks(docs, benchmark_items, one).collect()))
+        assert sorted(map(str, decontam.keep_clean(docs, benchmark_items, many).collect())) == sorted(map(str, decontam.keep_clean(docs, benchmark_items, one).collect()))
+    assert decontam.leaks(documents, benchmark_items).count() > 0
+
+
 def test_leaks_edges(spark, edge, empty, benchmark_items):
     odd = spark.createDataFrame([(None, "x" * 80), (1, None), (2, ""), (3, "short"), (4, LONG[300:900])], "item_id long, text string")
     assert {r.doc_id for r in decontam.leaks(edge, odd).collect()} == {6}
@@ -262,6 +415,62 @@ def test_shards(request, table):
         assert by_id.setdefault(r.doc_id, (r.shard, r.grown_shard)) == (r.shard, r.grown_shard)
 
 
+def plain_shards(rows, owner, shards):
+    """(doc_id, size, crc, shard, slot, grown shard, virtual slot) of each row, by sorting."""
+    import hashlib
+
+    grown = dict.fromkeys(sharding.grow(owner, shards), shards)
+    out = []
+    for r in rows:
+        raw = (r.text or "").encode()
+        key = hashlib.md5(f"slots|{'n' if r.doc_id is None else f'v{r.doc_id}'}".encode()).hexdigest()
+        v = int(key[:12], 16) % len(owner)
+        out.append((owner[v], v, r.doc_id is not None, r.doc_id or 0, zlib.crc32(raw), len(raw) + 16, grown.get(v, owner[v])))
+    place, done = Counter(), []
+    for shard, v, has, doc, crc, size, later in sorted(out):
+        done.append((doc if has else None, size, crc, shard, place[shard], later, v))
+        place[shard] += 1
+    return Counter(done)
+
+
+@pytest.mark.parametrize("table", ["documents", "edge"])
+def test_shards_match_a_plain_version(request, table):
+    docs = request.getfixturevalue(table)
+    want = plain_shards(docs.select("doc_id", "text").collect(), [o for _, _, o in sharding.first_map(7)], 7)
+    got = sharding.shard(docs, 7).select("doc_id", "size", "text_crc32", "shard", "slot", "grown_shard", "vslot").collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_one_key_with_most_rows(spark):
+    rows = [(7, "same text")] * 500 + [(None, "same text")] * 300 + [(k, "x" * k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = plain_shards(docs.collect(), [o for _, _, o in sharding.first_map(3)], 3)
+    assert Counter(map(tuple, sharding.shard(docs, 3).select("doc_id", "size", "text_crc32", "shard", "slot", "grown_shard", "vslot").collect())) == want
+
+
+def test_a_stored_map_is_edited_and_read_again(spark, documents, tmp_path):
+    path = f"file://{tmp_path}/map"
+    rows = documents.select("doc_id", "text").collect()
+    get = lambda: Counter(map(tuple, sharding.shard(documents, 5, path=path).select("doc_id", "size", "text_crc32", "shard", "slot", "grown_shard", "vslot").collect()))
+    first = get()
+    version, shards, owner = sharding.load_map(spark, path)
+    assert (version, shards) == (1, 5) and first == get() == plain_shards(rows, owner, 5)
+    # a second run with another number still uses the stored map
+    assert Counter(map(tuple, sharding.shard(documents, 9, path=path).select("doc_id", "shard").collect())) == Counter((r[0], r[3]) for r in first)
+    assert sharding.add_shard(spark, path) == 2
+    version, shards, grown = sharding.load_map(spark, path)
+    assert shards == 6 and all(a == b or b == 5 for a, b in zip(owner, grown)) and get() == plain_shards(rows, grown, 6)
+    assert {(r[0], r[5]) for r in first} == {(r[0], r[3]) for r in get()}
+    assert sharding.rebalance_map(spark, path, documents, 0.01) == 3
+    _, _, even = sharding.load_map(spark, path)
+    assert even != grown and get() == plain_shards(rows, even, 6)
+    load = lambda o: [sum(r[1] for r in plain_shards(rows, o, 6).elements() if r[3] == s) for s in range(6)]
+    assert max(load(even)) < max(load(grown)) and sharding.load_map(spark, path, 1)[2] == owner
+    # a version whose job did not finish does not count
+    (tmp_path / "map" / "version=4").mkdir()
+    assert sharding.load_map(spark, path)[0] == 3 and sharding.rebalance_map(spark, path, documents, 0.01) in (3, 4)
+
+
 def test_shard_map_edits():
     for n in (1, 2, 39, 40):
         owner = [o for _, _, o in sharding.first_map(n)]
