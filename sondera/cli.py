@@ -62,6 +62,8 @@ def ablation(spark: SparkSession, output: str, s: control.Settings) -> None:
     """Reweights saved candidates under a family cap and weighs edge patches down; no new search."""
     evidence = spark.read.parquet(f"{output}/evidence")
     plan = spark.read.parquet(f"{output}/plan")
+    asked = plan.where("role IN ('calibration', 'evaluation')").withColumnRenamed("image_id", "sample_id")
+    checks.require_none(checks.evidence_mismatch(asked, evidence.withColumnRenamed("image_id", "sample_id")), "saved evidence is not that of the plan")
     bank = plan.where("role = 'bank'").select(F.col("vec_id").alias("bank_id"), "embedding")
     family = plan.where("role = 'bank'").select(F.col("vec_id").alias("bank_id"), "family")
     candidates = evidence.select(F.col("vec_id").alias("query_id"), F.inline("candidates")).drop("weight").join(family, "bank_id")

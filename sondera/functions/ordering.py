@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def shuffle_key(seed: int, salt: str, *columns: Column) -> Column:
     """md5 of seed|salt|columns: an order that looks random, is the same on every engine and needs no state."""
@@ -28,19 +30,33 @@ def hashed_rank(df: DataFrame, key: str, tie: str, out: str, partition: tuple[st
     return joined.withColumn(out, F.col("__base") + F.col("__place")).drop("__bucket", "__place", "__base", *[f"__p{k}" for k in range(len(by))])
 
 
+def _by_ranges(df: DataFrame, partition: list[str], order: list[Column]) -> DataFrame:
+    """df range-partitioned in order, with the number of each row's range. It is written to the shared folder, so that all that
+    read it see the same ranges, whatever executors are lost."""
+    ranged = df.repartitionByRange(*[F.col(c) for c in partition], *order).withColumn("__range", F.spark_partition_id())
+    return materialise(ranged, "ranges")
+
+
 def ordered_rank(df: DataFrame, partition: list[str], order: list[str], out: str) -> DataFrame:
     """Adds the 0-based rank of each row in order, within partitions that may be few and large: rows are range-partitioned,
-    counted per range, and ranked within it. The ranges are kept, so that counts and ranks see the same ones (a lost part is
-    worked out again from the same shuffle). order must not have ties that matter."""
-    ranged = df.repartitionByRange(*partition, *order).withColumn("__range", F.spark_partition_id()).persist()
+    counted per range, and ranked within it. order must not have ties that matter."""
+    return running_sums(df.withColumn("__one", F.lit(1).cast("long")), partition, [F.col(c) for c in order], {"__one": out}, before=True).drop("__one")
+
+
+def running_sums(df: DataFrame, partition: list[str], order: list[Column], sums: dict[str, str], before: bool = False) -> DataFrame:
+    """Adds the running sum of each column of sums, under the name given for it, in order within partitions: up to and with each
+    row, or before it. No task holds more than one range of rows, or one row of sums per range."""
+    ranged = _by_ranges(df, partition, order)
     by = [*partition, "__range"]
-    counts = ranged.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    whole = ranged.groupBy(*by).agg(*[F.sum(c).alias(f"__s{k}") for k, c in enumerate(sums)])
     up = Window.partitionBy(*partition).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(*[F.col(c).alias(f"__p{k}") for k, c in enumerate(by)], F.coalesce(F.sum("__n").over(up), F.lit(0)).alias("__base"))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    base = whole.select(*[F.col(c).alias(f"__p{k}") for k, c in enumerate(by)], *[F.coalesce(F.sum(f"__s{k}").over(up), F.lit(0)).alias(f"__b{k}") for k in range(len(sums))])
+    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__p{k}")) for k, c in enumerate(by)])
-    joined = ranged.withColumn("__place", place).join(base, on)
-    return joined.withColumn(out, F.col("__base") + F.col("__place")).drop("__range", "__place", "__base", *[f"__p{k}" for k in range(len(by))])
+    rows = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__i{k}") for k, c in enumerate(sums)]).join(base, on)
+    for k, name in enumerate(sums.values()):
+        rows = rows.withColumn(name, F.col(f"__b{k}") + F.col(f"__i{k}"))
+    return rows.drop("__range", *[f"__p{k}" for k in range(len(by))], *[f"__{x}{k}" for k in range(len(sums)) for x in "bi"])
 
 
 def even_places(n: Column, count: int) -> Column:
@@ -52,7 +68,3 @@ def even_places(n: Column, count: int) -> Column:
         step = (n - 1).cast("double") / float(count - 1)
         spread = F.transform(steps, lambda i: F.when(i == count - 1, (n - 1).cast("long")).otherwise(F.floor(i * step).cast("long")))
     return F.when(n <= count, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(spread)
-
-
-def round_half_even(x: Column) -> Column:
-    return F.bround(x)

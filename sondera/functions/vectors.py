@@ -41,10 +41,15 @@ def weighted_sum(rows: Column) -> Column:
 
 
 def occupancy(v: Column, above: float) -> Column:
-    """Share of components whose magnitude is above a bound."""
+    """Share of components whose magnitude is above a bound (grids.pixel_occupancy has the one over pixels)."""
     return F.size(F.filter(v, lambda x: F.abs(x) > above)) / F.size(v)
 
 
 def token_slice(tokens: Column, special: int) -> Column:
     """Patch tokens after the leading class and register tokens."""
     return F.slice(tokens, F.lit(special + 1), F.greatest(F.size(tokens) - special, F.lit(0)))
+
+
+def storage_floats(v: Column) -> Column:
+    """Vectors as they are stored, in single precision."""
+    return v.cast("array<float>")

@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.ordering import shuffle_key
 
 # Region numbers, the classes of each region, and the classes outside the face. Hair is both.
-BACKGROUND, SKIN, EYEBROWS, EYES, NOSE, MOUTH, HAIR, FACE_BOUNDARY = range(8)
+BACKGROUND = 0
+SKIN = 1
+EYEBROWS = 2
+EYES = 3
+NOSE = 4
+MOUTH = 5
+HAIR = 6
+FACE_BOUNDARY = 7
 REGION_CLASSES = {SKIN: (2,), EYEBROWS: (6, 7), EYES: (8, 9, 15), NOSE: (10,), MOUTH: (11, 12, 13), HAIR: (14,), FACE_BOUNDARY: (4, 5)}
 NON_FACE = (0, 1, 3, 14, 16, 17, 18, 255)
 SKIN_CLASS = 2
@@ -75,6 +82,21 @@ def covering_mask(cells: DataFrame, image: str, ratio: float, seed: int) -> Data
     return rows.select(image, "row", "col", "region", "masked", (first & F.col("sure")).alias("in_primary"))
 
 
+def pixel_occupancy(pixels: DataFrame, image: str, patch: int, above: int = 16) -> DataFrame:
+    """(image, row, col, occupancy): of each patch of `patch` pixels a side the share of pixels whose brightest channel is above a
+    bound: a box average of the foreground. pixels: (image, y, x, r, g, b)."""
+    bright = (F.greatest("r", "g", "b") > above).cast("double")
+    cell = [F.col(image), F.floor(F.col("y") / patch).cast("int").alias("row"), F.floor(F.col("x") / patch).cast("int").alias("col")]
+    return pixels.groupBy(*cell).agg(F.avg(bright).alias("occupancy"))
+
+
+def area_gate(masks: DataFrame, image: str, least: float) -> DataFrame:
+    """(image, area): share of an image's pixels with class 1, null where it has none or it is under the least. masks: (image,
+    class), a row per pixel."""
+    area = F.avg((F.col("class") == 1).cast("double"))
+    return masks.groupBy(image).agg(F.when((area > 0) & (area >= least), area).alias("area"))
+
+
 def logits_to_class(logits: Column, least: float, uncertain: int = 255) -> Column:
     """Arg-max of an array of logits, or `uncertain` where its softmax is below a confidence."""
     top = F.array_max(logits)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..plans import checks
 from . import sampling, splits
 
 
@@ -36,19 +37,17 @@ def unique_match(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("path", F.when(bad, F.raise_error(F.concat(F.lit("not exactly one file for "), F.col(key).cast("string")))).otherwise(F.col("path"))).drop("__n")
 
 
-def majority_role_counts(rows: DataFrame) -> DataFrame:
-    """(role, items) of planned rows."""
-    return rows.groupBy("role").agg(F.count(F.lit(1)).alias("items"))
-
-
 def video_candidates(labels: DataFrame, manifests: DataFrame, parts: DataFrame, segmented: DataFrame, frames: int) -> DataFrame:
     """(video, family, y, part, frames): labelled videos whose manifest, part file and label agree, with at most `frames` evenly
     spaced segmented face frames each.
 
     labels (filename, label); manifests (part, video, source, label, frames ARRAY<STRUCT<status, frame_index, file>>); parts (part,
-    filename, label, original); segmented (file). Videos without a label are left out; contradicting labels are an error."""
+    filename, label, original); segmented (file). Videos without a label are left out, and so are those without a frame (audit()
+    counts them); a video that has two labels or two manifests, or labels that contradict one another, is an error."""
     named = labels.select(paths.stem(F.col("filename")).alias("video"), F.col("label").alias("csv_label"))
+    checks.require_none(label_conflicts(named, "video", "csv_label"), "videos with more than one label")
     rows = manifests.join(named, "video")
+    checks.require_none(checks.duplicates(rows, ["video"]), "videos with more than one manifest")
     agree = F.col("label") == F.col("csv_label")
     rows = rows.withColumn("y", F.when(agree, F.col("label")).otherwise(F.raise_error(F.concat(F.lit("labels differ for "), F.col("video"))).cast("int")))
     raw = parts.select("part", F.col("filename").alias("source"), F.when(F.col("label") == "FAKE", 1).when(F.col("label") == "REAL", 0).alias("raw_label"), "original")
@@ -63,6 +62,23 @@ def video_candidates(labels: DataFrame, manifests: DataFrame, parts: DataFrame,
     return out.withColumn("video", F.concat_ws("/", "part", "video"))
 
 
+def audit(labels: DataFrame, manifests: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: csv_videos, missing_manifests (labels without one), zero_face_videos (no frame was left), eligible_videos."""
+    a = labels.select(paths.stem(F.col("filename")).alias("stem")).withColumn("l", F.lit(1))
+    b = manifests.select(F.col("video").alias("stem")).withColumn("m", F.lit(1))
+    c = candidates.select(paths.name(F.col("video")).alias("stem")).withColumn("c", F.lit(1))
+    has = lambda x: F.col(x).isNotNull()
+    both = a.join(b, "stem", "left").join(c, "stem", "left")
+    return both.agg(F.count(F.lit(1)).alias("csv_videos"), F.count_if(~has("m")).alias("missing_manifests"), F.count_if(has("m") & ~has("c")).alias("zero_face_videos"), F.count_if(has("c")).alias("eligible_videos"))
+
+
+def bank_only_plan(candidates: DataFrame, limit: int, seed: int = splits.SEED) -> DataFrame:
+    """The bank of an independent run: frames of the first `limit` real videos in keyed order, with sample_id."""
+    chosen = splits.bank_only(candidates, limit, seed)
+    rows = chosen.select(F.lit("bank").alias("role"), "video", "family", "y", F.explode("frames").alias("f")).select("role", "video", "family", "y", "f.*")
+    return splits.sample_ordinals(rows, "role", "video", "frame_index")
+
+
 def plan(candidates: DataFrame, seed: int = splits.SEED) -> DataFrame:
     """The full split of video candidates, one row per frame: role, sample_id (per role, by video and frame), video, family, y,
     frame_index, file."""

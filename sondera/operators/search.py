@@ -1,8 +1,9 @@
 """Exact cosine nearest neighbours of queries in a bank of vectors.
 
-Vectors are packed into blocks and compared by matrix products in Arrow workers. A bank of proven size is broadcast; a larger
-one stays distributed: each block of queries meets each block of the bank by an equi-join on block numbers, gives its
-own best k, and these are merged, so that no worker ever holds more than two blocks. Ties go to the smaller bank id.
+Vectors are packed into blocks and compared by matrix products in Arrow workers. A bank of proven size that fits a worker's
+memory is broadcast, and nothing is shuffled; a larger one stays distributed: each block of queries meets each block of the
+bank by an equi-join on block numbers, gives its own best k, and these are merged, so that no worker ever holds more than two
+blocks. Blocks are halved until they fit. Ties go to the smaller bank id.
 """
 
 from __future__ import annotations
@@ -18,7 +19,11 @@ from ..session import arrow_map, ship
 
 #: Bytes of bank vectors (as doubles) that are broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Bytes that a worker may take for a search.
+MEMORY = 1 << 30
 QUERY_BLOCK, BANK_BLOCK = 1024, 16384
+#: Blocks are not made smaller than this.
+LEAST_BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -37,6 +42,29 @@ class Need:
         return self.bank_rows * self.dim * self.element + q * b * self.element + b * self.dim * (self.element + 4) + self.reserve
 
 
+@dataclass(frozen=True)
+class Way:
+    """How a search runs: with the whole bank in each worker or by pairs of blocks, and the sizes of blocks."""
+
+    broadcast: bool
+    query_block: int
+    bank_block: int
+
+
+def way(bank_rows: int, dim: int, broadcast_bytes: int = BROADCAST_BYTES, memory: int = MEMORY) -> Way:
+    """The way for a bank: broadcast if its vectors are under the bound and all that a worker then needs fits its memory; else blocks,
+    halved until two of them fit. A memory that not even the least blocks fit is an error, before any work is done."""
+    if bank_rows * dim * 8 <= broadcast_bytes and Need(bank_rows, dim, query_block=QUERY_BLOCK, bank_block=BANK_BLOCK).bytes() <= memory:
+        return Way(True, QUERY_BLOCK, BANK_BLOCK)
+    q, b = QUERY_BLOCK, BANK_BLOCK
+    # a block of the bank is all of the bank that a worker holds
+    while (need := Need(min(b, bank_rows), dim, query_block=q, bank_block=b).bytes()) > memory:
+        if b <= LEAST_BLOCK:
+            raise MemoryError(f"a search of {bank_rows} vectors of {dim} needs {need} bytes a worker at least, {memory} are given")
+        q, b = max(LEAST_BLOCK, q // 2), b // 2
+    return Way(False, q, b)
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -65,21 +93,23 @@ def best(query: np.ndarray, bank: np.ndarray, ids: np.ndarray, k: int) -> tuple[
     return row[keep], ids[col[keep]], value[keep]
 
 
-SCHEMA = "query_id long, bank_id long, similarity double"
+SCHEMA = "query_id long, rank int, bank_id long, similarity double"
 
 
 def _out(ids: np.ndarray, row: np.ndarray, bank: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(bank, pa.int64()), pa.array(value)], ["query_id", "bank_id", "similarity"])
+    """Rows in order of row and rank; ranks of a block's own best are worked out again when blocks are merged."""
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    return pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(rank, pa.int32()), pa.array(bank, pa.int64()), pa.array(value)], ["query_id", "rank", "bank_id", "similarity"])
 
 
-def _broadcast_map(shared, k: int):
+def _broadcast_map(shared, k: int, w: Way):
     def run(batches):
         ids, bank = shared.value
         for batch in batches:
-            for s in range(0, batch.num_rows, QUERY_BLOCK):
-                part = batch.slice(s, QUERY_BLOCK)
+            for s in range(0, batch.num_rows, w.query_block):
+                part = batch.slice(s, w.query_block)
                 q = _unit(_matrix(part.column(1)))
-                found = [best(q, bank[b : b + BANK_BLOCK], ids[b : b + BANK_BLOCK], k) for b in range(0, len(ids), BANK_BLOCK)]
+                found = [best(q, bank[b : b + w.bank_block], ids[b : b + w.bank_block], k) for b in range(0, len(ids), w.bank_block)]
                 row, col, value = map(np.concatenate, zip(*found))
                 order = np.lexsort((col, -value, row))
                 row, col, value = row[order], col[order], value[order]
@@ -114,23 +144,24 @@ def _pair_map(k: int):
     return run
 
 
-def nearest(queries: DataFrame, bank: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def nearest(queries: DataFrame, bank: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES, memory: int = MEMORY) -> DataFrame:
     """(query_id, rank from 1, bank_id, similarity) of the k nearest bank vectors of each query; both are (id, embedding). Fewer than
-    k bank vectors, a zero norm or a non-finite component is an error."""
+    k bank vectors, a zero norm or a non-finite component is an error, and so is a memory that no way of searching fits."""
     spark = queries.sparkSession
     ship(spark)
     queries, bank = queries.toDF("id", "embedding"), bank.toDF("id", "embedding")
     size = bank.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     if size.n < k:
         raise ValueError(f"{k} neighbours of a bank of {size.n}")
-    if size.n * size.dim * 8 <= broadcast_bytes:
-        rows = bank.orderBy("id").toArrow()
+    w = way(size.n, size.dim, broadcast_bytes, memory)
+    if w.broadcast:
+        rows = bank.toArrow()
         ids, m = rows.column("id").to_numpy(), _unit(_matrix(rows.column("embedding")))
-        found = arrow_map(queries, _broadcast_map(spark.sparkContext.broadcast((ids, m)), k), SCHEMA)
-    else:
-        q, _ = _packed(queries, QUERY_BLOCK, queries.count(), "q")
-        b, n = _packed(bank, BANK_BLOCK, size.n, "b")
-        q = q.withColumn("b_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-        found = arrow_map(q.join(b, "b_block"), _pair_map(k), SCHEMA)
+        order = np.argsort(ids, kind="stable")
+        return arrow_map(queries, _broadcast_map(spark.sparkContext.broadcast((ids[order], m[order])), k, w), SCHEMA)
+    q, _ = _packed(queries, w.query_block, queries.count(), "q")
+    b, n = _packed(bank, w.bank_block, size.n, "b")
+    q = q.withColumn("b_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    found = arrow_map(q.join(b, "b_block"), _pair_map(k), SCHEMA).drop("rank")
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "bank_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "bank_id", "similarity")

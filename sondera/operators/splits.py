@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import hashed_rank, ordered_rank, shuffle_key
+from ..session import materialise
 
 SEED = 42
+#: So many families, by count, are ranked in one task and broadcast; more are ranked by buckets and joined by a shuffle.
+FEW_FAMILIES = 100_000
 
 
 def family_profile(rows: DataFrame) -> DataFrame:
@@ -15,24 +18,28 @@ def family_profile(rows: DataFrame) -> DataFrame:
     return rows.groupBy("family").agg(F.count(F.lit(1)).alias("items"), F.bool_or(F.col("y") == 0).alias("any_real"), F.bool_and(F.col("y") == 0).alias("all_real"))
 
 
-def _ranked(families: DataFrame, salt: str, seed: int) -> DataFrame:
-    return hashed_rank(families.withColumn("key", shuffle_key(seed, salt, F.col("family"))), "key", "family", "rank").drop("key")
+def _ranked(families: DataFrame, salt: str, seed: int, few: bool = False) -> DataFrame:
+    keyed = families.withColumn("key", shuffle_key(seed, salt, F.col("family")))
+    if few:
+        return keyed.withColumn("rank", F.row_number().over(Window.orderBy("key", "family")) - 1).drop("key")
+    return hashed_rank(keyed, "key", "family", "rank").drop("key")
 
 
 def full_split(rows: DataFrame, seed: int = SEED, calibration: float = 0.15, bank: float = 0.70) -> DataFrame:
     """Adds role: calibration families are drawn from the real-only ones, bank families from the other families with a real
     item, and a share of the fake-only ones trains too; of bank families real items are the bank and fake ones train_fake; all
     else is evaluation. Too few families is an error."""
-    families = family_profile(rows)
-    n = families.agg(F.count_if("any_real").alias("real"), F.count_if("all_real").alias("only"), F.count_if(~F.col("any_real")).alias("fake")).first()
-    n_cal, n_bank, n_fake = max(1, int(n.real * calibration)), int(n.real * bank), int(n.fake * bank)
+    families = materialise(family_profile(rows), "families")
+    n = families.agg(F.count(F.lit(1)).alias("all"), F.count_if("any_real").alias("real"), F.count_if("all_real").alias("only"), F.count_if(~F.col("any_real")).alias("fake")).first()
+    n_cal, n_bank, n_fake, few = max(1, int(n.real * calibration)), int(n.real * bank), int(n.fake * bank), n["all"] <= FEW_FAMILIES
     if n.only < n_cal or n_bank < 2 or n_bank + n_cal >= n.real:
         raise ValueError("not enough real-only families for calibration, bank and evaluation")
-    chosen = _ranked(families.where("all_real"), "cal", seed).where(F.col("rank") < n_cal).select("family", F.lit("calibration").alias("group"))
-    rest = families.where("any_real").join(chosen.select("family"), "family", "left_anti")
-    train = _ranked(rest, "bank", seed).where(F.col("rank") < n_bank).select("family", F.lit("train").alias("group"))
-    fake = _ranked(families.where("NOT any_real"), "fake", seed).where(F.col("rank") < n_fake).select("family", F.lit("train").alias("group"))
-    groups = chosen.unionByName(train).unionByName(fake)
+    small = F.broadcast if few else lambda df: df
+    chosen = _ranked(families.where("all_real"), "cal", seed, few).where(F.col("rank") < n_cal).select("family", F.lit("calibration").alias("group"))
+    rest = families.where("any_real").join(small(chosen.select("family")), "family", "left_anti")
+    train = _ranked(rest, "bank", seed, few).where(F.col("rank") < n_bank).select("family", F.lit("train").alias("group"))
+    fake = _ranked(families.where("NOT any_real"), "fake", seed, few).where(F.col("rank") < n_fake).select("family", F.lit("train").alias("group"))
+    groups = small(chosen.unionByName(train).unionByName(fake))
     role = F.when(F.col("group") == "calibration", "calibration").when(F.col("group") == "train", F.when(F.col("y") == 0, "bank").otherwise("train_fake")).otherwise("evaluation")
     return rows.join(groups, "family", "left").withColumn("role", role).drop("group")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from .plan_queries import ORACLES as PLAN_ORACLES
+
+ORACLES: dict[str, str] = dict(PLAN_ORACLES)
 
 _PATCHES = """
 e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn FROM embeddings),
@@ -282,7 +284,7 @@ f AS (SELECT run, 1::BIGINT AS epoch, loss AS best, 1::BIGINT AS won, 0 AS stale
   FROM f JOIN e ON e.run = f.run AND e.epoch = f.epoch + 1 WHERE f.stale < 5)
 SELECT run, arg_max(won, epoch)::INT AS best_epoch, arg_max(best, epoch) AS best_loss, max(CASE WHEN stale >= 5 THEN epoch END)::INT AS stop_epoch FROM f GROUP BY run""",
     "weighted_epoch_means": "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS discount, round(sum(l_tax * l_quantity) / sum(l_quantity), 6) AS tax FROM lineitem GROUP BY l_returnflag",
-    "ema_schedule": "SELECT p_partkey AS step, round(1.0::DOUBLE - (1.0::DOUBLE - 0.996::DOUBLE) * (cos(pi() * least(1, p_partkey / 99.0::DOUBLE)) + 1) / 2, 9) AS momentum FROM part WHERE p_partkey < 100",
+    "ema_schedule": "SELECT p_partkey AS step, round(1.0::DOUBLE - (1.0::DOUBLE - 0.996::DOUBLE) * (cos(pi() * least(1, p_partkey / (SELECT count(*) - 1 FROM part)::DOUBLE)) + 1) / 2, 9) AS momentum FROM part",
     "derived_seeds": "SELECT l_orderkey, l_linenumber, 1000003 + l_orderkey * 10007 + l_linenumber AS seed FROM lineitem",
     "path_functions": r"""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\.[^.]+$', '\1') AS stem, regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+(\.[^.]+)$', 1) AS suffix,
   regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent, coalesce(string_split(url, '/')[-2], '') AS parent_name, format('frame_{:06d}.npy', page_id) AS frame FROM pages""",

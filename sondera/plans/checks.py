@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..session import materialise
 
 
 def require_none(violations: DataFrame, what: str) -> None:
@@ -19,12 +20,6 @@ def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
-def mismatches(a: DataFrame, b: DataFrame, key: list[str], column: str) -> DataFrame:
-    """Keys of both tables whose column differs."""
-    other = b.select(*key, F.col(column).alias("__other"))
-    return a.join(other, key).where(~F.col(column).eqNullSafe(F.col("__other"))).select(*key)
-
-
 def bad_vectors(rows: DataFrame, column: str, dim: int) -> DataFrame:
     """Rows whose vector has another dimension, a component that is null or not finite, or no length."""
     v = F.col(column)
@@ -48,9 +43,20 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+#: Digests that are hashed together in one row, about.
+LOT = 65_536
+
+
 def row_signature(rows: DataFrame, order: list[str]) -> DataFrame:
-    """One row: sha256 of the sorted digests of the rows as compact JSON. Digests are hashed per 256 prefixes first, so the whole
-    list never meets in one row's memory as JSON."""
-    digest = rows.select(F.sha2(F.to_json(F.struct(*order)), 256).alias("d"))
-    parts = digest.groupBy(F.substring("d", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("s"), F.count(F.lit(1)).alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]), ""), 256).alias("signature"), F.sum("n").alias("rows"))
+    """One row: sha256 over a tree of the sorted digests of the rows as compact JSON. Digests that share a prefix are hashed
+    together, the hashes of 256 prefixes again, and so on to the root; the first prefix has two hexadecimal digits and two more
+    each time that as many as LOT digests would share one, so no row holds much more than that."""
+    digest = materialise(rows.select(F.sha2(F.to_json(F.struct(*order)), 256).alias("d")), "digests")
+    n, digits = digest.count(), 2
+    while n > LOT * 16**digits:
+        digits += 2
+    parts = digest.groupBy(F.substring("d", 1, digits).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("s"), F.count(F.lit(1)).alias("n"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]), ""), 256)
+    for left in range(digits - 2, 0, -2):
+        parts = parts.groupBy(F.substring("p", 1, left).alias("p")).agg(joined.alias("s"), F.sum("n").alias("n"))
+    return parts.agg(joined.alias("signature"), F.sum("n").alias("rows"))

@@ -93,6 +93,24 @@ def run_lock(folder: str) -> Iterator[None]:
         yield
 
 
+def cpu_groups(available: list[int], cores: int, workers: int) -> list[list[int]]:
+    """The first `cores` processors in order, dealt to the workers in turn."""
+    if not 1 <= workers <= cores <= len(available):
+        raise ValueError(f"{workers} workers on {cores} of {len(available)} processors")
+    first = sorted(available)[:cores]
+    return [first[w::workers] for w in range(workers)]
+
+
+def require_checkpoint(info: dict, spec: dict, plan_signature: str, digests: dict[str, str]) -> None:
+    """Demands that a tuned encoder belongs to this configuration and plan and that its files (path to sha256, as they are now) are
+    those it was recorded with; a decoder is checked where there is one."""
+    if info["config"] != spec or info["plan_sha256"] != plan_signature:
+        raise ValueError("the encoder was tuned for another configuration or plan")
+    for part in (info, info.get("decoder")):
+        if part and digests.get(part["checkpoint"]) != part["checkpoint_sha256"]:
+            raise ValueError(f"{part['checkpoint']} is missing or has changed")
+
+
 def require_stage(folder: str, stage: str) -> None:
     if not (Path(folder) / stage / "_SUCCESS").exists():
         raise RuntimeError(f"{stage} has not been completed in {folder}")

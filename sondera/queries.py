@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import plan_queries
 from .functions import ordering, paths, vectors
 from .operators import diagnostics, grids, metadata, metrics, sampling, scoring, search, splits
 from .plans import checks
 from .plans.views import patch_view, table
+from .session import materialise
 from .streaming.scoring import event_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(plan_queries.QUERIES)
 K, CAP, BOUNDARY, QUANTILE, GRID = 16, 2, 0.5, 0.99, 3
 
 
@@ -26,9 +28,15 @@ def _patches(spark: SparkSession, d: str) -> DataFrame:
     return patch_view(table(spark, d, "embeddings"))
 
 
+#: Patches with roles, written once per application and folder of tables: all that searches begins with the same split.
+_ROLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def _roles(spark: SparkSession, d: str) -> DataFrame:
-    """Patches with roles, kept since a query reads them several times (spilled to disk where memory ends)."""
-    return splits.full_split(_patches(spark, d)).persist()
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _ROLES:
+        _ROLES[key] = materialise(splits.full_split(_patches(spark, d)), "roles")
+    return _ROLES[key]
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +48,7 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _search(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(queries, bank, candidates)."""
     q, b = _sides(spark, d)
-    return q, b, search.nearest(q.select("vec_id", "embedding"), b.select("vec_id", "embedding"), k).persist()
+    return q, b, materialise(search.nearest(q.select("vec_id", "embedding"), b.select("vec_id", "embedding"), k), "neighbours")
 
 
 def _with_item(q: DataFrame, found: DataFrame) -> DataFrame:
@@ -57,7 +65,7 @@ def _topk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     q, b, found = _search(spark, d, K)
     weighted = scoring.softmax_weights(found)
     dist = scoring.reconstruction_distance(weighted, b.select("vec_id", "embedding"), q.select("vec_id", "embedding"))
-    return q, b, weighted, dist.persist()
+    return q, b, weighted, materialise(dist, "distances")
 
 
 def _image_scores(q: DataFrame, dist: DataFrame, value: str) -> DataFrame:
@@ -69,7 +77,7 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     q, _, _, dist = _topk(spark, d)
     s = _image_scores(q, dist, "topk_distance")
     # rounded, so that engines that add in another order rank and cut alike
-    return s.withColumn("score", F.round("score", 6)).persist()
+    return materialise(s.withColumn("score", F.round("score", 6)), "scores")
 
 
 def _threshold(scores: DataFrame) -> DataFrame:
@@ -333,7 +341,7 @@ def _ablation(spark: SparkSession, d: str) -> DataFrame:
     variants = {"topk": F.col("base"), "topk_boundary": F.col("base") * F.col("w"), "family_cap_topk": F.col("diverse"), "family_cap_topk_boundary": F.col("diverse") * F.col("w")}
     long_ = rows.select("image_id", "role", "y", "patch_id", F.explode(F.create_map(*[x for k, v in variants.items() for x in (F.lit(k), v)])).alias("variant", "value"))
     s = scoring.top_fraction_mean(long_, ["variant", "image_id", "role", "y"], "value", tie="patch_id")
-    return s.withColumn("score", F.round("score", 6)).persist()
+    return materialise(s.withColumn("score", F.round("score", 6)), "scores")
 
 
 @query
@@ -367,7 +375,7 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 def _pooled(spark: SparkSession, d: str) -> DataFrame:
     pooled = diagnostics.mean_pool(_patches(spark, d).select("image_id", "embedding"), "image_id")
-    return _samples(spark, d).join(pooled, F.col("image") == F.col("image_id")).drop("image_id").persist()
+    return materialise(_samples(spark, d).join(pooled, F.col("image") == F.col("image_id")).drop("image_id"), "pooled")
 
 
 @query
@@ -547,8 +555,8 @@ def weighted_epoch_means(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ema_schedule(spark: SparkSession, d: str) -> DataFrame:
-    steps = table(spark, d, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("step"))
-    return sampling.ema_schedule(steps, 0.996, 1.0, 100).select("step", F.round("momentum", 9).alias("momentum"))
+    steps = table(spark, d, "part").select(F.col("p_partkey").alias("step"))
+    return sampling.ema_schedule(steps, 0.996, 1.0, steps.count()).select("step", F.round("momentum", 9).alias("momentum"))
 
 
 @query
@@ -608,7 +616,7 @@ def shuffled_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def quantiles_by_group(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    q = metrics.exact_quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.01, 0.99])
     return q.select("l_returnflag", F.round(F.col("q")[0], 4).alias("low"), F.round(F.col("q")[1], 4).alias("high"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -11,6 +11,11 @@ FRAME = "STRUCT<status STRING, frame_index INT, file STRING, score DOUBLE, bbox
 MANIFEST = f"source STRING, label INT, label_csv STRING, split STRING, fps DOUBLE, frame_count INT, settings MAP<STRING, STRING>, frames ARRAY<{FRAME}>"
 
 
+def _levels() -> Column:
+    """Names along a file's path, with what the URI of the path escapes put back."""
+    return F.transform(F.split(F.col("_metadata.file_path"), "/"), lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))))
+
+
 def label_csv(spark: SparkSession, path: str) -> DataFrame:
     """(filename, label) of CSV with a header, with or without a byte-order mark; another label than 0 or 1 is an error."""
     rows = spark.read.schema("filename STRING, label INT").csv(path, header=True, mode="FAILFAST")
@@ -21,14 +26,14 @@ def label_csv(spark: SparkSession, path: str) -> DataFrame:
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """(part, video, source, label, ..., frames) of <root>/<part>/<video>/metadata.json; ids come from the path."""
     rows = spark.read.schema(MANIFEST).json(f"{root}/*/*/metadata.json", multiLine=True)
-    level = F.split(F.col("_metadata.file_path"), "/")
+    level = _levels()
     return rows.select(F.element_at(level, -3).alias("part"), F.element_at(level, -2).alias("video"), *rows.columns)
 
 
 def part_metadata(spark: SparkSession, root: str) -> DataFrame:
     """(part, filename, label, original) of <root>/<part>/metadata.json, each a map by filename."""
     text = spark.read.text(f"{root}/*/metadata.json", wholetext=True)
-    part = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    part = F.element_at(_levels(), -2)
     entries = F.from_json("value", "MAP<STRING, STRUCT<label STRING, original STRING>>", {"mode": "FAILFAST"})
     return text.select(part.alias("part"), F.explode(entries).alias("filename", "m")).select("part", "filename", "m.label", "m.original")
 

@@ -81,3 +81,20 @@ def test_boundary_on_a_grid(spark):
     cells = [(0, r, c) for r in range(3) for c in range(3)] + [(1, 5, 5)]
     got = {(x.image, x.row, x.col): x.interior for x in scoring.boundary(spark.createDataFrame(cells, "image int, row int, col int"), "image", "row", "col").collect()}
     assert [k for k, v in got.items() if v] == [(0, 1, 1)]
+
+
+def test_memory_decides_the_way():
+    need = search.Need(1000, 64).bytes()
+    assert need == 1000 * 64 * 8 + 1024 * 1000 * 8 + 1000 * 64 * 12 + (512 << 20)
+    assert search.way(1000, 64).broadcast and not search.way(1000, 64, memory=need - 1).broadcast
+    assert not search.way(1000, 64, broadcast_bytes=1000 * 64 * 8 - 1).broadcast
+    small = search.way(10**7, 768, memory=(512 << 20) + (64 << 20))
+    assert not small.broadcast and small.bank_block < search.BANK_BLOCK
+    assert search.Need(small.bank_block, 768, query_block=small.query_block, bank_block=small.bank_block).bytes() <= (512 << 20) + (64 << 20)
+    with pytest.raises(MemoryError):
+        search.way(10**7, 768, memory=512 << 20)
+
+
+def test_a_memory_that_fits_nothing_fails_before_the_search(spark):
+    with pytest.raises(MemoryError):
+        search.nearest(frame(spark, QUERIES), frame(spark, BANK), 1, 0, 100)
