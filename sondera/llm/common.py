@@ -1,20 +1,17 @@
-"""Shared pieces of the corpus operators: tables in the shared folder, joins that stand hot keys, and
+"""Shared pieces of the corpus operators: tables in the shared folder (those of the session), joins that stand hot keys, and
 vectorised kernels over the byte buffers of Arrow text columns."""
 
 from __future__ import annotations
 
-import atexit
 import functools
-import re
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete_folder, discard, file_exists, folders_in, materialise, new_folder, shared_dir  # noqa: F401
+
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a lookup table may have to be broadcast; a longer one is joined by a salted shuffle.
@@ -25,69 +22,6 @@ SLICE_BYTES = 1 << 20
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
-# ---------------------------------------------------------------- tables in the shared folder
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one serves a session on one
-    machine; on a cluster that is an error, since executors would not see one another's files."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = spark.sparkContext.getCheckpointDir()
-    if path is None:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="sondera-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = "file://" + own
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage and survives lost executors. What discard() has not
-    deleted by then goes when the application ends."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    _file_system(spark, path).deleteOnExit(_hadoop_path(spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sondera_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables made by materialise() that no later plan reads."""
-    for t in tables:
-        delete_folder(t.sparkSession, t._sondera_path)
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _file_system(spark: SparkSession, path: str):
-    return _hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def delete_folder(spark: SparkSession, path: str) -> None:
-    _file_system(spark, path).delete(_hadoop_path(spark, path), True)
-
-
-def folders_in(spark: SparkSession, path: str) -> list[str]:
-    """Names of what stands in a folder; none where there is no such folder."""
-    fs, at = _file_system(spark, path), _hadoop_path(spark, path)
-    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
-
-
-def file_exists(spark: SparkSession, path: str) -> bool:
-    return _file_system(spark, path).exists(_hadoop_path(spark, path))
-
-
 def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
