@@ -1,10 +1,14 @@
-"""Stupid-backoff scores of documents under n-gram counts of all other documents.
+"""Stupid-backoff scores of documents under n-gram counts of all other documents, computed as joins of tables.
 
-The n-gram tables are never built as such on one side: documents are dealt into chunks, each chunk sends the distinct n-grams
-it holds with their counts to tables partitioned by hash (a request), the tables add the counts of all chunks up and send
-each chunk the sums for what it asked (a response), and the chunk, joined with its responses, scores its documents and sums per
-document. Since a chunk asks for each n-gram once, frequent n-grams are no hot keys. Keys are 56-bit hashes, sent sorted as
-differences: of 10**12 distinct n-grams about one in 10**5 shares its key with another.
+- The n-gram count table (part, n, gram, count) is partitioned by the hash of the gram and summed over the corpus. N-grams that
+  occur once are left out: a gram that is not in the table counts as often as the document itself has it.
+- The exploded n-grams (part, chunk, n, gram, own count) are those of the documents, dealt into chunks of text; within a chunk each
+  gram is one row, so that frequent grams are no hot keys and are summed before they move.
+- The two are joined on part and gram. The joined counts go back to the documents of their chunk, whose scores are summed.
+
+Rows of one part (and chunk) are kept as one packed row, its grams in order as compressed differences: as rows of longs they
+would take over ten times the input on disk. `count_table` gives the table unpacked. Grams are 56-bit hashes: of 10**12
+distinct n-grams about one in 10**5 shares its hash with another.
 
 A document's own counts are taken off first, so it is scored by the rest of the corpus only.
 """
@@ -45,25 +49,27 @@ def places(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 
 def _pack_map(batches):
-    """Rows of one batch and chunk as one compressed Arrow stream, which is less to shuffle and to sort."""
+    """Rows of one batch and chunk as one compressed Arrow stream, which is less to shuffle and to sort. Rows that agree in doc_id and
+    text are one with the number of times, so that a row repeated without end does not fill a chunk."""
     options = pa.ipc.IpcWriteOptions(compression="zstd")
     for batch in batches:
-        chunk = batch.column(0).to_numpy()
-        order = np.argsort(chunk, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(chunk[order]) != 0, [True]])) if len(chunk) else np.zeros(1, np.int64)
+        once = pa.Table.from_batches([batch]).group_by(["chunk", "doc_id", "text"], use_threads=False).aggregate([([], "count_all")])
+        once = once.rename_columns(["chunk", "doc_id", "text", "times"]).sort_by("chunk").combine_chunks()
+        chunk = once.column("chunk").to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(chunk) != 0, [True]])) if len(chunk) else np.zeros(1, np.int64)
         numbers, packs = [], []
         for a, b in zip(cuts[:-1], cuts[1:]):
             sink = pa.BufferOutputStream()
-            part = batch.take(pa.array(order[a:b])).select([1, 2])
+            part = once.slice(a, b - a).select(["doc_id", "text", "times"])
             with pa.ipc.new_stream(sink, part.schema, options=options) as out:
-                out.write_batch(part)
-            numbers.append(int(chunk[order[a]]))
+                out.write_table(part)
+            numbers.append(int(chunk[a]))
             packs.append(sink.getvalue().to_pybytes())
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(packs, pa.binary())], ["chunk", "pack"])
 
 
 def _unpacked_rows(table: pa.Table) -> pa.Table:
-    """(doc_id, text) of a chunk. Both passes see the same rows; their order does not matter."""
+    """(doc_id, text, times) of a chunk. Both passes see the same rows; their order does not matter."""
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in _column(table, "pack")])
 
 
@@ -93,63 +99,93 @@ def unpacked(blob, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8")[:, 0]
 
 
-REQUEST = "part long, chunk long, n long, size long, keys binary, counts binary"
-RESPONSE = "chunk long, n long, part long, size long, sums binary"
+GRAMS = "part long, chunk long, n long, size long, keys binary, counts binary"
+TABLE = "part long, n long, size long, keys binary, counts binary"
+JOINED = "chunk long, n long, part long, size long, sums binary"
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = [x.split() for x in schema.split(", ")]
+    return pa.table({name: pa.array([r[k] for r in rows], pa.binary() if kind == "binary" else pa.int64()) for k, (name, kind) in enumerate(kinds)})
+
+
+def _keys(table: pa.Table, k: int) -> np.ndarray:
+    """The grams of a packed row, from their part's first on, in order."""
+    return np.cumsum(unpacked(_column(table, "keys")[k].as_buffer(), _column(table, "size")[k].as_py()), dtype=np.uint64)
+
+
+def _counts(table: pa.Table, k: int) -> np.ndarray:
+    return unpacked(_column(table, "counts")[k].as_buffer(), _column(table, "size")[k].as_py()).astype(np.int64)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _request(p: Backoff, bits: int):
+def _exploded(p: Backoff, bits: int):
+    """The distinct n-grams of a chunk with their counts, a row for each part that has some."""
+
     def run(table: pa.Table) -> pa.Table:
         chunk = _column(table, "chunk")[0].as_py()
-        words, first = word_hashes(*text_buffer(_column(_unpacked_rows(table), "text")))
-        row = row_of(first)
+        docs = _unpacked_rows(table)
+        words, first = word_hashes(*text_buffer(_column(docs, "text")))
+        row, times = row_of(first), _column(docs, "times").to_numpy()
         rows = []
         for n in range(1, p.order + 1):
-            distinct, counts = np.unique(places(words, row, n)[1], return_counts=True)
+            last, keys = places(words, row, n)
+            if len(times) and times.max() > 1:
+                distinct, at = np.unique(keys, return_inverse=True)
+                counts = np.zeros(len(distinct), np.int64)
+                np.add.at(counts, at, times[row[last]])
+            else:
+                distinct, counts = np.unique(keys, return_counts=True)
             part = (distinct >> np.uint64(BITS - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
             for a, b in zip(cuts[:-1], cuts[1:]):
-                steps = distinct[a:b].copy()
-                steps[1:] -= distinct[a : b - 1]
-                steps[0] -= np.uint64(int(part[a]) << (BITS - bits))
-                rows.append((int(part[a]), chunk, n, int(b - a), packed(steps), packed(counts[a:b])))
-        kinds = (("part", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()))
-        return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
+                rows.append((int(part[a]), chunk, n, int(b - a), _steps(distinct[a:b] - np.uint64(int(part[a]) << (BITS - bits))), packed(counts[a:b])))
+        return _table(GRAMS, rows)
 
     return run
 
 
-def _respond(bits: int):
-    def run(table: pa.Table) -> pa.Table:
-        ns, sizes = _column(table, "n").to_numpy(), _column(table, "size").to_numpy()
-        keys, counts, chunks = _column(table, "keys"), _column(table, "counts"), _column(table, "chunk").to_numpy()
-        part = _column(table, "part")[0].as_py()
-        sums = [b""] * len(ns)
-        for n in np.unique(ns):
-            mine = np.flatnonzero(ns == n)
-            key = np.concatenate([np.cumsum(unpacked(keys[int(k)].as_buffer(), sizes[k]), dtype=np.uint64) for k in mine])
-            count = np.concatenate([unpacked(counts[int(k)].as_buffer(), sizes[k]) for k in mine]).astype(np.int64)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            total = np.add.reduceat(count[order], np.flatnonzero(new))
-            back = np.empty(len(key), np.int64)
-            back[order] = total[np.cumsum(new) - 1]
-            at = 0
-            for k in mine:
-                sums[k] = packed(back[at : at + sizes[k]])
-                at += sizes[k]
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "n": pa.array(ns, pa.int64()), "part": pa.array(np.full(len(ns), part), pa.int64()), "size": pa.array(sizes, pa.int64()), "sums": pa.array(sums, pa.binary())})
-
-    return run
+def _summed(table: pa.Table) -> pa.Table:
+    """The count table of a part: its n-grams that occur more than once, over all chunks."""
+    ns, rows = _column(table, "n").to_numpy(), []
+    for n in np.unique(ns):
+        mine = np.flatnonzero(ns == n)
+        key = np.concatenate([_keys(table, int(k)) for k in mine])
+        count = np.concatenate([_counts(table, int(k)) for k in mine])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total = np.add.reduceat(count[order], lead)
+        often = total > 1
+        if often.any():
+            rows.append((_column(table, "part")[0].as_py(), int(n), int(often.sum()), _steps(key[lead][often]), packed(total[often])))
+    return _table(TABLE, rows)
+
+
+def _joined(grams: pa.Table, table: pa.Table) -> pa.Table:
+    """The exploded n-grams of a part with the counts of the table, in their order; those not in it with their own."""
+    totals = {n: (_keys(table, k), _counts(table, k)) for k, n in enumerate(_column(table, "n").to_pylist())} if table.num_rows else {}
+    rows = []
+    for k, (chunk, n, part, size) in enumerate(zip(*(_column(grams, c).to_pylist() for c in ("chunk", "n", "part", "size")))):
+        key, out = _keys(grams, k), _counts(grams, k)
+        if n in totals:
+            known, total = totals[n]
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            out = np.where(known[at] == key, total[at], out)
+        rows.append((chunk, n, part, size, packed(out)))
+    return _table(JOINED, rows)
 
 
 def _score(p: Backoff, corpus_words: int):
-    def run(packs: pa.Table, responses: pa.Table) -> pa.Table:
+    def run(packs: pa.Table, joined: pa.Table) -> pa.Table:
         docs = _unpacked_rows(packs)
         words_, first = word_hashes(*text_buffer(_column(docs, "text")))
         row = row_of(first)
         words = len(row)
-        answers = sorted(zip(*(_column(responses, c).to_pylist() for c in ("n", "part", "size", "sums"))))
+        answers = sorted(zip(*(_column(joined, c).to_pylist() for c in ("n", "part", "size", "sums"))))
         # for each word: counts in the other documents of the n-gram that it ends, 0 where there is none
         counts = []
         for n in range(1, p.order + 1):
@@ -158,7 +194,7 @@ def _score(p: Backoff, corpus_words: int):
             mine = [unpacked(s, k) for m, _, k, s in answers if m == n]
             total = np.concatenate(mine).astype(np.int64) if mine else np.empty(0, np.int64)
             if len(total) != len(distinct):
-                raise RuntimeError("responses do not fit the chunk: its rows changed between two reads")
+                raise RuntimeError("joined counts do not fit the chunk: its rows changed between two reads")
             pair = row[last] * max(1, len(distinct)) + at
             c = np.zeros(words, np.int64)
             c[last] = total[at]
@@ -187,7 +223,7 @@ def _score(p: Backoff, corpus_words: int):
         log_score = np.array([score[a:b].sum() for a, b in zip(first[:-1], first[1:])]) if words else np.zeros(len(first) - 1)
         hits = np.zeros((len(first) - 1, p.order + 1), np.int64)
         np.add.at(hits, (row, level), 1)
-        out = {"doc_id": _column(docs, "doc_id"), "n_words": pa.array(length, pa.int64()), "log_score": pa.array(log_score)}
+        out = {"doc_id": _column(docs, "doc_id"), "times": _column(docs, "times"), "n_words": pa.array(length, pa.int64()), "log_score": pa.array(log_score)}
         out |= {f"n_order{n}": pa.array(hits[:, n]) for n in range(p.order + 1)}
         return pa.table(out)
 
@@ -208,24 +244,53 @@ def _size_map(batches):
         yield pa.RecordBatch.from_pydict({"bytes": [n], "words": [w]})
 
 
-def score(docs: DataFrame, p: Backoff = Backoff()) -> DataFrame:
-    """doc_id, n_words, log_score (sum of natural logarithms over words), mean_log (null without words), and how many words were
-    scored at each order (n_order0: never seen in another document).
-
-    Words are in lower case (A-Z). A null or empty text has no words and score 0; repeated rows are documents of their own
-    and see one another; an empty table gives no rows. Columns other than doc_id and text are not read. A word that no
-    other document has counts as one of the other documents' words plus one.
-    """
+def _parts(docs: DataFrame, p: Backoff) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(chunks of packed documents, exploded n-grams, count table, words of the corpus)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = arrow_map(rows.select("text"), _size_map, "bytes long, words long").agg(F.sum("bytes").alias("b"), F.sum("words").alias("w")).first()
     chunks = max(1, -(-(size.b or 0) // p.chunk))
     bits = max(4, int(chunks).bit_length())
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")
     dealt = arrow_map(rows.select(chunk.alias("chunk"), "doc_id", "text"), _pack_map, "chunk long, pack binary")
-    requests = dealt.groupBy("chunk").applyInArrow(_request(p, bits), REQUEST)
-    responses = requests.groupBy("part").applyInArrow(_respond(bits), RESPONSE)
-    types = "doc_id long, n_words long, log_score double, " + ", ".join(f"n_order{n} long" for n in range(p.order + 1))
-    scored = dealt.groupBy("chunk").cogroup(responses.groupBy("chunk")).applyInArrow(_score(p, size.w or 0), types)
+    grams = dealt.groupBy("chunk").applyInArrow(_exploded(p, bits), GRAMS)
+    return dealt, grams, grams.groupBy("part").applyInArrow(_summed, TABLE), size.w or 0
+
+
+def _unpack_map(bits_of_part):
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for k in range(batch.num_rows):
+                part, n = _column(table, "part")[k].as_py(), _column(table, "n")[k].as_py()
+                grams = _keys(table, k) + np.uint64(part << bits_of_part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), n), pa.int32()), pa.array(grams.astype(np.int64)), pa.array(_counts(table, k))], ["n", "gram", "count"])
+
+    return run
+
+
+def count_table(docs: DataFrame, p: Backoff = Backoff()) -> DataFrame:
+    """(n, gram, count): n-grams that occur more than once in all texts, by their hashes, a row each."""
+    _, grams, table, _ = _parts(docs, p)
+    del grams
+    size = arrow_map(docs.select(F.col("text").cast("string").alias("text")), _size_map, "bytes long, words long").agg(F.sum("bytes").alias("b")).first()
+    bits = max(4, int(max(1, -(-(size.b or 0) // p.chunk))).bit_length())
+    return arrow_map(table, _unpack_map(BITS - bits), "n int, gram long, count long")
+
+
+def score(docs: DataFrame, p: Backoff = Backoff()) -> DataFrame:
+    """doc_id, n_words, log_score (sum of natural logarithms over words), mean_log (null without words), and how many words were
+    scored at each order (n_order0: never seen in another document).
+
+    Words are in lower case (A-Z). A null or empty text has no words and score 0; repeated rows are documents of their own
+    and see one another; a very long text is scored whole, in a chunk of its own size; an empty table gives no rows. Columns
+    other than doc_id and text are not read, whatever their names. A word that no other document has counts as one of the
+    other documents' words plus one.
+    """
+    dealt, grams, table, words_ = _parts(docs, p)
+    joined = grams.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(_joined, JOINED)
+    types = "doc_id long, times long, n_words long, log_score double, " + ", ".join(f"n_order{n} long" for n in range(p.order + 1))
+    scored = dealt.groupBy("chunk").cogroup(joined.groupBy("chunk")).applyInArrow(_score(p, words_), types)
+    scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round(F.try_divide("log_score", "n_words"), 6).alias("mean_log"), *[f"n_order{n}" for n in range(p.order + 1)])
 
 

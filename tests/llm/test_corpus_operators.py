@@ -182,6 +182,31 @@ def test_backoff_in_many_chunks_is_the_same(documents):
     assert ngram_lm.score(documents, ngram_lm.Backoff(chunk=20_000)).orderBy("doc_id").collect() == one
 
 
+def test_the_count_table_is_that_of_the_corpus(documents, db):
+    """Grams are hashes: their counts are compared, by order."""
+    got = Counter(tuple(r) for r in ngram_lm.count_table(documents, ngram_lm.Backoff(chunk=30_000)).select("n", "count").collect())
+    want = Counter()
+    for n in (1, 2, 3):
+        c = Counter()
+        for (t,) in documents.select("text").collect():
+            w = words((t or "").translate(FOLD))
+            c.update(zip(*[w[k:] for k in range(n)]))
+        want.update((n, v) for v in c.values() if v > 1)
+    assert got == want
+
+
+def test_backoff_of_a_row_repeated_many_times(spark):
+    """Copies with one doc_id are packed as one row with its number, and scored as if they stood apart."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(30, size=40)) for _ in range(6)]
+    rows = [(7, texts[0])] * 300 + [(None, texts[1])] * 200 + [(k, texts[k % 6]) for k in range(20, 40)]
+    one = [(k, t) for k, (_, t) in enumerate(rows)]
+    schema = "doc_id long, text string"
+    plain = Counter(tuple(r)[1:] for r in ngram_lm.score(spark.createDataFrame(one, schema)).collect())
+    got = ngram_lm.score(spark.createDataFrame(rows, schema).repartition(3)).collect()
+    assert Counter(tuple(r)[1:] for r in got) == plain and Counter(r.doc_id for r in got)[7] == 300
+
+
 def test_backoff_edges(edge, empty):
     got = ngram_lm.score(edge).collect()
     assert len(got) == edge.count() and ngram_lm.score(empty).count() == 0
