@@ -268,7 +268,9 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that are kept, in the columns of docs."""
+    """The documents that are kept, in the columns of docs, whatever others they are. Null, empty and blank texts fail the base rules
+    and go; very long texts are judged whole; rows that repeat, or have no doc_id, are judged each for itself. A distance on the
+    bound is kept. No rows give none."""
     refs = collected(references(docs, rules))
     names = [f"c{k}" for k in range(len(docs.columns))]
     place = {c.lower(): k for k, c in enumerate(docs.columns)}

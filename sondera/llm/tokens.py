@@ -61,16 +61,27 @@ class Store:
         else:
             self.fs.move(a, b)
 
-    def array(self, name: str, dtype: str) -> np.ndarray:
+    def array(self, name: str, dtype: str) -> np.ndarray | Ranges:
+        """The file as an array: memory-mapped where it is local, else read range by range as it is sliced."""
         path = f"{self.root}/{name}"
         if not self.local:
-            with self.fs.open_input_file(path) as f:
-                return np.frombuffer(f.read(), dtype)
+            return Ranges(self.fs.open_input_file(path), np.dtype(dtype))
         if os.path.getsize(path) == 0:
             return np.empty(0, dtype)
         return np.memmap(path, dtype, mode="r")
 
 
+class Ranges:
+    """A file of another store whose slices are read when they are asked for, so that no more of it is held."""
+
+    def __init__(self, file, dtype: np.dtype):
+        self.file, self.dtype, self.n = file, dtype, file.size() // dtype.itemsize
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        a, b, _ = part.indices(self.n)
+        return np.frombuffer(self.file.read_at(max(0, b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
+
+
 # ---------------------------------------------------------------- encoding
 
 
@@ -202,20 +213,31 @@ def _write_map(uri: str, path: str, end_id: int):
     return run
 
 
-def _read_map(uri: str):
+def _lots(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with about so many ids; a longer document is a range of its own."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def _read_map(uri: str, most: int = 1 << 22):
     def run(batches):
         store = Store(uri)
         for batch in batches:
             for row in batch.to_pylist():
-                name = f"{row['part']:06d}"
-                data, offs, raw = store.array(f"{name}.ids", row["kind"]), store.array(f"{name}.offsets", "<i8"), store.array(f"{name}.docs", "u1")
-                n = row["n_docs"]
+                name, n = f"{row['part']:06d}", row["n_docs"]
+                data = store.array(f"{name}.ids", row["kind"])
+                offs, raw = (np.asarray(store.array(f"{name}.{kind}", dtype)[: n + 1 if kind == "offsets" else 9 * n]) for kind, dtype in (("offsets", "<i8"), ("docs", "u1")))
                 ids, nulls = raw[: 8 * n].view("<i8"), raw[8 * n :].astype(bool)
-                crc = [zlib.crc32(data[offs[k] : offs[k + 1]].astype("<u4").tobytes()) for k in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.asarray(ids), pa.int64(), mask=nulls), pa.array(offs[:-1] + row["base"], pa.int64()), pa.array(np.diff(offs), pa.int64()), pa.array(crc, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                for a, b in _lots(offs, most):
+                    part = np.asarray(data[offs[a] : offs[b]])
+                    crc = [zlib.crc32(part[offs[k] - offs[a] : offs[k + 1] - offs[a]].astype("<u4").tobytes()) for k in range(a, b)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[a:b], pa.int64(), mask=nulls[a:b]), pa.array(offs[a:b] + row["base"], pa.int64()), pa.array(np.diff(offs[a : b + 1]), pa.int64()), pa.array(crc, pa.int64())],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
     return run
 

@@ -496,11 +496,13 @@ def test_shards_empty(empty):
 
 @pytest.mark.parametrize("table,vocabulary", [("documents", "word_bpe_49k.json"), ("edge", "word_bpe_49k.json"), ("edge", "byte_bpe_50k.json")])
 def test_token_files_round_trip(request, table, vocabulary):
+    import xxhash
     from tokenizers import Tokenizer
 
     docs, path = request.getfixturevalue(table), public_tokenizers.path(vocabulary)
     whole = Tokenizer.from_file(path)
-    rows = sorted(((r.doc_id is None, r.doc_id, r.text is not None, r.text or "") for r in docs.select("doc_id", "text").collect()), key=lambda x: (x[0], x[1] or 0, x[2], x[3]))
+    place = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    rows = sorted(((r.doc_id is None, r.doc_id, place(r.text), r.text or "") for r in docs.select("doc_id", "text").collect()), key=lambda x: (x[0], x[1] or 0, x[2]))
     want, start = [], 0
     for _, doc, _, text in rows:
         ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 1], "<u4")
@@ -510,6 +512,26 @@ def test_token_files_round_trip(request, table, vocabulary):
     assert sorted(map(tuple, got), key=lambda x: x[1]) == want
 
 
+def test_token_files_of_another_store_are_read_by_ranges(spark, documents, tmp_path):
+    from pyarrow import fs
+
+    folder, parts = tokens.write_tokens(documents, public_tokenizers.path("word_bpe_49k.json"), folder=f"file://{tmp_path}/t")
+    name = f"{parts.first().part:06d}"
+    here = tokens.Store(folder)
+    there = tokens.Store(folder)
+    there.local, there.fs = False, fs.LocalFileSystem()
+    for kind, dtype in (("ids", "<u2"), ("offsets", "<i8"), ("docs", "u1")):
+        a, b = here.array(f"{name}.{kind}", dtype), there.array(f"{name}.{kind}", dtype)
+        assert isinstance(a, np.memmap) and all((a[k : k + 7] == b[k : k + 7]).all() for k in range(0, len(a), max(1, len(a) // 50)))
+    want = sorted(map(str, tokens.read_tokens(folder, parts).collect()))
+    rows = [r for b in tokens._read_map(folder, 100)([pa_batch(parts)]) for r in b.to_pylist()]
+    assert len(rows) == len(want) and Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in rows) == Counter((r.doc_id, r.start, r.ids_crc32) for r in tokens.read_tokens(folder, parts).collect())
+
+
+def pa_batch(frame):
+    return frame.toArrow().combine_chunks().to_batches()[0]
+
+
 def test_encoder_agrees_with_the_library():
     rng = np.random.default_rng(9)
     alphabet = list("aAbBsSt \n\t.,'\"<>|-*é́Éßß½1٣漢 \u0085\x1cİΣ")
