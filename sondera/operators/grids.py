@@ -109,6 +109,38 @@ def bounding_box(cells: DataFrame, image: str) -> DataFrame:
     return cells.groupBy(image).agg(F.min("col").alias("x0"), F.min("row").alias("y0"), (F.max("col") + 1).alias("x1"), (F.max("row") + 1).alias("y1"))
 
 
+def crop(pixels: DataFrame, mask: DataFrame, image: str, keep_background: bool = False) -> DataFrame:
+    """(image, row, col, value): the pixels inside the bounding box of each image's mask, counted from the box's corner; those outside
+    the mask are 0 unless the background is kept. pixels: (image, row, col, value); mask: (image, row, col), masked cells only. Images
+    without a mask have no crop."""
+    inside = pixels.join(bounding_box(mask, image), image).where("row >= y0 AND row < y1 AND col >= x0 AND col < x1")
+    marked = inside.join(mask.select(image, "row", "col").distinct().withColumn("__m", F.lit(True)), [image, "row", "col"], "left")
+    value = F.col("value") if keep_background else F.when(F.col("__m"), F.col("value")).otherwise(F.lit(0))
+    return marked.select(image, (F.col("row") - F.col("y0")).alias("row"), (F.col("col") - F.col("x0")).alias("col"), value.alias("value"))
+
+
+def resize_nearest(pixels: DataFrame, image: str, side: int, target: int) -> DataFrame:
+    """(image, row, col, value): square images of one side at another, each pixel that of the source under its centre."""
+    steps = F.explode(F.sequence(F.lit(0), F.lit(target - 1)))
+    grid = pixels.select(image).distinct().withColumn("row", steps).withColumn("col", steps)
+    under = lambda c: F.floor((F.col(c) + 0.5) * (side / target)).cast("int")
+    source = pixels.select(image, F.col("row").alias("__y"), F.col("col").alias("__x"), "value")
+    return grid.withColumn("__y", under("row")).withColumn("__x", under("col")).join(source, [image, "__y", "__x"]).select(image, "row", "col", "value")
+
+
+def resize_box(pixels: DataFrame, image: str, factor: int) -> DataFrame:
+    """(image, row, col, value): images scaled down by a whole factor, each pixel the mean of those it covers."""
+    at = lambda c: F.floor(F.col(c) / factor).cast("int").alias(c)
+    return pixels.groupBy(image, at("row"), at("col")).agg(F.avg("value").alias("value"))
+
+
+def aligned(pixels: DataFrame, template: DataFrame, image: str, most: float = 20.0) -> DataFrame:
+    """(image, error, aligned): mean absolute difference of each image from a template over the cells both have, and whether it is
+    within the bound, so that the proposed box stands. template: (row, col, value), one small image."""
+    both = pixels.join(template.select("row", "col", F.col("value").alias("__t")), ["row", "col"])
+    return both.groupBy(image).agg(F.avg(F.abs(F.col("value") - F.col("__t"))).alias("error")).withColumn("aligned", F.col("error") <= most)
+
+
 def crop_box(box: Column, scale: Column, margin: float, width: Column, height: Column) -> Column:
     """A detection box (array x0, y0, x1, y1) back in frame pixels, widened by a share of its size and clipped to the frame."""
     x0, y0, x1, y1 = (box[k] / scale for k in range(4))

@@ -328,6 +328,41 @@ def area_gate(spark: SparkSession, d: str) -> DataFrame:
     return grids.area_gate(rows, "image", 0.25).withColumn("area", F.round("area", 6))
 
 
+_GRID = "SELECT (p_partkey // 196)::INT AS image, (p_partkey % 196 // 14)::INT AS row, (p_partkey % 14)::INT AS col, (p_size * 5)::INT AS value FROM part"
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as pixels of images of 14 by 14, their brightness from their size."""
+    return table(spark, d, "part").selectExpr("CAST(floor(p_partkey / 196) AS INT) AS image", "CAST(floor(p_partkey % 196 / 14) AS INT) AS row", "CAST(p_partkey % 14 AS INT) AS col", "CAST(p_size * 5 AS INT) AS value")
+
+
+@query(f"""WITH g AS ({_GRID}), m AS (SELECT * FROM g WHERE value > 180 AND row BETWEEN 3 AND 9), b AS (SELECT image, min(row) AS y0, max(row) AS y1, min(col) AS x0, max(col) AS x1 FROM m GROUP BY image)
+SELECT g.image, (g.row - y0)::INT AS row, (g.col - x0)::INT AS col, (CASE WHEN value > 180 AND g.row BETWEEN 3 AND 9 THEN value ELSE 0 END)::INT AS value FROM g JOIN b ON g.image = b.image AND g.row BETWEEN y0 AND y1 AND g.col BETWEEN x0 AND x1""")
+def cropped_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Images cut to the box of their mask, black outside the mask."""
+    g = _grid(spark, d)
+    return grids.crop(g, g.where("value > 180 AND row BETWEEN 3 AND 9"), "image")
+
+
+@query(f"""WITH g AS ({_GRID}) SELECT image, 'nearest' AS kind, r::INT AS row, c::INT AS col, value::DOUBLE AS value FROM g, (SELECT unnest(range(9)) AS r), (SELECT unnest(range(9)) AS c)
+WHERE row = floor((r + 0.5::DOUBLE) * (14 / 9::DOUBLE)) AND col = floor((c + 0.5::DOUBLE) * (14 / 9::DOUBLE))
+UNION ALL SELECT image, 'box', (row // 7)::INT, (col // 7)::INT, round(avg(value), 6) FROM g GROUP BY ALL""")
+def resized_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Images at another size, by the nearest pixel and by the mean of a box."""
+    g = _grid(spark, d)
+    near = grids.resize_nearest(g, "image", 14, 9).withColumn("value", F.col("value").cast("double"))
+    box = grids.resize_box(g, "image", 7).withColumn("value", F.round("value", 6))
+    return near.select("image", F.lit("nearest").alias("kind"), "row", "col", "value").unionByName(box.select("image", F.lit("box").alias("kind"), "row", "col", "value"))
+
+
+@query(f"""WITH g AS ({_GRID}), t AS (SELECT row, col, value AS t FROM g WHERE image = 0)
+SELECT image, round(avg(abs(value - t)), 6) AS error, avg(abs(value - t)) <= 80 AS aligned FROM g JOIN t USING (row, col) GROUP BY image""")
+def template_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """How far images are from a template, and whether that is near enough."""
+    g = _grid(spark, d)
+    return grids.aligned(g, g.where("image = 0"), "image", 80.0).withColumn("error", F.round("error", 6))
+
+
 @query("SELECT vec_id, 60::INT AS tokens, round(embedding[5]::DOUBLE, 6) AS first FROM embeddings")
 def patch_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens after the leading class and register tokens, in storage precision."""
