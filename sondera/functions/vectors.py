@@ -19,10 +19,9 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalise(v: Column) -> Column:
-    """v / |v|; a zero or non-finite norm is an error."""
-    n = norm(v)
-    safe = F.when((n > 0) & (n < F.lit(float("inf"))), n).otherwise(F.raise_error(F.lit("zero-norm or non-finite vector")).cast("double"))
-    return F.transform(v, lambda x: x / safe)
+    """v / |v|; a zero or non-finite norm is an error. The norm is bound first, so that it is worked out once and not per component."""
+    safe = lambda n: F.when((n > 0) & (n < F.lit(float("inf"))), n).otherwise(F.raise_error(F.lit("zero-norm or non-finite vector")).cast("double"))
+    return F.transform(F.transform(F.array(norm(v)), safe), lambda n: F.transform(v, lambda x: x / n))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -45,10 +45,11 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("role IN ('calibration', 'evaluation')"), rows.where("role = 'bank'")
 
 
-def _search(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(queries, bank, candidates)."""
+def _search(spark: SparkSession, d: str, k: int, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, bank, candidates), the candidates written once for queries that read them more than once."""
     q, b = _sides(spark, d)
-    return q, b, materialise(search.nearest(q.select("vec_id", "embedding"), b.select("vec_id", "embedding"), k), "neighbours")
+    found = search.nearest(q.select("vec_id", "embedding"), b.select("vec_id", "embedding"), k)
+    return q, b, materialise(found, "neighbours") if keep else found
 
 
 def _with_item(q: DataFrame, found: DataFrame) -> DataFrame:
@@ -60,12 +61,12 @@ def _nearest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return q, found.select("query_id", "bank_id", vectors.distance(F.col("similarity")).alias("nearest_distance"))
 
 
-def _topk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _topk(spark: SparkSession, d: str, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(queries, bank, weighted candidates, distances)."""
-    q, b, found = _search(spark, d, K)
+    q, b, found = _search(spark, d, K, keep)
     weighted = scoring.softmax_weights(found)
     dist = scoring.reconstruction_distance(weighted, b.select("vec_id", "embedding"), q.select("vec_id", "embedding"))
-    return q, b, weighted, materialise(dist, "distances")
+    return q, b, weighted, dist
 
 
 def _image_scores(q: DataFrame, dist: DataFrame, value: str) -> DataFrame:
@@ -73,11 +74,12 @@ def _image_scores(q: DataFrame, dist: DataFrame, value: str) -> DataFrame:
     return scoring.top_fraction_mean(rows, ["image_id", "role", "y"], value, tie="patch_id")
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
+def _scores(spark: SparkSession, d: str, keep: bool = True) -> DataFrame:
+    """Image scores, written once for queries that read them more than once."""
     q, _, _, dist = _topk(spark, d)
-    s = _image_scores(q, dist, "topk_distance")
     # rounded, so that engines that add in another order rank and cut alike
-    return materialise(s.withColumn("score", F.round("score", 6)), "scores")
+    s = _image_scores(q, dist, "topk_distance").withColumn("score", F.round("score", 6))
+    return materialise(s, "scores") if keep else s
 
 
 def _threshold(scores: DataFrame) -> DataFrame:
@@ -224,12 +226,12 @@ def topk_distance(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def topk_image_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d).select("image_id", "role", "y", "score", "patches", "scoring_patches")
+    return _scores(spark, d, keep=False).select("image_id", "role", "y", "score", "patches", "scoring_patches")
 
 
 @query
 def match_evidence(spark: SparkSession, d: str) -> DataFrame:
-    q, b, weighted, dist = _topk(spark, d)
+    q, b, weighted, dist = _topk(spark, d, keep=True)
     near = weighted.where("rank = 1").select("query_id", "bank_id", F.round(vectors.distance(F.col("similarity")), 6).alias("distance"))
     rows = _with_item(q, dist.withColumn("anomaly_distance", F.round("topk_distance", 6)).join(near, "query_id"))
     top = scoring.evidence(rows, ["image_id"], "anomaly_distance", "patch_id", 2)
@@ -248,7 +250,7 @@ def dense_distance_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def image_nearest_vs_topk(spark: SparkSession, d: str) -> DataFrame:
-    q, _, weighted, dist = _topk(spark, d)
+    q, _, weighted, dist = _topk(spark, d, keep=True)
     near = weighted.where("rank = 1").select("query_id", vectors.distance(F.col("similarity")).alias("nearest_distance"))
     a = _image_scores(q, near, "nearest_distance").select("image_id", F.round("score", 6).alias("nearest"))
     b = _image_scores(q, dist, "topk_distance").select("image_id", F.round("score", 6).alias("topk"))
@@ -282,6 +284,7 @@ def method_comparison(spark: SparkSession, d: str) -> DataFrame:
     q, _ = _sides(spark, d)
     items = q.select("image_id", "role", "y").distinct()
     long_ = both.join(items, "image_id").select("image_id", "role", "y", F.explode(F.map_from_arrays(F.array(F.lit("nearest"), F.lit("topk")), F.array("nearest", "topk"))).alias("method", "score"))
+    long_ = materialise(long_, "scores")
     limit = metrics.threshold(long_.where("role = 'calibration'"), QUANTILE, group=["method"])
     m = metrics.ranking_metrics(long_.where("role = 'evaluation'"), limit, ["method"])
     return m.select("method", *[F.round(c, 5).alias(c) for c in ("auroc", "average_precision", "fpr", "tpr", "threshold")])
@@ -289,12 +292,12 @@ def method_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def roc_points(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.roc_points(_scores(spark, d).where("role = 'evaluation'")).select(F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"), "threshold")
+    return metrics.roc_points(_scores(spark, d, keep=False).where("role = 'evaluation'")).select(F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"), "threshold")
 
 
 @query
 def pr_points(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.pr_points(_scores(spark, d).where("role = 'evaluation'")).select(F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "threshold", F.round("prevalence", 6).alias("prevalence"))
+    return metrics.pr_points(_scores(spark, d, keep=False).where("role = 'evaluation'")).select(F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "threshold", F.round("prevalence", 6).alias("prevalence"))
 
 
 @query
@@ -308,7 +311,7 @@ def score_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 def _capped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(queries, bank, weighted candidates, candidates with keep)."""
-    q, b, weighted, _ = _topk(spark, d)
+    q, b, weighted, _ = _topk(spark, d, keep=True)
     fam = b.select(F.col("vec_id").alias("bank_id"), F.col("family").alias("family"))
     return q, b, weighted, scoring.family_cap(weighted.drop("weight").join(fam, "bank_id"), CAP)
 
