@@ -115,14 +115,13 @@ def _poured(shape: Column, digits: Column) -> Column:
 
 
 def is_card(x: Column) -> Column:
-    return (luhn_sum(_digits(x)) == 0) & (F.regexp_replace(_digits(x), "0", "") != "")
+    return _let(_digits(x), lambda d: (luhn_sum(d) == 0) & (F.regexp_replace(d, "0", "") != ""))
 
 
 def card(x: Column, key: str) -> Column:
-    d = _digits(x)
-    body = feistel_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
-    check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return _poured(x, F.concat(body, check))
+    check = lambda body: F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
+    body = _let(_digits(x), lambda d: feistel_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card"))
+    return _let(body, lambda body: _poured(x, F.concat(body, check(body))))
 
 
 def is_phone(x: Column) -> Column:
@@ -137,15 +136,23 @@ def phone(x: Column, key: str) -> Column:
     """What stands before the national digits (+ and the code, or 1), then these poured into their layout. A walk of 24 steps
     under code 1 ends except with odds under 10**-10; then the last step's number stays, which is a permuted one too."""
     code = F.when(x.startswith("+"), F.regexp_extract(_digits(x), CODE, 0)).otherwise(F.lit("1"))
-    head = F.when(x.startswith("+"), F.concat(F.lit("+"), code)).otherwise(F.regexp_extract(x, r"^1[ .-]", 0))
+
+    def under(code: Column) -> Column:
+        head = F.when(x.startswith("+"), F.concat(F.lit("+"), code)).otherwise(F.regexp_extract(x, r"^1[ .-]", 0))
+        return _let(head, lambda head: F.concat(head, _let(shape(head), lambda s: poured(s, code))))
+
     # a trunk zero is no digit of the number
-    shape = F.regexp_replace(F.substr(x, F.length(head) + 1), r"\(0\)", "(_)")
-    digits = _digits(shape)
-    permuted = lambda v: feistel_digits(v, key, "phone", code)
-    american = (code == "1") & _is_american(digits)
-    steps = F.sequence(F.lit(1), F.when(american, F.lit(25)).otherwise(F.lit(1)))
-    walked = F.aggregate(steps, digits, lambda v, k: F.when((k > 1) & _is_american(v), v).otherwise(permuted(v)))
-    return F.concat(head, F.regexp_replace(_poured(shape, walked), r"\(_\)", "(0)"))
+    shape = lambda head: F.regexp_replace(F.substr(x, F.length(head) + 1), r"\(0\)", "(_)")
+
+    def poured(s: Column, code: Column) -> Column:
+        done = _let(_digits(s), lambda digits: walked(digits, code))
+        return F.regexp_replace(_poured(s, done), r"\(_\)", "(0)")
+
+    def walked(digits: Column, code: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.when((code == "1") & _is_american(digits), F.lit(25)).otherwise(F.lit(1)))
+        return F.aggregate(steps, digits, lambda v, k: F.when((k > 1) & _is_american(v), v).otherwise(feistel_digits(v, key, "phone", code)))
+
+    return _let(code, under)
 
 
 def is_ssn(x: Column) -> Column:
@@ -157,17 +164,16 @@ def ssn(x: Column, key: str) -> Column:
     """Cycle walking: the permutation is applied again while the number is one that is never issued. A walk of 24 steps
     ends except with odds under 10**-22; then the value becomes 001-01-0001."""
     permuted = lambda v: _poured(F.lit("000-00-0000"), feistel_digits(_digits(v), key, "ssn"))
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(25)), x, lambda v, k: F.when((k > 1) & is_ssn(v), v).otherwise(permuted(v)))
-    return F.when(is_ssn(out), out).otherwise(F.lit("001-01-0001"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(25)), x, lambda v, k: F.when((k > 1) & is_ssn(v), v).otherwise(permuted(v)))
+    return _let(walked, lambda out: F.when(is_ssn(out), out).otherwise(F.lit("001-01-0001")))
 
 
 def ipv4(x: Column, key: str) -> Column:
     part = F.transform(F.split(x, r"\."), lambda p: p.cast("long"))
     n = F.aggregate(part, F.lit(0).cast("long"), lambda s, p: s * 256 + p)
     wide = F.lit(65536).cast("long")
-    out = feistel_number(n, wide, wide, key, "ipv4")
-    octets = F.array(*[F.pmod(F.shiftright(out, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
-    return F.array_join(octets, ".")
+    octets = lambda out: F.array(*[F.pmod(F.shiftright(out, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
+    return F.array_join(_let(_let(n, lambda n: feistel_number(n, wide, wide, key, "ipv4")), octets), ".")
 
 
 _FIRST, _DAYS = "1900-01-01", 73049  # days from 1900-01-01 to 2099-12-31: 11 * 6641 - 2
@@ -194,8 +200,8 @@ def date(x: Column, key: str) -> Column:
     day = F.datediff(_date(x), F.lit(_FIRST).cast("date")).cast("long")
     out = F.aggregate(F.sequence(F.lit(1), F.lit(25)), day, lambda v, k: F.when((k > 1) & (v < _DAYS), v).otherwise(feistel_number(v, wide, high, key, "date")))
     new = F.date_add(F.lit(_FIRST).cast("date"), F.pmod(out, F.lit(_DAYS)).cast("int"))
-    slashed = F.when(_month_first(x), F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
-    return F.when(x.contains("-"), F.date_format(new, "yyyy-MM-dd")).otherwise(slashed)
+    slashed = lambda new: F.when(_month_first(x), F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
+    return _let(new, lambda new: F.when(x.contains("-"), F.date_format(new, "yyyy-MM-dd")).otherwise(slashed(new)))
 
 
 #: Classes of characters (first code, how many) that e-mail names are moved within: digits, and the letters of ASCII and Latin-1.
