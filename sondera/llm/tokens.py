@@ -29,7 +29,7 @@ from .common import column, materialise, new_folder
 
 END_ID = 1
 #: Entries that a worker's caches of encoded words and pieces may have before they are emptied.
-WORD_ENTRIES, PIECE_ENTRIES = 600_000, 400_000
+WORD_ENTRIES, PIECE_ENTRIES = 300_000, 200_000
 
 
 # ---------------------------------------------------------------- files
