@@ -43,19 +43,21 @@ def ordered_rank(df: DataFrame, partition: list[str], order: list[str], out: str
     return running_sums(df.withColumn("__one", F.lit(1).cast("long")), partition, [F.col(c) for c in order], {"__one": out}, before=True).drop("__one")
 
 
-def running_sums(df: DataFrame, partition: list[str], order: list[Column], sums: dict[str, str], before: bool = False) -> DataFrame:
-    """Adds the running sum of each column of sums, under the name given for it, in order within partitions: up to and with each
-    row, or before it. No task holds more than one range of rows, or one row of sums per range."""
+def running_sums(df: DataFrame, partition: list[str], order: list[Column], sums: dict[str, str], before: bool = False, xor: bool = False) -> DataFrame:
+    """Adds the running sum (or exclusive or) of each column of sums, under the name given for it, in order within partitions: up
+    to and with each row, or before it. No task holds more than one range of rows, or one row of sums per range."""
+    fold = F.bit_xor if xor else F.sum
     ranged = _by_ranges(df, partition, order)
     by = [*partition, "__range"]
-    whole = ranged.groupBy(*by).agg(*[F.sum(c).alias(f"__s{k}") for k, c in enumerate(sums)])
+    whole = ranged.groupBy(*by).agg(*[fold(c).alias(f"__s{k}") for k, c in enumerate(sums)])
     up = Window.partitionBy(*partition).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    base = whole.select(*[F.col(c).alias(f"__p{k}") for k, c in enumerate(by)], *[F.coalesce(F.sum(f"__s{k}").over(up), F.lit(0)).alias(f"__b{k}") for k in range(len(sums))])
+    base = whole.select(*[F.col(c).alias(f"__p{k}") for k, c in enumerate(by)], *[F.coalesce(fold(f"__s{k}").over(up), F.lit(0)).alias(f"__b{k}") for k in range(len(sums))])
     inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__p{k}")) for k, c in enumerate(by)])
-    rows = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__i{k}") for k, c in enumerate(sums)]).join(base, on)
+    rows = ranged.select("*", *[F.coalesce(fold(c).over(inside), F.lit(0)).alias(f"__i{k}") for k, c in enumerate(sums)]).join(base, on)
     for k, name in enumerate(sums.values()):
-        rows = rows.withColumn(name, F.col(f"__b{k}") + F.col(f"__i{k}"))
+        base_k, inside_k = F.col(f"__b{k}"), F.col(f"__i{k}")
+        rows = rows.withColumn(name, base_k.bitwiseXOR(inside_k) if xor else base_k + inside_k)
     return rows.drop("__range", *[f"__p{k}" for k in range(len(by))], *[f"__{x}{k}" for k in range(len(sums)) for x in "bi"])
 
 
