@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, linededup, merkle, mixing, neardup, ngram_lm, pii, quality, sharding, tokens
+from . import decontam, licenses, linededup, merkle, mixing, neardup, ngram_lm, pii, quality, sharding, tokens, trie
 from .common import read_documents, shared_dir
 
 
@@ -63,6 +63,10 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(merkle.manifest(docs, merkle.lowered(docs)))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,9 +74,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pii, op2_curriculum, op3_minhash, op4_divergence, op5_lemma, op6_automaton, op7_slots, op8_backoff, op9_winnow, op10_flat, op11_manifest)
+    ops = (op1_pii, op2_curriculum, op3_minhash, op4_divergence, op5_lemma, op6_automaton, op7_slots, op8_backoff, op9_winnow, op10_flat, op11_manifest, op12_trie)
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_curriculum": mixing.oracle(), "op3_minhash": neardup.oracle(), "op8_backoff": ngram_lm.oracle(), "op9_winnow": linededup.oracle(), "op11_manifest": merkle.oracle()}
+    return {"op2_curriculum": mixing.oracle(), "op3_minhash": neardup.oracle(), "op8_backoff": ngram_lm.oracle(), "op9_winnow": linededup.oracle(), "op11_manifest": merkle.oracle(), "op12_trie": trie.oracle()}
