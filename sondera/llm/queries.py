@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, linededup, merkle, mixing, neardup, ngram_lm, pii, quality, sharding, tokens, trie
+from . import decontam, licenses, linededup, merkle, mixing, neardup, ngram_lm, pii, quality, sharding, tokens, trie, wrappers
 from .common import read_documents, shared_dir
 
 
@@ -67,6 +67,10 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pii, op2_curriculum, op3_minhash, op4_divergence, op5_lemma, op6_automaton, op7_slots, op8_backoff, op9_winnow, op10_flat, op11_manifest, op12_trie)
+    ops = (op1_pii, op2_curriculum, op3_minhash, op4_divergence, op5_lemma, op6_automaton, op7_slots, op8_backoff, op9_winnow, op10_flat, op11_manifest, op12_trie, op13_wrapper)
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
