@@ -31,8 +31,8 @@ from .common import hex_int
 ROUNDS = 8
 
 # Each pattern begins with what its first character must be, so that most places of a text fail at once.
-EMAIL = r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}_.%+-]{0,200}@[A-Za-z0-9.-]{0,200}[A-Za-z0-9]\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-SECRET = r"(?=[0-9A-Fa-f]{16})(?<=(?i:token|key|secret|password)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[0-9A-Fa-f]{16,128}(?![0-9A-Za-z_-])"
+EMAIL = r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}_.%+-]*+@[A-Za-z0-9.-]*[A-Za-z0-9]\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+SECRET = r"(?=[0-9A-Fa-f]{16})(?<=(?i:token|key|secret|password)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[0-9A-Fa-f]{16,}+(?![0-9A-Za-z_-])"
 PHONE = r"\+(?<![\dA-Za-z+]\+)\d{1,3}(?:[ .-]?\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{4}|(?:[ .-]?\(\d{1,4}\))?[ .-]?\d{1,4}(?:[ .-]?\d{2,4}){1,4})(?!\d|\.\d)"
 #: Layouts of the North American plan: (212) 555-1234, 212-555-1234, 212.555.1234, with or without 1 before.
 NATIONAL = r"(?:1[ .-])?(?:\([2-9]\d\d\) ?[2-9]\d\d[ .-]\d{4}|[2-9]\d\d-[2-9]\d\d-\d{4}|[2-9]\d\d\.[2-9]\d\d\.\d{4})"
@@ -264,14 +264,15 @@ def pseudonym(kind: Column, x: Column, key: str) -> Column:
 KINDS = ("email", "phone", "ipv4", "date", "ssn", "card", "secret")
 
 
-def pseudonymise(docs: DataFrame, key: str = "public-test-key") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, the text with each confirmed value replaced by its pseudonym, n_replaced, and kinds (distinct, sorted).
 
     A null text stays null with 0 replaced, an empty one stays empty; texts without values come back as they are. Candidates
     that fail their check (a Luhn sum, an impossible date, an unissued number) stay. Each row is worked on alone, so
     repeated rows give equal results and the size of the table does not matter, nor does the length of a text: all of it is
     searched, in one pass of the pattern. An empty table gives no rows. Where two patterns meet in one place the one that
-    begins first counts, then the one listed first. Columns other than doc_id and text are not read, whatever their names. The key is a parameter; without it pseudonyms cannot be traced back.
+    begins first counts, then the one listed first. Columns other than doc_id and text are not read, whatever their names. Whoever has the key can trace pseudonyms back, so it has
+    no default.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found"))
     tagged = F.transform("found", lambda x: F.struct(x.alias("x"), kind_of(x).alias("k")))

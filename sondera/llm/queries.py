@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, licenses, linededup, merkle, mixing, neardup, ngram_lm, pii, quality, sharding, tokens, trie, wrappers
-from .common import read_documents, shared_dir
+from .common import new_folder, read_documents
+
+
+#: The key of the registered query, whose pseudonyms protect nobody.
+TEST_KEY = "public-test-key"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read_documents(spark, sf_dir))
+    return pii.pseudonymise(read_documents(spark, sf_dir), TEST_KEY)
 
 
 def op2_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def op6_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(read_documents(spark, sf_dir), 40, path=f"{shared_dir(spark)}/slot-map-40")
+    return sharding.shard(read_documents(spark, sf_dir), 40, path=new_folder(spark, "slot-map"))
 
 
 def op8_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
