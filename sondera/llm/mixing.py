@@ -87,17 +87,20 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_E
     text, so that rows without a doc_id, or of one doc_id, spread over the buckets too.
     """
     doc_id = F.col("doc_id").cast("long")
-    sizes = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), words("text").alias("size"), key_hex(seed, doc_id, F.md5("text")).alias("order_key"))
+    sizes = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), words("text").alias("size"), key_hex(seed, doc_id, F.md5("text")).alias("order_key"), F.spark_partition_id().alias("lot"))
     sizes = materialise(sizes, "sizes")
     per = materialise(targets(sizes, weights, most).coalesce(1), "targets")
-    rows = sizes.withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
-    counts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    # rows that are alike are one until they are numbered, for each partition that has some, so that they need not share a window
+    rows = sizes.groupBy("source", "order_key", "doc_id", "size", "lot").agg(F.count(F.lit(1)).alias("alike"), F.sum("size").alias("sizes"))
+    rows = rows.withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
+    counts = rows.groupBy("source", "bucket").agg(F.sum("sizes").alias("n"))
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("n").over(by_bucket), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "bucket").orderBy("order_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("source", "bucket").orderBy("order_key", F.col("doc_id").asc_nulls_first(), "size", "lot").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("sizes").over(inside), F.lit(0)))
     rows = rows.join(bases, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    rows = rows.withColumn("start", F.col("base") + F.col("inside")).drop("b_source", "b_bucket", "base", "inside", "bucket")
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1)))
+    rows = rows.withColumn("start", F.col("base") + F.col("inside") + F.col("nth") * F.col("size")).drop("b_source", "b_bucket", "base", "inside", "bucket", "nth", "alike", "sizes", "lot")
     rows = lookup_join(rows, per, "source", F.col("doc_id"))
     goal = F.round("target").cast("long")
     taken = lambda e: F.greatest(F.least(goal - (e * F.col("source_size") + F.col("start")), F.col("size")), F.lit(0))
