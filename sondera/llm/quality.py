@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import arrow_map
 from .common import BROADCAST_ROWS, SPACE, column, gram_hashes, materialise, mix, prefix_hash, row_of, slices, span_hash, text_buffer, word_runs
@@ -276,6 +277,6 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     place = {c.lower(): k for k, c in enumerate(docs.columns)}
     plain = docs.toDF(*names)
     rows = plain.withColumn("text", F.col(names[place["text"]])).withColumn("lang", F.col(names[place["lang"]]).cast("string"))
-    kinds = ", ".join(f"{n} {t}" for n, t in plain.dtypes)
-    out = arrow_map(rows, _verdict_map(rules, refs, names), kinds + ", " + _TYPES.format("q_"))
+    verdict = StructType.fromDDL(_TYPES.format("q_"))
+    out = arrow_map(rows, _verdict_map(rules, refs, names), StructType([*plain.schema.fields, *verdict.fields]))
     return out.where("q_kept").select(*names).toDF(*docs.columns)
