@@ -17,12 +17,14 @@ benchmark of any size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -369,7 +371,7 @@ def _match_map(shared):
     return run
 
 
-def _clean_map(shared, names: list[str]):
+def _clean_map(shared, names: list[str], want: bool = True):
     def run(batches):
         index = shared.value
         for batch in batches:
@@ -377,7 +379,7 @@ def _clean_map(shared, names: list[str]):
             for a, _, buf, offs in _each(batch):
                 clean[a + search(buf, offs, index)[0]] = False
                 clean[[a + r for r, _, _ in short_matches(buf, offs, index)]] = False
-            yield batch.select(names).filter(pa.array(clean))
+            yield batch.select(names).filter(pa.array(clean == want))
 
     return run
 
@@ -399,11 +401,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Search = Search()) -> DataFr
         shared = spark.sparkContext.broadcast(sieve)
         rows = materialise(arrow_map(rows, _sieve_map(shared, ["doc_id", "text"], True), "doc_id long, text string"), "maybe-leaking")
     schema = "doc_id long, item_id long, n_windows long, distance long, first_char long, covered double"
-    out = None
+    if sieve is None:
+        index = next(blocks(benchmark, p), None)
+        return spark.createDataFrame([], schema) if index is None else arrow_map(rows, _match_map(spark.sparkContext.broadcast(index)), schema)
+    parts = [materialise(found, "leaks") for found in _block_by_block(rows, benchmark, p, lambda df, shared: arrow_map(df, _match_map(shared), schema))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _block_by_block(rows: DataFrame, benchmark: DataFrame, p: Search, job: Callable[[DataFrame, Broadcast], DataFrame]) -> Iterator[DataFrame]:
+    """job(rows, index) for each block. A block's index leaves driver and executors before the next one is made, so what is yielded
+    must be written before it is asked for the next."""
     for index in blocks(benchmark, p):
-        found = arrow_map(rows, _match_map(spark.sparkContext.broadcast(index)), schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+        shared = rows.sparkSession.sparkContext.broadcast(index)
+        try:
+            yield job(rows, shared)
+        finally:
+            shared.destroy()
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Search = Search()) -> DataFrame:
@@ -413,13 +426,18 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Search = Search()) -> D
     names = [f"c{k}" for k in range(len(docs.columns))]
     at = names[[c.lower() for c in docs.columns].index("text")]
     plain = docs.toDF(*names)
-    kinds = ", ".join(f"{n} {t}" for n, t in plain.dtypes)
+    kinds = plain.schema
     text = lambda df: df.withColumn("text", F.col(at).cast("string"))
     sieve, clean = _sieve(benchmark, p), None
     if sieve is not None:
         shared = spark.sparkContext.broadcast(sieve)
         clean = arrow_map(text(plain), _sieve_map(shared, names, False), kinds)
         plain = materialise(arrow_map(text(plain), _sieve_map(shared, names, True), kinds), "maybe-leaking")
-    for index in blocks(benchmark, p):
-        plain = arrow_map(text(plain), _clean_map(spark.sparkContext.broadcast(index), names), kinds)
-    return (plain if clean is None else clean.unionByName(plain)).toDF(*docs.columns)
+    if sieve is None:
+        for index in blocks(benchmark, p):
+            plain = arrow_map(text(plain), _clean_map(spark.sparkContext.broadcast(index), names), kinds)
+        return plain.toDF(*docs.columns)
+    numbered = materialise(plain.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = _block_by_block(text(numbered), benchmark, p, lambda df, shared: arrow_map(df, _clean_map(shared, ["__row"], False), "__row long"))
+    held = reduce(DataFrame.unionByName, [materialise(f, "leaking-rows") for f in found]).distinct()
+    return clean.unionByName(numbered.join(held, "__row", "left_anti").drop("__row")).toDF(*docs.columns)
