@@ -267,17 +267,21 @@ class Scanner:
         out = []
         for template in {m[0] for m in found}:
             chain: list[list[int]] = []
+            closed: list[list[int]] = []
             mine = sorted((a, b, n) for t, b, a, n in found if t == template)
             for a, b, n in mine:
-                # onto the chain that ends nearest before it in file and template; overlaps are counted once
-                fit = [c for c in chain if 0 < a + n - c[1] and 0 < b + n - c[2] and a - c[1] <= self.p.gap and b - c[2] <= self.p.gap]
+                # chains that end too far before it are out of reach of all later matches too
+                closed += [c for c in chain if a - c[1] > self.p.gap]
+                chain = [c for c in chain if a - c[1] <= self.p.gap]
+                # onto the chain that covers most, of those that end before it in file and template; overlaps are counted once
+                fit = [c for c in chain if 0 < a + n - c[1] and 0 < b + n - c[2] and b - c[2] <= self.p.gap]
                 if fit:
                     c = max(fit, key=lambda c: c[3])
                     c[3] += min(n, a + n - c[1], b + n - c[2])
                     c[1], c[2] = a + n, b + n
                 else:
                     chain.append([a, a + n, b + n, n])
-            for first, end, _, covered in chain:
+            for first, end, _, covered in closed + chain:
                 share = min(1.0, covered / self.lengths[template])
                 if share >= self.p.covered:
                     out.append((template, first, end - 1, share))
