@@ -10,14 +10,11 @@ shards by the bytes summed per slot.
 from __future__ import annotations
 
 import heapq
-import zlib
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import arrow_map
-from .common import column, file_exists, folders_in, hex_int, key_hex, materialise, text_buffer
+from .common import file_exists, folders_in, hex_int, key_hex, materialise
 
 SLOTS = 4096
 #: Lots that rows of one key and content are dealt into.
@@ -140,18 +137,11 @@ def slot_bytes(placed: DataFrame) -> DataFrame:
     return placed.groupBy("vslot").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
 
 
-def _crc(batches):
-    for batch in batches:
-        buf, offs = text_buffer(column(batch, "text"))
-        raw = memoryview(buf)
-        crc = [zlib.crc32(raw[offs[k] : offs[k + 1]]) for k in range(len(offs) - 1)]
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array((offs[1:] - offs[:-1]) + ROW_BYTES, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "size", "text_crc32"])
-
-
 def place(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and vslot of each row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, _crc, "doc_id long, size long, text_crc32 long").withColumn("vslot", slot_of(F.col("doc_id"), slots))
+    doc_id, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(doc_id.alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return rows.withColumn("vslot", slot_of(F.col("doc_id"), slots))
 
 
 def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
