@@ -253,10 +253,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder:
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    # a hash of the text parts rows of one doc_id, or of none, over the ranges
-    order = order or [docs["doc_id"].cast("long").asc_nulls_last(), F.xxhash64(docs["text"]).asc()]
-    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = rows.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    # a hash of the text parts rows of one doc_id, or of none, over the ranges, and where they were read those of one text too
+    doc_id = docs["doc_id"].cast("long")
+    order = order or [doc_id.isNull(), doc_id, F.xxhash64(docs["text"])]
+    keys = [f"__key{k}" for k in range(len(order))]
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[c.alias(k) for c, k in zip(order, keys)], F.monotonically_increasing_id().alias("__lot"))
+    sort = [*keys, "__lot"]
+    rows = rows.repartitionByRange(*sort).sortWithinPartitions(*sort).select("doc_id", "text")
     parts = sorted(arrow_map(rows, _write_map(folder, tokenizer, end_id), "part long, n_docs long, n_ids long, kind string").collect())
     bases = [0, *accumulate(p.n_ids for p in parts)]
     table = spark.createDataFrame([(*p, b) for p, b in zip(parts, bases)], "part long, n_docs long, n_ids long, kind string, base long")
@@ -264,14 +267,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder:
 
 
 def stored_order(docs: DataFrame) -> list[Column] | None:
-    """Columns by which rows read from files stand as they were written by a sorted job: file name (part number first), then row.
-    None for rows that come from no file."""
+    """Columns by which rows read from files stand as they were written by a sorted job: number of the part (which has five digits or
+    more in a file's name), then row. None for rows that come from no file."""
     try:
         at = docs.metadataColumn("_metadata")
         docs.select(at["row_index"]).schema  # noqa: B018  resolves the column
     except AnalysisException:
         return None
-    return [at["file_name"], at["row_index"]]
+    return [part_number(at["file_name"]), at["file_name"], at["row_index"]]
+
+
+def part_number(file_name: Column) -> Column:
+    return F.regexp_extract(file_name, r"part-(\d+)", 1).try_cast("long")
 
 
 def read_tokens(folder: str, parts: DataFrame) -> DataFrame:
