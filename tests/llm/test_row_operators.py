@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -177,10 +178,23 @@ def test_one_value_has_one_pseudonym_in_any_layout(spark):
     assert [got[500 + k].n_replaced for k in range(12)] == [0, 0, 0, 0, 1, 0, 1, 0, 0, 0, 0, 0]
 
 
+def test_pseudonyms_of_any_length(spark):
+    rows, k = [], 0
+    for n in (200, 201, 202, 300, 3000):
+        rows += [(k, f"to {'ab' * (n // 2)}{'c' * (n % 2)}@example.org now"), (k + 1, f"to me@{'h.' * (n // 2)}example.org now")]
+        k += 2
+    for n in (127, 128, 129, 10_000):
+        rows.append((k, f"token={'0123456789abcdef' * (n // 16)}{'7' * (n % 16)} end"))
+        k += 1
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    for k, text in rows:
+        assert got[k].n_replaced == 1 and got[k].text != text and len(got[k].text) == len(text)
+
+
 def test_pseudonyms_edges(edge, empty):
-    got = pii.pseudonymise(edge)
+    got = pii.pseudonymise(edge, "k")
     assert sorted(map(str, (r.text for r in got.collect()))) == sorted(map(str, (r.text for r in edge.select("text").collect())))
-    assert pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(empty, "k").count() == 0
 
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -544,3 +558,54 @@ def test_encoder_agrees_with_the_library():
 
 def test_no_token_files_for_an_empty_table(empty):
     assert tokens.read_tokens(*tokens.write_tokens(empty, public_tokenizers.path("word_bpe_49k.json"))).count() == 0
+
+
+def test_part_numbers_beyond_five_digits(spark):
+    names = ["part-99999-x.parquet", "part-100000-x.parquet", "part-00002-x.parquet", "other"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").orderBy(tokens.part_number(F.col("n")).asc_nulls_last()).collect()
+    assert [r.n for r in got] == [names[2], names[0], names[1], names[3]]
+
+
+def test_equal_rows_share_no_file(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "same text")] * 4000, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder, parts = tokens.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), folder=f"file://{tmp_path}/t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [p.n_docs for p in parts.collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 2000
+    got = tokens.read_tokens(folder, parts).collect()
+    assert sorted(r.start for r in got) == [k * got[0].n_tokens for k in range(4000)]
+
+
+def test_columns_of_any_type_pass(spark, benchmark_items):
+    """Stages that keep rows keep nested, quoted, decimal, map and binary columns too."""
+    item = benchmark_items.first().text
+    text = " ".join(f"the river is a stone and word{k} of the {k} garden." for k in range(40))
+    docs = spark.createDataFrame([(1, text, "en", None), (2, item + " " + text, "en", None)], "doc_id long, text string, lang string, source string")
+    docs = docs.selectExpr("*", "named_struct('a b', 1, 'c`d', array('x')) AS `odd name`", "map('k', 1.5D) AS m", "cast('1.50' AS decimal(20, 3)) AS d", "cast('z' AS binary) AS bin", "date'2020-01-01' AS day")
+    assert quality.keep_good(docs).schema == docs.schema
+    clean = decontam.keep_clean(docs, benchmark_items)
+    assert clean.schema == docs.schema and [r.doc_id for r in clean.collect()] == [1]
+    small = decontam.Search(block=200)
+    clean = decontam.keep_clean(docs, benchmark_items, small)
+    assert clean.dtypes == docs.dtypes and [tuple(r) for r in clean.collect()] == [tuple(r) for r in decontam.keep_clean(docs, benchmark_items).collect()]
+
+
+def test_leaks_block_by_block(documents, benchmark_items):
+    whole = sorted(map(tuple, decontam.leaks(documents, benchmark_items).collect()))
+    assert whole and sorted(map(tuple, decontam.leaks(documents, benchmark_items, decontam.Search(block=1500)).collect())) == whole
+
+
+def test_notices_without_end_take_linear_time():
+    scanner = licenses.Scanner(licenses.Scan())
+    notice = licenses.TEMPLATES[0][1].split()
+    some = " ".join(notice[: scanner.p.least_run + 4])
+    took = []
+    for n in (1000, 8000):
+        text = np.frombuffer("".join(f"{some} zzz{k} yyy xxx www vvv uuu ttt sss rrr qqq " for k in range(n)).encode(), np.uint8)
+        start = time.time()
+        scanner.scan(text, np.array([0, len(text)]))
+        took.append(time.time() - start)
+    assert took[1] < 24 * max(took[0], 0.05)
