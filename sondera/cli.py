@@ -7,7 +7,6 @@ family cap on saved evidence), cluster (paired diagnostics), all.
 from __future__ import annotations
 
 import argparse
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from .functions import vectors
 from .operators import diagnostics, metrics, scoring, search, splits
 from .plans import checks, control
 from .plans.views import patch_view
-from .session import local_session
+from .session import file_exists, local_session, write_text
 from .sources import readers, sinks
 
 
@@ -27,22 +26,26 @@ def build_bank(spark: SparkSession, data: str, output: str, s: control.Settings)
     plan = spark.read.parquet(f"{output}/plan")
     checks.require_none(splits.overlapping_families(plan), "families in several roles")
     checks.require_none(checks.held_out_overlap(plan), "bank families held out")
+    checks.require_none(scoring.without_foreground(plan, s.foreground_minimum), "images without foreground patches")
     checks.require_none(checks.bad_vectors(plan.where("role = 'bank'"), "embedding", plan.select(F.size("embedding").alias("d")).first().d), "invalid bank vectors")
-    bank = plan.where("role = 'bank'").select(F.col("vec_id").alias("bank_patch_id"), F.col("image_id").alias("source_idx"), "patch_id", "family", "embedding")
+    bank = _patches(plan, s).where("role = 'bank'").select(F.col("vec_id").alias("bank_patch_id"), F.col("image_id").alias("source_idx"), "patch_id", "family", "embedding")
     signature = checks.row_signature(plan.select("vec_id", "role"), ["vec_id", "role"]).first().signature
     sinks.bank(bank, bank.select("source_idx", "family").distinct(), f"{output}/bank", signature, s.foreground_minimum, s.top_fraction)
 
 
+def _patches(plan: DataFrame, s: control.Settings) -> DataFrame:
+    return scoring.foreground(plan, s.foreground_minimum)
+
+
 def score(spark: SparkSession, output: str, s: control.Settings) -> None:
     """Searches held-out patches that have no evidence yet, then calibrates and reports both methods."""
-    control.require_stage(_local(output), "bank/complete")
+    control.require_stage(spark, output, "bank/complete")
     plan = spark.read.parquet(f"{output}/plan")
     signature = checks.row_signature(plan.select("vec_id", "role"), ["vec_id", "role"]).first().signature
     patches, _ = sinks.load_bank(spark, f"{output}/bank", signature)
     bank = patches.select("bank_patch_id", "embedding")
-    held = plan.where("role IN ('calibration', 'evaluation')")
-    todo = held
-    if (Path(_local(output)) / "evidence").exists():
+    todo = held = _patches(plan, s).where("role IN ('calibration', 'evaluation')")
+    if file_exists(spark, f"{output}/evidence"):
         todo = sinks.pending(held, spark.read.parquet(f"{output}/evidence"), ["vec_id"])
     if not todo.isEmpty():
         found = search.nearest(todo.select("vec_id", "embedding"), bank, s.neighbours, s.broadcast_bytes)
@@ -61,7 +64,7 @@ def score(spark: SparkSession, output: str, s: control.Settings) -> None:
 def ablation(spark: SparkSession, output: str, s: control.Settings) -> None:
     """Reweights saved candidates under a family cap and weighs edge patches down; no new search."""
     evidence = spark.read.parquet(f"{output}/evidence")
-    plan = spark.read.parquet(f"{output}/plan")
+    plan = _patches(spark.read.parquet(f"{output}/plan"), s)
     asked = plan.where("role IN ('calibration', 'evaluation')").withColumnRenamed("image_id", "sample_id")
     checks.require_none(checks.evidence_mismatch(asked, evidence.withColumnRenamed("image_id", "sample_id")), "saved evidence is not that of the plan")
     bank = plan.where("role = 'bank'").select(F.col("vec_id").alias("bank_id"), "embedding")
@@ -83,7 +86,7 @@ def ablation(spark: SparkSession, output: str, s: control.Settings) -> None:
 
 def cluster(spark: SparkSession, output: str, s: control.Settings) -> None:
     """Pairs a real and a fake image of each family and reports how far apart they are."""
-    plan = spark.read.parquet(f"{output}/plan").where("role IN ('bank', 'train_fake')")
+    plan = _patches(spark.read.parquet(f"{output}/plan"), s).where("role IN ('bank', 'train_fake')")
     pairs = splits.paired_samples(plan.select("family", F.col("image_id").alias("image"), "y").distinct(), 500, s.seed)
     pooled = diagnostics.mean_pool(plan.select("image_id", "embedding"), "image_id")
     rows = pairs.join(pooled, F.col("image") == F.col("image_id")).drop("image_id")
@@ -94,7 +97,14 @@ def cluster(spark: SparkSession, output: str, s: control.Settings) -> None:
     one = lambda df: F.broadcast(df)
     report = cosines.join(one(diagnostics.centroid_cosine(rows)), how="cross").join(one(diagnostics.agreement(two, "y", "cluster")), how="cross").withColumn("pca_explained", F.lit(explained))
     sinks.json_report(report, f"{output}/cluster_report")
-    Path(_local(output), "cluster_report.md").write_text("\n".join(["| figure | value |", "|-|-|", *(f"| {k} | {v:.6g} |" for k, v in report.first().asDict().items())]) + "\n")
+    eight = diagnostics.kmeans(reduced, 8, seed=s.seed)
+    sinks.json_report(diagnostics.composition(eight.select("cluster", "y")), f"{output}/cluster_composition")
+    figures = report.first().asDict()
+    for metric in ("cosine", "euclidean"):
+        for name, table, label, vector in (("labels", rows, "y", "vector"), ("clusters", two, "cluster", "reduced")):
+            one_row = diagnostics.silhouette(table.select(F.col("analysis_id").alias("id"), label, F.col(vector).alias("vector")), label, metric).first()
+            figures[f"silhouette_{metric}_{name}"] = one_row.silhouette
+    write_text(spark, f"{output}/cluster_report.md", "\n".join(["| figure | value |", "|-|-|", *(f"| {k} | {v:.6g} |" for k, v in figures.items())]) + "\n")
 
 
 def _report(scores: DataFrame, group: str, s: control.Settings, table: str, report: str) -> None:
@@ -104,10 +114,6 @@ def _report(scores: DataFrame, group: str, s: control.Settings, table: str, repo
     sinks.json_report(metrics.ranking_metrics(scores.where("role = 'evaluation'"), limits, [group]), report)
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://")
-
-
 STAGES = ("bank", "score", "ablation", "cluster", "all")
 
 
@@ -122,9 +128,9 @@ def main(argv: list[str] | None = None) -> None:
     args = vars(parser.parse_args(argv))
     stage, data, output, file = (args.pop(k) for k in ("stage", "data", "output", "settings"))
     settings = control.load_settings(file, args)
-    control.freeze(settings, _local(output))
-    with control.run_lock(_local(output)):
-        spark = SparkSession.getActiveSession() or local_session()
+    spark = SparkSession.getActiveSession() or local_session()
+    control.freeze(spark, settings, output)
+    with control.run_lock(spark, output):
         if stage in ("bank", "all"):
             build_bank(spark, data, output, settings)
         if stage in ("score", "all"):

@@ -142,7 +142,17 @@ def aligned(pixels: DataFrame, template: DataFrame, image: str, most: float = 20
 
 
 def crop_box(box: Column, scale: Column, margin: float, width: Column, height: Column) -> Column:
-    """A detection box (array x0, y0, x1, y1) back in frame pixels, widened by a share of its size and clipped to the frame."""
+    """A detection box (array x0, y0, x1, y1) back in frame pixels, widened by a share of its size and clipped to the frame. A box of
+    which nothing is left is an error; empty_box tells which those are."""
+    out = clipped_box(box, scale, margin, width, height)
+    return F.when(empty_box(out), F.raise_error(F.lit("invalid box")).cast("array<bigint>")).otherwise(out)
+
+
+def empty_box(box: Column) -> Column:
+    return (box[2] <= box[0]) | (box[3] <= box[1])
+
+
+def clipped_box(box: Column, scale: Column, margin: float, width: Column, height: Column) -> Column:
     x0, y0, x1, y1 = (box[k] / scale for k in range(4))
     mx, my = (x1 - x0) * margin, (y1 - y0) * margin
     return F.array(F.greatest(F.lit(0), F.floor(x0 - mx)), F.greatest(F.lit(0), F.floor(y0 - my)), F.least(width.cast("long"), F.ceil(x1 + mx)), F.least(height.cast("long"), F.ceil(y1 + my)))
@@ -156,7 +166,8 @@ def detection_size(width: Column, height: Column, longest: int) -> Column:
 
 
 def largest_box(boxes: Column) -> Column:
-    """Of an array of boxes the one of largest area, the first of equals."""
-    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    """Of an array of boxes the one of largest area, the first of equals. Inverted boxes have no area."""
+    side = lambda a, b: F.greatest(b - a, F.lit(0.0))
+    area = lambda b: side(b[0], b[2]) * side(b[1], b[3])
     ranked = F.transform(boxes, lambda b, i: F.struct(area(b).alias("area"), (-i).alias("order"), b.alias("box")))
     return F.array_max(ranked)["box"]

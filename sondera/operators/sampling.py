@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import even_places, ordered_rank
+from ..functions.ordering import even_places, ordered_rank, running_sums
 
 
 def even_sample(rows: DataFrame, group: list[str], order: list[str], count: int) -> DataFrame:
@@ -50,8 +50,8 @@ def circular_lead(rows: DataFrame, group: str, order: str, value: str, out: str
 
 
 def offsets(groups: DataFrame, order: str, size: str) -> DataFrame:
-    """Exclusive running sum of group sizes (one row per group)."""
-    return groups.withColumn("offset", F.coalesce(F.sum(size).over(Window.partitionBy().orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """Exclusive running sum of group sizes (one row per group), by ranges of groups."""
+    return running_sums(groups, [], [F.col(order)], {size: "offset"}, before=True)
 
 
 def early_stopping(epochs: DataFrame, run: str, patience: int, minimum_delta: float) -> DataFrame:
@@ -75,6 +75,19 @@ def early_stopping(epochs: DataFrame, run: str, patience: int, minimum_delta: fl
     return rows.select(run, done.alias("d")).select(run, F.col("d.at").alias("best_epoch"), F.col("d.best").alias("best_loss"), F.col("d.stop").alias("stop_epoch"))
 
 
+def improvements(epochs: DataFrame, run: str, minimum_delta: float) -> DataFrame:
+    """(run, epoch, loss) of the epochs whose loss is less than that of the last such epoch by more than the delta; the first of a
+    run is one. A fold over a run's epochs, which are few."""
+    rows = epochs.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("epoch", "loss"))).alias("e"))
+    none = F.filter("e", lambda e: F.lit(False))
+
+    def step(kept: Column, e: Column) -> Column:
+        better = (F.size(kept) == 0) | (e["loss"] < F.element_at(kept, -1)["loss"] - minimum_delta)
+        return F.when(better, F.concat(kept, F.array(e))).otherwise(kept)
+
+    return rows.select(run, F.inline(F.aggregate("e", none, step)))
+
+
 def weighted_means(rows: DataFrame, by: str, weight: str, values: list[str]) -> DataFrame:
     """Per group sum(value * weight) / sum(weight)."""
     return rows.groupBy(by).agg(*[(F.sum(F.col(v) * F.col(weight)) / F.sum(weight)).alias(v) for v in values])

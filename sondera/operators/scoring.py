@@ -71,3 +71,13 @@ def boundary(patches: DataFrame, group: str, row: str, column: str, outside: boo
     has = lambda c, w, d: F.coalesce((F.lag(c, 1).over(w) if d < 0 else F.lead(c, 1).over(w)) == F.col(c) + d, F.lit(outside))
     inner = has(column, across, -1) & has(column, across, 1) & has(row, down, -1) & has(row, down, 1)
     return patches.withColumn("interior", inner)
+
+
+def foreground(rows: DataFrame, minimum: float) -> DataFrame:
+    """The patches (with an occupancy) that have the least share of foreground. Bank, queries and pooled vectors are made of these."""
+    return rows.where(F.col("occupancy") >= F.lit(float(minimum)))
+
+
+def without_foreground(rows: DataFrame, minimum: float, image: str = "image_id") -> DataFrame:
+    """(image): images none of whose patches has the least share of foreground, so that they could not be scored."""
+    return rows.groupBy(image).agg(F.max("occupancy").alias("most")).where(F.col("most") < F.lit(float(minimum))).select(image)

@@ -1,9 +1,12 @@
 """Exact cosine nearest neighbours of queries in a bank of vectors.
 
 Vectors are packed into blocks and compared by matrix products in Arrow workers. A bank of proven size that fits a worker's
-memory is broadcast, and nothing is shuffled; a larger one stays distributed: each block of queries meets each block of the
-bank by an equi-join on block numbers, gives its own best k, and these are merged, so that no worker ever holds more than two
-blocks. Blocks are halved until they fit. Ties go to the smaller bank id.
+memory is broadcast, and nothing is shuffled. A larger one stays distributed, as an index of cells around pivots: a bank vector
+lies in the cell of its nearest pivot, and a block of a cell knows the least and the largest angle to it. By the triangle
+inequality of angles no vector of a block is nearer to a query than the difference of angles allows. A query first visits the
+blocks of best bound until they hold k vectors, and then only those whose bound reaches the k-th best found, so the result is
+exact and most blocks are never visited where vectors lie in clusters. No worker holds more than two blocks, which are halved
+until they fit. Ties go to the smaller bank id.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import arrow_map, ship
+from ..session import arrow_map, materialise, ship
 
 #: Bytes of bank vectors (as doubles) that are broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -24,6 +27,10 @@ MEMORY = 1 << 30
 QUERY_BLOCK, BANK_BLOCK = 1024, 16384
 #: Blocks are not made smaller than this.
 LEAST_BLOCK = 64
+#: Pivots of a bank, at most; their vectors are broadcast.
+MOST_PIVOTS = 4096
+#: Rounding that a bound allows for.
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -119,17 +126,100 @@ def _broadcast_map(shared, k: int, w: Way):
     return run
 
 
-def _packed(df: DataFrame, size: int, rows: int, out: str) -> tuple[DataFrame, int]:
-    """(block, ids, vectors), rows dealt by hash of the id into blocks of about `size` rows; and the number of blocks."""
-    n = max(1, -(-rows // size))
-    dealt = df.toDF("id", "embedding").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
+@dataclass(frozen=True)
+class Index:
+    """A bank's cells: pivots (unit vectors), and per block its cell, number in the cell, rows, least and largest angle to the pivot."""
+
+    pivots: np.ndarray
+    cell: np.ndarray
+    number: np.ndarray
+    rows: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def bounds(self, unit: np.ndarray) -> np.ndarray:
+        """Largest similarity that each query can have to a vector of each block."""
+        angle = np.arccos(np.clip(unit @ self.pivots.T, -1, 1))[:, self.cell]
+        return np.cos(np.maximum(0, np.maximum(angle - self.high, self.low - angle)))
+
+    def first(self, bound: np.ndarray, k: int) -> np.ndarray:
+        """Which blocks each query visits first: those of best bound, as many as hold k vectors."""
+        order = np.argsort(-bound, axis=1, kind="stable")
+        held = np.cumsum(self.rows[order], axis=1)
+        out = np.zeros(bound.shape, bool)
+        np.put_along_axis(out, order, held - self.rows[order] < k, axis=1)
+        return out
+
+
+def _assign_map(shared):
+    """Bank rows with their cell and angle to its pivot."""
+
+    def run(batches):
+        pivots = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                cosine = _unit(_matrix(batch.column(1))) @ pivots.T
+                cell = cosine.argmax(axis=1)
+                angle = np.arccos(np.clip(cosine[np.arange(len(cell)), cell], -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int64()), pa.array(angle)], ["id", "embedding", "cell", "angle"])
 
+    return run
+
+
+def _pack(keys: list[str]):
     def pack(t: pa.Table) -> pa.Table:
         ids, m = t.column("id").to_numpy(), _matrix(t.column("embedding"))
         order = np.argsort(ids, kind="stable")
-        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int64()), "ids": pa.array([ids[order].astype("<i8").tobytes()]), "vectors": pa.array([_unit(m)[order].tobytes()])})
+        return pa.table({k: pa.array([t.column(k)[0].as_py()], pa.int64()) for k in keys} | {"ids": pa.array([ids[order].astype("<i8").tobytes()]), "vectors": pa.array([_unit(m)[order].tobytes()])})
+
+    return pack
+
+
+def build_index(bank: DataFrame, rows: int, block: int, cell_rows: int | None = None) -> tuple[Index, DataFrame]:
+    """(index, blocks: block, ids, vectors) of a bank (id, embedding). Pivots are the vectors of least md5 of their id, one for each
+    `cell_rows` rows but MOST_PIVOTS at most; all vectors are indexed. A cell of more rows than a block has is several blocks, by angle,
+    so that each is a ring about the pivot."""
+    spark = bank.sparkSession
+    n = max(1, min(MOST_PIVOTS, rows // max(1, cell_rows or block)))
+    found = bank.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n).toArrow()
+    pivots = _unit(_matrix(found.column("embedding")))
+    placed = materialise(arrow_map(bank, _assign_map(spark.sparkContext.broadcast(pivots)), "id long, embedding array<double>, cell long, angle double"), "bank-cells")
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+    width = F.greatest(F.ceil(F.col("n") / block), F.lit(1))
+    # rings of equal angle, then by hash where a ring is still too large
+    ring = F.least(F.floor((F.col("angle") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-12)) * width), width - 1).cast("long")
+    ringed = placed.join(F.broadcast(sizes), "cell").withColumn("ring", ring).select("id", "embedding", "cell", "angle", "ring")
+    counts = ringed.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("long")
+    split = materialise(ringed.join(F.broadcast(counts), ["cell", "ring"]).withColumn("part", part).drop("parts"), "bank-rings")
+    table = split.groupBy("cell", "ring", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("angle").alias("low"), F.max("angle").alias("high")).orderBy("cell", "ring", "part").toPandas()
+    numbers = spark.createDataFrame([(*map(int, r), k) for k, r in enumerate(table[["cell", "ring", "part"]].values)], "cell long, ring long, part long, block long")
+    packs = split.join(F.broadcast(numbers), ["cell", "ring", "part"]).groupBy("block").applyInArrow(_pack(["block"]), "block long, ids binary, vectors binary")
+    index = Index(pivots, *(table[c].to_numpy() for c in ("cell", "part", "rows", "low", "high")))
+    return index, materialise(packs.toDF("block", "b_ids", "b_vectors"), "bank-blocks")
+
+
+VISITS = "block long, id long, embedding array<double>"
 
-    return dealt.groupBy("block").applyInArrow(pack, "block long, ids binary, vectors binary").select(F.col("block").alias(f"{out}_block"), F.col("ids").alias(f"{out}_ids"), F.col("vectors").alias(f"{out}_vectors")), n
+
+def _visit_map(shared, k: int, limit: bool):
+    """Queries with the blocks that they visit: first (id, embedding), or then (id, embedding, least similarity)."""
+
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            for s in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(s, QUERY_BLOCK)
+                bound = index.bounds(_unit(_matrix(part.column(1))))
+                visit = index.first(bound, k)
+                if limit:
+                    visit = ~visit & (bound >= part.column(2).to_numpy()[:, None] - SLACK)
+                row, block = np.nonzero(visit)
+                for a in range(0, len(row), 1 << 14):
+                    at = pa.array(row[a : a + (1 << 14)])
+                    yield pa.RecordBatch.from_arrays([pa.array(block[a : a + (1 << 14)], pa.int64()), part.column(0).take(at), part.column(1).take(at)], ["block", "id", "embedding"])
+
+    return run
 
 
 def _pair_map(k: int):
@@ -144,6 +234,34 @@ def _pair_map(k: int):
     return run
 
 
+def _visited(visits: DataFrame, packs: DataFrame, k: int, query_block: int) -> DataFrame:
+    """The k best of each visit. Queries of a block are dealt into lots, so that a block that many visit is several tasks."""
+    counts = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("lots"))
+    dealt = visits.join(F.broadcast(counts), "block").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("long")).drop("lots")
+    q = dealt.groupBy("block", "lot").applyInArrow(_pack(["block", "lot"]), "block long, lot long, ids binary, vectors binary").toDF("block", "lot", "q_ids", "q_vectors")
+    return arrow_map(q.join(packs, "block"), _pair_map(k), SCHEMA).drop("rank")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "bank_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "bank_id", "similarity")
+
+
+def pruned(queries: DataFrame, bank: DataFrame, k: int, rows: int, query_block: int = QUERY_BLOCK, bank_block: int = BANK_BLOCK, cell_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(k nearest, visits: query_id, blocks, visited) by the pivot index. queries and bank are (id, embedding)."""
+    index, packs = build_index(bank, rows, bank_block, cell_rows)
+    shared = queries.sparkSession.sparkContext.broadcast(index)
+    queries = queries.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    first = materialise(arrow_map(queries, _visit_map(shared, k, False), VISITS), "first-visits")
+    found = materialise(_best(_visited(first, packs, k, query_block), k), "first-found")
+    least = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), "similarity")
+    then = materialise(arrow_map(queries.join(least, "id").select("id", "embedding", "similarity"), _visit_map(shared, k, True), VISITS), "then-visits")
+    more = _visited(then, packs, k, query_block)
+    out = _best(found.drop("rank").unionByName(more), k)
+    visits = first.select("id").unionByName(then.select("id")).groupBy(F.col("id").alias("query_id")).agg(F.count(F.lit(1)).alias("visited"))
+    return out, visits.select("query_id", F.lit(len(index.cell)).cast("long").alias("blocks"), "visited")
+
+
 def nearest(queries: DataFrame, bank: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES, memory: int = MEMORY) -> DataFrame:
     """(query_id, rank from 1, bank_id, similarity) of the k nearest bank vectors of each query; both are (id, embedding). Fewer than
     k bank vectors, a zero norm or a non-finite component is an error, and so is a memory that no way of searching fits."""
@@ -159,9 +277,4 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, broadcast_bytes: int =
         ids, m = rows.column("id").to_numpy(), _unit(_matrix(rows.column("embedding")))
         order = np.argsort(ids, kind="stable")
         return arrow_map(queries, _broadcast_map(spark.sparkContext.broadcast((ids[order], m[order])), k, w), SCHEMA)
-    q, _ = _packed(queries, w.query_block, queries.count(), "q")
-    b, n = _packed(bank, w.bank_block, size.n, "b")
-    q = q.withColumn("b_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    found = arrow_map(q.join(b, "b_block"), _pair_map(k), SCHEMA).drop("rank")
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "bank_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "bank_id", "similarity")
+    return pruned(queries, bank, k, size.n, w.query_block, w.bank_block)[0]

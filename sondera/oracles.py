@@ -9,7 +9,7 @@ ORACLES: dict[str, str] = dict(PLAN_ORACLES)
 _PATCHES = """
 e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn FROM embeddings),
 pv AS (SELECT vec_id, v, label, (label >= 5)::INT AS y, label::BIGINT * 1000000000 + rn // 5 AS image_id, (rn % 5)::INT AS patch_id,
-  (label % 5)::VARCHAR || '/' || (rn // CASE WHEN label >= 5 THEN 20 ELSE 10 END)::VARCHAR AS family FROM e)"""
+  len(list_filter(v, lambda x: abs(x) > 0.03::DOUBLE)) / 64::DOUBLE AS occupancy, (label % 5)::VARCHAR || '/' || (rn // CASE WHEN label >= 5 THEN 20 ELSE 10 END)::VARCHAR AS family FROM e)"""
 
 _ROLES = (
     _PATCHES
@@ -29,7 +29,7 @@ ro AS (SELECT pv.*, CASE WHEN family IN (SELECT family FROM cal) THEN 'calibrati
 _SEARCH = (
     _ROLES
     + """,
-u AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS w FROM ro),
+u AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS w FROM ro WHERE occupancy >= 0.7),
 q AS (SELECT vec_id AS query_id, w AS qv, role, y, image_id, patch_id, family AS q_family FROM u WHERE role IN ('calibration', 'evaluation')),
 b AS (SELECT vec_id AS bank_id, w AS bv, image_id AS b_image, patch_id AS b_patch, family FROM u WHERE role = 'bank'),
 cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, bank_id) AS rank
@@ -143,7 +143,7 @@ _q("foreground_missing_images", _PATCHES, "SELECT image_id FROM pv GROUP BY imag
 ORACLES["l2_normalised"] = """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings)
 SELECT vec_id, round(v[1] / l, 6) AS first, round(v[-1] / l, 6) AS last, 1.0::DOUBLE AS length FROM n"""
 ORACLES["invalid_vectors"] = "SELECT count(*) AS vectors, count(*) FILTER (len(embedding) <> 64 OR list_inner_product(embedding, embedding) = 0) AS invalid FROM embeddings"
-_q("bank_index", _ROLES, "SELECT row_number() OVER (ORDER BY image_id, patch_id) - 1 AS bank_patch_id, image_id AS source_image, patch_id, family FROM ro WHERE role = 'bank'")
+_q("bank_index", _ROLES, "SELECT row_number() OVER (ORDER BY image_id, patch_id) - 1 AS bank_patch_id, image_id AS source_image, patch_id, family FROM ro WHERE role = 'bank' AND occupancy >= 0.7")
 _q("nn1_distance", _SEARCH, "SELECT query_id, bank_id, round(nearest_distance, 6) AS distance FROM near")
 _q("nn1_image_score", _SEARCH + _image(_NEAR_ITEMS, "nearest_distance", "s"), "SELECT * FROM s")
 _q("topk_neighbors", _SEARCH, "SELECT query_id, rank, bank_id, round(similarity, 6) AS similarity FROM cand")
@@ -226,11 +226,11 @@ pick AS (SELECT family, y, arg_min(image, md5('42|pick|' || image)) AS image FRO
 pr AS (SELECT family, row_number() OVER (ORDER BY md5('42|pair|' || family), family) - 1 AS pair_id FROM (SELECT family FROM pick GROUP BY family HAVING count(*) = 2) QUALIFY pair_id < 500),
 sm AS (SELECT 2 * pair_id + y AS analysis_id, pair_id, y, family, image FROM pick JOIN pr USING (family))"""
 )
-_POOL = """, ml AS (SELECT image_id, d, avg(v[d]) AS m FROM pv, (SELECT unnest(range(1, 65)) AS d) GROUP BY image_id, d),
+_POOL = """, ml AS (SELECT image_id, d, avg(v[d]) AS m FROM pv, (SELECT unnest(range(1, 65)) AS d) WHERE occupancy >= 0.7 GROUP BY image_id, d),
 pool AS (SELECT image_id, d, m / sqrt(sum(m * m) OVER (PARTITION BY image_id)) AS x FROM ml)"""
 _SAMPLED = _PAIRS + _POOL + ", sv AS (SELECT sm.*, d, x FROM sm JOIN pool ON pool.image_id = sm.image)"
 _q("paired_samples", _PAIRS, "SELECT * FROM sm")
-_q("mean_pool", _PATCHES + _POOL, "SELECT image_id, round(max(CASE WHEN d = 1 THEN x END), 6) AS first, round(max(CASE WHEN d = 64 THEN x END), 6) AS last FROM pool GROUP BY image_id")
+_q("mean_pool", _PATCHES + _POOL, "SELECT image_id, (d - 1)::INT AS at, round(x, 6) AS x FROM pool")
 _q(
     "label_centroid_cosine",
     _SAMPLED + ", c AS (SELECT d, avg(x) FILTER (y = 0) AS a, avg(x) FILTER (y = 1) AS z FROM sv GROUP BY d)",

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths, vectors
-from .operators import diagnostics, grids, metadata, metrics, search
-from .plans import checks, control, encoding
+from .operators import diagnostics, grids, metadata, metrics, sampling, search
+from .plans import checks, encoding
 from .plans.views import table
 from .session import new_folder, write_text
 from .sources import readers, sinks
@@ -282,14 +282,30 @@ def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
     return _boxes(spark, d).select("p_partkey", box.alias("b")).select("p_partkey", *[F.col("b")[k].cast("long").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, (l_quantity % 9 + 1) AS w, (l_suppkey % 5 + 1)::DOUBLE AS h FROM lineitem)
-SELECT l_orderkey, w, h FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY w * h DESC, l_linenumber, w, h) = 1""")
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, (l_quantity % 9 + 1) AS w, (l_suppkey % 5 + 1)::DOUBLE AS h, l_partkey % 3 = 0 AS inverted FROM lineitem),
+b AS (SELECT l_orderkey, l_linenumber, CASE WHEN inverted THEN w ELSE 0 END AS x0, CASE WHEN inverted THEN h ELSE 0 END AS y0, CASE WHEN inverted THEN 0 ELSE w END AS x1, CASE WHEN inverted THEN 0 ELSE h END AS y1, CASE WHEN inverted THEN 0 ELSE w * h END AS area FROM c)
+SELECT l_orderkey, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM b QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY area DESC, l_linenumber, x0, y0, x1, y1) = 1""")
 def largest_detections(spark: SparkSession, d: str) -> DataFrame:
-    """Of each frame's detections the largest, the first of equals."""
-    rows = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity % 9 + 1 AS w", "CAST(l_suppkey % 5 + 1 AS DOUBLE) AS h")
-    per = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.array(F.lit(0.0), F.lit(0.0), "w", "h").alias("box")))).alias("found"))
+    """Of each frame's detections, some of them inverted, the largest, the first of equals."""
+    w, h, inverted = F.expr("CAST(l_quantity % 9 + 1 AS DOUBLE)"), F.expr("CAST(l_suppkey % 5 + 1 AS DOUBLE)"), F.expr("l_partkey % 3 = 0")
+    zero = F.lit(0.0)
+    box = F.when(inverted, F.array(w, h, zero, zero)).otherwise(F.array(zero, zero, w, h))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", box.alias("box"))
+    per = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "box"))).alias("found"))
     best = per.select("l_orderkey", grids.largest_box(F.transform("found", lambda s: s["box"])).alias("b"))
-    return best.select("l_orderkey", F.col("b")[2].alias("w"), F.col("b")[3].alias("h"))
+    return best.select("l_orderkey", *[F.col("b")[k].alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@query("""WITH b AS (SELECT p_partkey, (p_size * 7 % 50)::DOUBLE * 3 AS x0, (p_size * 3 % 40)::DOUBLE * 3 AS y0, (p_size % 9 - 2)::DOUBLE AS w, (p_size + 5)::DOUBLE AS h FROM part),
+c AS (SELECT p_partkey, greatest(0, floor(x0 - w * 0.25::DOUBLE)) AS x0, greatest(0, floor(y0 - h * 0.25::DOUBLE)) AS y0, least(120, ceil(x0 + w + w * 0.25::DOUBLE)) AS x1, least(90, ceil(y0 + h + h * 0.25::DOUBLE)) AS y1 FROM b)
+SELECT p_partkey, x1 > x0 AND y1 > y0 AS valid, CASE WHEN x1 > x0 AND y1 > y0 THEN ((x1 - x0) * (y1 - y0))::BIGINT ELSE 0 END AS pixels FROM c""")
+def box_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Detections of which the frame leaves nothing, or that are inverted, apart from the others; their crops would be errors."""
+    rows = table(spark, d, "part").selectExpr("p_partkey", "CAST(p_size * 7 % 50 AS DOUBLE) * 3 AS x", "CAST(p_size * 3 % 40 AS DOUBLE) * 3 AS y", "CAST(p_size % 9 - 2 AS DOUBLE) AS w", "CAST(p_size + 5 AS DOUBLE) AS h")
+    box = grids.clipped_box(F.array("x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h")), F.lit(1.0), 0.25, F.lit(120), F.lit(90))
+    good, bad = sinks.quarantine(rows.select("p_partkey", box.alias("b")), grids.empty_box(F.col("b")), "invalid box")
+    pixels = (F.col("b")[2] - F.col("b")[0]) * (F.col("b")[3] - F.col("b")[1])
+    return good.select("p_partkey", F.lit(True).alias("valid"), pixels.cast("long").alias("pixels")).unionByName(bad.select("p_partkey", F.lit(False).alias("valid"), F.lit(0).cast("long").alias("pixels")))
 
 
 @query("""WITH l AS (SELECT vec_id, list_transform(embedding[1:19], lambda x: x::DOUBLE * 8) AS z FROM embeddings), p AS (SELECT vec_id, z, list_max(z) AS m FROM l)
@@ -423,13 +439,6 @@ def zipped_lists(spark: SparkSession, d: str) -> DataFrame:
     return o.join(o.select("o_orderkey", (2 * F.col("o_orderkey")).alias("zipped")), "o_orderkey")
 
 
-@query("SELECT (k % 3)::INT AS worker, 2 * k + 2 AS processor FROM (SELECT unnest(range(8)) AS k)")
-def worker_processors(spark: SparkSession, d: str) -> DataFrame:
-    """Processors dealt to workers in turn."""
-    groups = control.cpu_groups(list(range(2, 18, 2)), 8, 3)
-    return spark.createDataFrame([(w, p) for w, g in enumerate(groups) for p in g], "worker int, processor long")
-
-
 _PRICES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
@@ -468,15 +477,26 @@ def parameter_totals(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.sum("p_size").alias("total"), part(F.col("p_type") == "ECONOMY")("encoder"), part(F.col("p_type") != "ECONOMY")("decoder"))
 
 
-@query("""WITH l AS (SELECT o_orderpriority AS run, month(o_orderdate)::INT AS epoch, round(avg(o_totalprice::DECIMAL(18,2))::DOUBLE, 2) AS loss FROM orders GROUP BY 1, 2)
-SELECT * FROM l QUALIFY loss < coalesce(min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e18)""")
+@query("""WITH RECURSIVE l AS (SELECT o_orderpriority AS run, month(o_orderdate)::INT AS epoch, round(avg(o_totalprice::DECIMAL(18,2))::DOUBLE, 2) AS loss FROM orders GROUP BY 1, 2),
+f AS (SELECT run, epoch, loss, loss AS best, true AS better FROM l WHERE epoch = 1
+  UNION ALL SELECT l.run, l.epoch, l.loss, CASE WHEN l.loss < f.best - 500 THEN l.loss ELSE f.best END, l.loss < f.best - 500 FROM f JOIN l ON l.run = f.run AND l.epoch = f.epoch + 1)
+SELECT run, epoch, loss FROM f WHERE better""")
 def checkpoint_epochs(spark: SparkSession, d: str) -> DataFrame:
-    """Epochs at which a run improves on all before, which are those that write a checkpoint."""
-    from pyspark.sql import Window
-
+    """Epochs at which a run improves on the last checkpoint by more than the least delta, which are those that write one: written, and
+    read again."""
     rows = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("run"), F.month("o_orderdate").alias("epoch")).agg(F.round(F.avg(F.col("o_totalprice").cast("decimal(18,2)")).cast("double"), 2).alias("loss"))
-    before = F.min("loss").over(Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("before", before).where(F.col("before").isNull() | (F.col("loss") < F.col("before"))).drop("before")
+    path = new_folder(spark, "checkpoints")
+    sampling.improvements(rows, "run", 500.0).write.partitionBy("run").parquet(path)
+    return spark.read.parquet(path).select(F.col("run").cast("string").alias("run"), "epoch", "loss")
+
+
+@query("SELECT p.doc_id AS path, CASE WHEN p.doc_id % 13 = 5 THEN 'missing' ELSE 'changed' END AS reason FROM documents p WHERE p.doc_id % 13 = 5 OR p.doc_id % 17 = 3 AND lower(p.text) <> p.text")
+def changed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Of recorded files those that are gone, or whose content has another digest now."""
+    docs = table(spark, d, "documents")
+    recorded = docs.select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
+    now = docs.where("doc_id % 13 <> 5").select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("doc_id") % 17 == 3, F.lower("text")).otherwise(F.col("text")), 256).alias("sha256"))
+    return checks.changed_files(recorded, now).select("path", "reason")
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey % 3 = 0 AS excluded FROM supplier WHERE NOT (s_nationkey % 3 = 0 AND s_suppkey % 2 = 0)")

@@ -60,3 +60,11 @@ def row_signature(rows: DataFrame, order: list[str]) -> DataFrame:
     for left in range(digits - 2, 0, -2):
         parts = parts.groupBy(F.substring("p", 1, left).alias("p")).agg(joined.alias("s"), F.sum("n").alias("n"))
     return parts.agg(joined.alias("signature"), F.sum("n").alias("rows"))
+
+
+def changed_files(recorded: DataFrame, actual: DataFrame) -> DataFrame:
+    """(path, sha256, reason) of recorded files (path, sha256) that are missing now, or have another digest."""
+    now = actual.select(F.col("path").alias("__path"), F.col("sha256").alias("__now"))
+    joined = recorded.join(now, F.col("path") == F.col("__path"), "left")
+    reason = F.when(F.col("__path").isNull(), "missing").when(~F.col("sha256").eqNullSafe(F.col("__now")), "changed")
+    return joined.withColumn("reason", reason).where("reason IS NOT NULL").select("path", "sha256", "reason")

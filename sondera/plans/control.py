@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import dataclasses
-import fcntl
 import json
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
+from ..session import create_new_file, delete_folder, file_exists, read_text, write_text
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -57,18 +59,14 @@ def load_settings(path: str | None, overrides: dict) -> Settings:
     return Settings(**values)
 
 
-def freeze(settings: Settings, folder: str) -> None:
-    """Writes the experiment's spec, or demands that the one written before is the same."""
-    path = Path(folder) / "settings.json"
-    path.parent.mkdir(parents=True, exist_ok=True)
+def freeze(spark: SparkSession, settings: Settings, folder: str) -> None:
+    """Writes the experiment's spec to a folder in any store, or demands that the one written before is the same."""
+    path = f"{folder}/settings.json"
     text = json.dumps(settings.spec(), sort_keys=True, indent=1, allow_nan=False)
-    if path.exists():
-        if json.loads(path.read_text()) != json.loads(text):
-            raise ValueError(f"{path} belongs to another experiment")
-        return
-    part = path.with_suffix(".part")
-    part.write_text(text)
-    os.replace(part, path)
+    if not file_exists(spark, path):
+        write_text(spark, path, text)
+    elif json.loads(read_text(spark, path)) != json.loads(text):
+        raise ValueError(f"{path} belongs to another experiment")
 
 
 def recover(backup: str, folder: str) -> bool:
@@ -82,35 +80,18 @@ def recover(backup: str, folder: str) -> bool:
 
 
 @contextlib.contextmanager
-def run_lock(folder: str) -> Iterator[None]:
-    """Only one run at a time works in a folder on this machine; a second one fails at once."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    with open(Path(folder) / ".lock", "w") as f:
-        try:
-            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-        except BlockingIOError:
-            raise RuntimeError(f"{folder} is in use") from None
+def run_lock(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Only one run at a time works in a folder of any store: the lock is a file that only one can create. A run that was killed leaves
+    it, and says so by its name."""
+    path = f"{folder}/run.lock"
+    if not create_new_file(spark, path):
+        raise RuntimeError(f"{folder} is in use; if no run works there, delete {path}")
+    try:
         yield
+    finally:
+        delete_folder(spark, path)
 
 
-def cpu_groups(available: list[int], cores: int, workers: int) -> list[list[int]]:
-    """The first `cores` processors in order, dealt to the workers in turn."""
-    if not 1 <= workers <= cores <= len(available):
-        raise ValueError(f"{workers} workers on {cores} of {len(available)} processors")
-    first = sorted(available)[:cores]
-    return [first[w::workers] for w in range(workers)]
-
-
-def require_checkpoint(info: dict, spec: dict, plan_signature: str, digests: dict[str, str]) -> None:
-    """Demands that a tuned encoder belongs to this configuration and plan and that its files (path to sha256, as they are now) are
-    those it was recorded with; a decoder is checked where there is one."""
-    if info["config"] != spec or info["plan_sha256"] != plan_signature:
-        raise ValueError("the encoder was tuned for another configuration or plan")
-    for part in (info, info.get("decoder")):
-        if part and digests.get(part["checkpoint"]) != part["checkpoint_sha256"]:
-            raise ValueError(f"{part['checkpoint']} is missing or has changed")
-
-
-def require_stage(folder: str, stage: str) -> None:
-    if not (Path(folder) / stage / "_SUCCESS").exists():
+def require_stage(spark: SparkSession, folder: str, stage: str) -> None:
+    if not file_exists(spark, f"{folder}/{stage}/_SUCCESS"):
         raise RuntimeError(f"{stage} has not been completed in {folder}")

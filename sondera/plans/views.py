@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from ..functions.ordering import ordered_rank
 
 IMAGES_PER_LABEL = 1_000_000_000
+#: A component of larger magnitude counts as occupied; a patch of the view has the share of its components that do.
+OCCUPIED_ABOVE = 0.03
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def patch_view(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, embedding ARRAY<DOUBLE>, label, y, image_id, patch_id, family)."""
+    """(vec_id, embedding ARRAY<DOUBLE>, label, y, image_id, patch_id, family, occupancy)."""
     rows = ordered_rank(embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label"), ["label"], ["vec_id"], "rn")
     y = F.when(F.col("label") >= 5, 1).otherwise(0)
     family = F.concat_ws("/", (F.col("label") % 5).cast("string"), F.floor(F.col("rn") / F.when(F.col("label") >= 5, 20).otherwise(10)).cast("string"))
     image = F.col("label").cast("long") * IMAGES_PER_LABEL + F.floor(F.col("rn") / 5)
-    return rows.select("vec_id", "embedding", "label", y.alias("y"), image.alias("image_id"), (F.col("rn") % 5).cast("int").alias("patch_id"), family.alias("family"))
+    return rows.select("vec_id", "embedding", "label", y.alias("y"), image.alias("image_id"), (F.col("rn") % 5).cast("int").alias("patch_id"), family.alias("family"), vectors.occupancy(F.col("embedding"), OCCUPIED_ABOVE).alias("occupancy"))

@@ -12,11 +12,11 @@ from .functions import ordering, paths, vectors
 from .operators import diagnostics, grids, metadata, metrics, sampling, scoring, search, splits
 from .plans import checks
 from .plans.views import patch_view, table
-from .session import materialise
+from .session import file_exists, folder_stamp, materialise
 from .streaming.scoring import event_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(plan_queries.QUERIES)
-K, CAP, BOUNDARY, QUANTILE, GRID = 16, 2, 0.5, 0.99, 3
+K, CAP, BOUNDARY, QUANTILE, GRID, FOREGROUND = 16, 2, 0.5, 0.99, 3, 0.7
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,20 +28,31 @@ def _patches(spark: SparkSession, d: str) -> DataFrame:
     return patch_view(table(spark, d, "embeddings"))
 
 
-#: Patches with roles, written once per application and folder of tables: all that searches begins with the same split.
-_ROLES: dict[tuple[str, str], DataFrame] = {}
+#: Patches with roles, written once per application and state of the table: all that searches begins with the same split.
+_ROLES: dict[tuple, DataFrame] = {}
+
+
+def forget() -> None:
+    """Makes later queries split anew, as the first one of an application does."""
+    _ROLES.clear()
 
 
 def _roles(spark: SparkSession, d: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _ROLES:
-        _ROLES[key] = materialise(splits.full_split(_patches(spark, d)), "roles")
+    key = (spark.sparkContext.applicationId, d, folder_stamp(spark, f"{d}/embeddings.parquet"))
+    if key not in _ROLES or not file_exists(spark, _ROLES[key]._sondera_path):
+        rows = materialise(splits.full_split(_patches(spark, d)), "roles")
+        checks.require_none(scoring.without_foreground(rows, FOREGROUND), "images without foreground patches")
+        _ROLES[key] = rows
     return _ROLES[key]
 
 
+def _foreground(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.foreground(_roles(spark, d), FOREGROUND)
+
+
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, bank): held-out patches and bank patches."""
-    rows = _roles(spark, d)
+    """(queries, bank): held-out patches and bank patches, foreground alone."""
+    rows = _foreground(spark, d)
     return rows.where("role IN ('calibration', 'evaluation')"), rows.where("role = 'bank'")
 
 
@@ -188,7 +199,7 @@ def invalid_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bank_index(spark: SparkSession, d: str) -> DataFrame:
-    bank = _roles(spark, d).where("role = 'bank'")
+    bank = _foreground(spark, d).where("role = 'bank'")
     ranked = splits.sample_ordinals(bank.withColumn("one", F.lit(1)), "one", "image_id", "patch_id")
     return ranked.select(F.col("sample_id").alias("bank_patch_id"), F.col("image_id").alias("source_image"), "patch_id", "family")
 
@@ -377,7 +388,7 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pooled(spark: SparkSession, d: str) -> DataFrame:
-    pooled = diagnostics.mean_pool(_patches(spark, d).select("image_id", "embedding"), "image_id")
+    pooled = diagnostics.mean_pool(_foreground(spark, d).select("image_id", "embedding"), "image_id")
     return materialise(_samples(spark, d).join(pooled, F.col("image") == F.col("image_id")).drop("image_id"), "pooled")
 
 
@@ -388,8 +399,8 @@ def paired_samples(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def mean_pool(spark: SparkSession, d: str) -> DataFrame:
-    p = diagnostics.mean_pool(_patches(spark, d).select("image_id", "embedding"), "image_id")
-    return p.select("image_id", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
+    p = diagnostics.mean_pool(_foreground(spark, d).select("image_id", "embedding"), "image_id")
+    return p.select("image_id", F.posexplode("vector").alias("at", "x")).select("image_id", "at", F.round("x", 6).alias("x"))
 
 
 @query
@@ -437,7 +448,7 @@ def silhouette_cosine(spark: SparkSession, d: str) -> DataFrame:
 @query
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = _pooled(spark, d).select("analysis_id", "y", "vector")
-    return diagnostics.kmeans(rows, 2, restarts=5, column="vector").select("analysis_id", "y", "cluster")
+    return diagnostics.kmeans(rows, 2, column="vector").select("analysis_id", "y", "cluster")
 
 
 @query

@@ -91,6 +91,23 @@ def file_exists(spark: SparkSession, path: str) -> bool:
     return _file_system(spark, path).exists(_hadoop_path(spark, path))
 
 
+def folder_stamp(spark: SparkSession, path: str) -> tuple:
+    """Sizes and times of the files at a path: what tells whether a table has been rewritten."""
+    fs, at = _file_system(spark, path), _hadoop_path(spark, path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
+
+
+def create_new_file(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file; False where there is one already."""
+    fs, at = _file_system(spark, path), _hadoop_path(spark, path)
+    return fs.createNewFile(at)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file of a name that Spark's writers cannot give, in any store that Spark reaches."""
     out = _file_system(spark, path).create(_hadoop_path(spark, path), True)

@@ -89,20 +89,22 @@ def test_checks(spark):
     assert checks.row_signature(a, ["k", "s"]).first() == checks.row_signature(a.orderBy(F.desc("k")), ["k", "s"]).first()
 
 
-def test_control(tmp_path):
+def test_control(spark, tmp_path):
     s = control.load_settings(None, {"neighbours": 4, "shuffle_partitions": 7})
-    control.freeze(s, str(tmp_path / "e"))
-    control.freeze(control.load_settings(None, {"neighbours": 4}), str(tmp_path / "e"))
+    control.freeze(spark, s, str(tmp_path / "e"))
+    control.freeze(spark, control.load_settings(None, {"neighbours": 4}), str(tmp_path / "e"))
     with pytest.raises(ValueError):
-        control.freeze(control.Settings(), str(tmp_path / "e"))
+        control.freeze(spark, control.Settings(), str(tmp_path / "e"))
     assert control.recover(str(tmp_path / "e"), str(tmp_path / "f"))
     assert (tmp_path / "e/settings.json").read_bytes() == (tmp_path / "f/settings.json").read_bytes()
-    with control.run_lock(str(tmp_path)), pytest.raises(RuntimeError), control.run_lock(str(tmp_path)):
+    with control.run_lock(spark, str(tmp_path)), pytest.raises(RuntimeError), control.run_lock(spark, str(tmp_path)):
+        pass
+    with control.run_lock(spark, str(tmp_path)):
         pass
     with pytest.raises(ValueError):
         control.load_settings(None, {"top_fraction": 2})
     with pytest.raises(RuntimeError):
-        control.require_stage(str(tmp_path), "bank")
+        control.require_stage(spark, str(tmp_path), "bank")
 
 
 def test_encoder_hook(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sondera.functions import ordering
 from sondera.operators import diagnostics, metadata, metrics, splits
-from sondera.plans import checks, control
+from sondera.plans import checks
 from sondera.session import file_exists, folders_in, new_folder, shared_dir, write_text
 from sondera.sources import readers
 
@@ -139,14 +139,9 @@ def test_names_of_folders_are_not_escaped(spark):
     assert (row.part, row.video) == ("a b+c%d", "é v") and folders_in(spark, root) == ["a b+c%d"] and file_exists(spark, root) and root.startswith(shared_dir(spark))
 
 
-def test_processors_and_checkpoints():
-    assert [len(g) for g in control.cpu_groups(list(range(2, 18, 2)), 8, 3)] == [3, 3, 2]
-    for cores, workers in ((8, 9), (9, 1), (2, 0)):
-        with pytest.raises(ValueError):
-            control.cpu_groups(list(range(8)), cores, workers)
-    info = {"config": {"a": 1}, "plan_sha256": "p", "checkpoint": "w", "checkpoint_sha256": "x", "decoder": {"checkpoint": "d", "checkpoint_sha256": "y"}}
-    control.require_checkpoint(info, {"a": 1}, "p", {"w": "x", "d": "y"})
-    control.require_checkpoint(info | {"decoder": None}, {"a": 1}, "p", {"w": "x"})
-    for spec, plan, files in (({"a": 2}, "p", {"w": "x", "d": "y"}), ({"a": 1}, "q", {"w": "x", "d": "y"}), ({"a": 1}, "p", {"w": "z", "d": "y"}), ({"a": 1}, "p", {"w": "x"})):
-        with pytest.raises(ValueError):
-            control.require_checkpoint(info, spec, plan, files)
+def test_changed_files(spark):
+    recorded = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None), ("d", "4")], "path string, sha256 string")
+    actual = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", None), ("e", "5")], "path string, sha256 string")
+    assert sorted(map(tuple, checks.changed_files(recorded, actual).collect())) == [("b", "2", "changed"), ("d", "4", "missing")]
+    with pytest.raises(ValueError, match="tuned encoder"):
+        checks.require_none(checks.changed_files(recorded, actual), "tuned encoder")
