@@ -29,6 +29,8 @@ QUERY_BLOCK, BANK_BLOCK = 1024, 16384
 LEAST_BLOCK = 64
 #: Pivots of a bank, at most; their vectors are broadcast.
 MOST_PIVOTS = 4096
+#: Bounds of queries and blocks that a worker holds.
+BOUNDS_AT_A_TIME = 1 << 22
 #: Rounding that a bound allows for.
 SLACK = 1e-9
 
@@ -208,8 +210,9 @@ def _visit_map(shared, k: int, limit: bool):
     def run(batches):
         index = shared.value
         for batch in batches:
-            for s in range(0, batch.num_rows, QUERY_BLOCK):
-                part = batch.slice(s, QUERY_BLOCK)
+            step = max(1, min(QUERY_BLOCK, BOUNDS_AT_A_TIME // len(index.cell)))
+            for s in range(0, batch.num_rows, step):
+                part = batch.slice(s, step)
                 bound = index.bounds(_unit(_matrix(part.column(1))))
                 visit = index.first(bound, k)
                 if limit:

@@ -240,6 +240,20 @@ _COS = _SAMPLED + """, n AS (SELECT max(pair_id) + 1 AS n FROM sm), r AS (SELECT
 pc AS (SELECT r.pair_id, sum(r.x * f.x) AS paired, sum(r.x * g.x) AS shifted FROM r JOIN f ON f.pair_id = r.pair_id AND f.d = r.d, n JOIN f g ON true WHERE g.pair_id = (r.pair_id + 1) % n AND g.d = r.d GROUP BY r.pair_id)"""
 _q("paired_cosine", _COS, "SELECT pair_id, round(paired, 6) AS paired, round(shifted, 6) AS shifted FROM pc")
 _q("shifted_advantage", _COS, "SELECT round(avg(paired), 5) AS paired, round(avg(shifted), 5) AS shifted, round(avg(paired) - avg(shifted), 5) AS advantage FROM pc")
+_q("pruned_neighbors", _SEARCH, "SELECT query_id, rank::INT AS rank, bank_id, round(similarity, 6) AS similarity FROM cand")
+_q(
+    "search_pruning",
+    _SEARCH
+    + """, size AS (SELECT greatest(1, least(4096, count(*) // 8)) AS n FROM b),
+piv AS (SELECT bv AS p, row_number() OVER (ORDER BY md5(bank_id::VARCHAR), bank_id) - 1 AS cell FROM b QUALIFY cell < (SELECT n FROM size)),
+put AS (SELECT bank_id, cell, acos(greatest(-1, least(1, list_inner_product(bv, p)))) AS angle FROM b, piv QUALIFY row_number() OVER (PARTITION BY bank_id ORDER BY list_inner_product(bv, p) DESC, cell) = 1),
+blk AS (SELECT cell, count(*) AS n, min(angle) AS low, max(angle) AS high FROM put GROUP BY cell),
+ang AS (SELECT query_id, cell, n, low, high, acos(greatest(-1, least(1, list_inner_product(qv, p)))) AS a FROM q, piv JOIN blk USING (cell)),
+bnd AS (SELECT query_id, cell, n, cos(greatest(0, a - high, low - a)) AS bound FROM ang),
+hel AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY bound DESC, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1 AS at_first FROM bnd),
+lst AS (SELECT query_id, max(list_inner_product(qv, bv)) AS least FROM hel JOIN q USING (query_id) JOIN put USING (cell) JOIN b USING (bank_id) WHERE at_first GROUP BY query_id)""",
+    "SELECT query_id, count(*) AS blocks, count(*) FILTER (at_first OR bound >= least - 1e-9) AS visited FROM hel JOIN lst USING (query_id) GROUP BY query_id",
+)
 ORACLES["contingency"] = "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic"
 ORACLES["ari_nmi"] = """WITH c AS (SELECT quality AS a, toxic AS z, count(*)::DOUBLE AS n FROM labels GROUP BY ALL), r AS (SELECT a, sum(n) AS n FROM c GROUP BY a), k AS (SELECT z, sum(n) AS n FROM c GROUP BY z),
 t AS (SELECT sum(n) AS n FROM c), x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS i, (SELECT sum(n * (n - 1) / 2) FROM r) AS sa, (SELECT sum(n * (n - 1) / 2) FROM k) AS sb, (SELECT n * (n - 1) / 2 FROM t) AS st,

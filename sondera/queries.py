@@ -16,7 +16,7 @@ from .session import file_exists, folder_stamp, materialise
 from .streaming.scoring import event_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(plan_queries.QUERIES)
-K, CAP, BOUNDARY, QUANTILE, GRID, FOREGROUND = 16, 2, 0.5, 0.99, 3, 0.7
+K, CAP, BOUNDARY, QUANTILE, GRID, FOREGROUND, CELL_ROWS = 16, 2, 0.5, 0.99, 3, 0.7, 8
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -204,6 +204,22 @@ def bank_index(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select(F.col("sample_id").alias("bank_patch_id"), F.col("image_id").alias("source_image"), "patch_id", "family")
 
 
+@query
+def pruned_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours by the pivot index, which are those of a search of everything."""
+    q, b = _sides(spark, d)
+    found, _ = search.pruned(q.select(F.col("vec_id").alias("id"), "embedding"), b.select(F.col("vec_id").alias("id"), "embedding"), K, b.count(), cell_rows=CELL_ROWS)
+    return found.select("query_id", "rank", "bank_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def search_pruning(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of the bank, and how many of them each query had to visit for its nearest neighbour."""
+    q, b = _sides(spark, d)
+    _, visits = search.pruned(q.select(F.col("vec_id").alias("id"), "embedding"), b.select(F.col("vec_id").alias("id"), "embedding"), 1, b.count(), cell_rows=CELL_ROWS)
+    return visits
+
+
 @query
 def nn1_distance(spark: SparkSession, d: str) -> DataFrame:
     _, near = _nearest(spark, d)

@@ -98,3 +98,41 @@ def test_memory_decides_the_way():
 def test_a_memory_that_fits_nothing_fails_before_the_search(spark):
     with pytest.raises(MemoryError):
         search.nearest(frame(spark, QUERIES), frame(spark, BANK), 1, 0, 100)
+
+
+def clustered(rng, n, dim=16, centres=20):
+    c = rng.normal(size=(centres, dim)) * 4
+    return c[rng.integers(centres, size=n)] + rng.normal(size=(n, dim)) * 0.2
+
+
+@pytest.mark.parametrize("k", [1, 7])
+def test_pruned_search_is_exact_and_skips_blocks(spark, k):
+    rng = np.random.default_rng(11)
+    both = clustered(rng, 1400)
+    bank = [(i, v.tolist()) for i, v in enumerate(both[:1200])] + [(5000 + i, v.tolist()) for i, v in enumerate(both[:40])]  # and some twice
+    queries = [(i, v.tolist()) for i, v in enumerate(both[1200:])] + [(900 + i, v.tolist()) for i, v in enumerate(both[:10])]
+    found, visits = search.pruned(frame(spark, queries), frame(spark, bank), k, len(bank), query_block=32, bank_block=24, cell_rows=30)
+    want = brute(queries, bank, k)
+    got = found.collect()
+    assert len(got) == k * len(queries)
+    by_query = {}
+    for r in got:
+        by_query.setdefault(r.query_id, []).append((r["rank"], r.bank_id, r.similarity))
+    for q, rows in by_query.items():
+        assert np.allclose([s for *_, s in sorted(rows)], [s for _, s in want[q]], atol=1e-12)
+        assert len({b for _, b, _ in rows}) == k
+    seen = visits.collect()
+    assert len(seen) == len(queries) and seen[0].blocks >= 40
+    assert sum(v.visited for v in seen) < 0.3 * sum(v.blocks for v in seen)
+
+
+def test_pruned_search_of_noise_and_of_equal_vectors(spark):
+    rng = np.random.default_rng(12)
+    bank = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 4)))]
+    queries = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(50, 4)))]
+    found, _ = search.pruned(frame(spark, queries), frame(spark, bank), 3, len(bank), bank_block=16, cell_rows=10)
+    want = brute(queries, bank, 3)
+    assert all(want[r.query_id][r["rank"] - 1][0] == r.bank_id for r in found.collect())
+    same = [(i, [1.0, 2.0]) for i in range(100)]
+    found, _ = search.pruned(frame(spark, [(1, [2.0, 4.0])]), frame(spark, same), 4, 100, bank_block=8, cell_rows=9)
+    assert sorted(r.bank_id for r in found.collect()) == [0, 1, 2, 3]
