@@ -30,7 +30,7 @@ def hashed_rank(df: DataFrame, key: str, tie: str, out: str, partition: tuple[st
     return joined.withColumn(out, F.col("__base") + F.col("__place")).drop("__bucket", "__place", "__base", *[f"__p{k}" for k in range(len(by))])
 
 
-def _by_ranges(df: DataFrame, partition: list[str], order: list[Column]) -> DataFrame:
+def by_ranges(df: DataFrame, partition: list[str], order: list[Column]) -> DataFrame:
     """df range-partitioned in order, with the number of each row's range. It is written to the shared folder, so that all that
     read it see the same ranges, whatever executors are lost."""
     ranged = df.repartitionByRange(*[F.col(c) for c in partition], *order).withColumn("__range", F.spark_partition_id())
@@ -47,7 +47,7 @@ def running_sums(df: DataFrame, partition: list[str], order: list[Column], sums:
     """Adds the running sum (or exclusive or) of each column of sums, under the name given for it, in order within partitions: up
     to and with each row, or before it. No task holds more than one range of rows, or one row of sums per range."""
     fold = F.bit_xor if xor else F.sum
-    ranged = _by_ranges(df, partition, order)
+    ranged = by_ranges(df, partition, order)
     by = [*partition, "__range"]
     whole = ranged.groupBy(*by).agg(*[fold(c).alias(f"__s{k}") for k, c in enumerate(sums)])
     up = Window.partitionBy(*partition).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

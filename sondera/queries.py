@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import plan_queries, raster_queries  # noqa: F401  registers its queries
+from . import plan_queries, raster_queries, store_queries, training_queries  # noqa: F401  the last three register their queries
 from .functions import ordering, paths, vectors
 from .operators import diagnostics, grids, metadata, metrics, sampling, scoring, search, splits
 from .plans import checks

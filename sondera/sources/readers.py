@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..session import arrow_map
+from . import stores
 
 FRAME = "STRUCT<status STRING, frame_index INT, file STRING, score DOUBLE, bbox ARRAY<DOUBLE>, crop_box ARRAY<INT>>"
 MANIFEST = f"source STRING, label INT, label_csv STRING, split STRING, fps DOUBLE, frame_count INT, settings MAP<STRING, STRING>, frames ARRAY<{FRAME}>"
@@ -45,7 +48,7 @@ def name_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, size, modified) of the files under a folder; no content is read."""
+    """(path, size, modified) of the files under a folder; no content is read. Spark does not list files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
@@ -56,9 +59,15 @@ def stem_index(files: DataFrame) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, sha256) of the files under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of the files under a folder, each read in a task in chunks, so that files may be of any size."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([stores.digest(path)])], ["path", "sha256"])
+
+    paths_ = listing(spark, root, pattern).select("path")
+    return arrow_map(paths_.repartition("path"), run, "path string, sha256 string")
 
 
 def parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
