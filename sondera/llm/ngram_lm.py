@@ -34,6 +34,9 @@ class Backoff:
     alpha: float = 0.4
     #: Text bytes of a chunk, about; the number of chunks follows the input.
     chunk: int = 5 << 20
+    #: Parts are 2 ** bits, as many as there are chunks. Up to so many bits a chunk has a row for each part; beyond it rows would be as many as
+    #: the square of the chunks, so grams of about sqrt(chunks) chunks are summed first.
+    one_level_bits: int = 12
 
 
 def _column(table, name: str) -> pa.Array:
@@ -140,7 +143,7 @@ def _exploded(p: Backoff, bits: int):
             else:
                 distinct, counts = np.unique(keys, return_counts=True)
             part = (distinct >> np.uint64(BITS - bits)).astype(np.int64)
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+            cuts = _cuts(part)
             for a, b in zip(cuts[:-1], cuts[1:]):
                 rows.append((int(part[a]), chunk, n, int(b - a), _steps(distinct[a:b] - np.uint64(int(part[a]) << (BITS - bits))), packed(counts[a:b])))
         return _table(GRAMS, rows)
@@ -179,6 +182,56 @@ def _joined(grams: pa.Table, table: pa.Table) -> pa.Table:
     return _table(JOINED, rows)
 
 
+def _cuts(part: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+
+
+def _absolute(table: pa.Table, rows: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The grams of packed rows of parts of so many bits."""
+    return [_keys(table, int(k)) + np.uint64(_column(table, "part")[int(k)].as_py() << (BITS - bits)) for k in rows]
+
+
+def _merged(coarse: int, bits: int):
+    """The distinct n-grams of a coarse part of some chunks, with their counts over these: a row for each fine part, under the number of
+    the group of chunks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        group, rows = _column(table, "group")[0].as_py(), []
+        ns = _column(table, "n").to_numpy()
+        for n in np.unique(ns):
+            mine = np.flatnonzero(ns == n)
+            distinct, at = np.unique(np.concatenate(_absolute(table, mine, coarse)), return_inverse=True)
+            counts = np.zeros(len(distinct), np.int64)
+            np.add.at(counts, at, np.concatenate([_counts(table, int(k)) for k in mine]))
+            part = (distinct >> np.uint64(BITS - bits)).astype(np.int64)
+            cuts = _cuts(part)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                rows.append((int(part[a]), group, int(n), int(b - a), _steps(distinct[a:b] - np.uint64(int(part[a]) << (BITS - bits))), packed(counts[a:b])))
+        return _table(GRAMS, rows)
+
+    return run
+
+
+def _spread(coarse: int):
+    """Counts of a group's distinct n-grams back to the chunks that have them."""
+
+    def run(grams: pa.Table, answers: pa.Table) -> pa.Table:
+        ns, rows = _column(grams, "n").to_numpy(), []
+        found = sorted(zip(*(_column(answers, c).to_pylist() for c in ("n", "part", "size", "sums"))))
+        for n in np.unique(ns):
+            mine = np.flatnonzero(ns == n)
+            keys = _absolute(grams, mine, coarse)
+            distinct = np.unique(np.concatenate(keys))
+            sums = np.concatenate([unpacked(s, k) for m, _, k, s in found if m == n])
+            if len(sums) != len(distinct):
+                raise RuntimeError("summed counts do not fit the group: its rows changed between two reads")
+            for k, own in zip(mine, keys):
+                rows.append((_column(grams, "chunk")[int(k)].as_py(), int(n), _column(grams, "part")[int(k)].as_py(), len(own), packed(sums[np.searchsorted(distinct, own)])))
+        return _table(JOINED, rows)
+
+    return run
+
+
 def _score(p: Backoff, corpus_words: int):
     def run(packs: pa.Table, joined: pa.Table) -> pa.Table:
         docs = _unpacked_rows(packs)
@@ -244,16 +297,26 @@ def _size_map(batches):
         yield pa.RecordBatch.from_pydict({"bytes": [n], "words": [w]})
 
 
-def _parts(docs: DataFrame, p: Backoff) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(chunks of packed documents, exploded n-grams, count table, words of the corpus)."""
+def _parts(docs: DataFrame, p: Backoff) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """(chunks of packed documents, count table, joined counts by chunk, words of the corpus, bits of a part)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = arrow_map(rows.select("text"), _size_map, "bytes long, words long").agg(F.sum("bytes").alias("b"), F.sum("words").alias("w")).first()
     chunks = max(1, -(-(size.b or 0) // p.chunk))
     bits = max(4, int(chunks).bit_length())
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")
     dealt = arrow_map(rows.select(chunk.alias("chunk"), "doc_id", "text"), _pack_map, "chunk long, pack binary")
-    grams = dealt.groupBy("chunk").applyInArrow(_exploded(p, bits), GRAMS)
-    return dealt, grams, grams.groupBy("part").applyInArrow(_summed, TABLE), size.w or 0
+    join = lambda grams, table: grams.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(_joined, JOINED)
+    if bits <= p.one_level_bits:
+        grams = dealt.groupBy("chunk").applyInArrow(_exploded(p, bits), GRAMS)
+        table = grams.groupBy("part").applyInArrow(_summed, TABLE)
+        return dealt, table, join(grams, table), size.w or 0, bits
+    # two levels: a row of a chunk is a coarse part, a row of a group of chunks a fine one; both carry thousands of grams
+    coarse = -(-bits // 2)
+    grams = dealt.groupBy("chunk").applyInArrow(_exploded(p, coarse), GRAMS).withColumn("group", F.pmod("chunk", F.lit(1 << (bits - coarse))).cast("long"))
+    merged = grams.groupBy("group", "part").applyInArrow(_merged(coarse, bits), GRAMS)
+    table = merged.groupBy("part").applyInArrow(_summed, TABLE)
+    answers = join(merged, table).withColumnRenamed("chunk", "group").withColumn("coarse", F.shiftright("part", bits - coarse))
+    return dealt, table, grams.groupBy("group", "part").cogroup(answers.groupBy("group", "coarse")).applyInArrow(_spread(coarse), JOINED), size.w or 0, bits
 
 
 def _unpack_map(bits_of_part):
@@ -270,10 +333,7 @@ def _unpack_map(bits_of_part):
 
 def count_table(docs: DataFrame, p: Backoff = Backoff()) -> DataFrame:
     """(n, gram, count): n-grams that occur more than once in all texts, by their hashes, a row each."""
-    _, grams, table, _ = _parts(docs, p)
-    del grams
-    size = arrow_map(docs.select(F.col("text").cast("string").alias("text")), _size_map, "bytes long, words long").agg(F.sum("bytes").alias("b")).first()
-    bits = max(4, int(max(1, -(-(size.b or 0) // p.chunk))).bit_length())
+    _, table, _, _, bits = _parts(docs, p)
     return arrow_map(table, _unpack_map(BITS - bits), "n int, gram long, count long")
 
 
@@ -286,8 +346,7 @@ def score(docs: DataFrame, p: Backoff = Backoff()) -> DataFrame:
     other than doc_id and text are not read, whatever their names. A word that no other document has counts as one of the
     other documents' words plus one.
     """
-    dealt, grams, table, words_ = _parts(docs, p)
-    joined = grams.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(_joined, JOINED)
+    dealt, _, joined, words_, _ = _parts(docs, p)
     types = "doc_id long, times long, n_words long, log_score double, " + ", ".join(f"n_order{n} long" for n in range(p.order + 1))
     scored = dealt.groupBy("chunk").cogroup(joined.groupBy("chunk")).applyInArrow(_score(p, words_), types)
     scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))

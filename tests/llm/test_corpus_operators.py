@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,17 @@ def test_backoff_matches_sql(documents, db):
 def test_backoff_in_many_chunks_is_the_same(documents):
     one = ngram_lm.score(documents).orderBy("doc_id").collect()
     assert ngram_lm.score(documents, ngram_lm.Backoff(chunk=20_000)).orderBy("doc_id").collect() == one
+    # and in two levels of sums
+    assert ngram_lm.score(documents, ngram_lm.Backoff(chunk=20_000, one_level_bits=2)).orderBy("doc_id").collect() == one
+
+
+def test_rows_of_a_chunk_do_not_follow_the_number_of_chunks():
+    """In two levels a chunk of a hundred times the corpus has ten times the rows, not a hundred times."""
+    text = " ".join(f"w{k * k % 9973} v{k % 613}" for k in range(60_000))
+    batch = pa.record_batch({"chunk": pa.array([0]), "doc_id": pa.array([1]), "text": pa.array([text])})
+    packs = pa.Table.from_batches(list(ngram_lm._pack_map([batch])))
+    rows = {bits: ngram_lm._exploded(ngram_lm.Backoff(), -(-bits // 2))(packs).num_rows for bits in (8, 14, 20)}
+    assert rows[8] <= 3 * 16 and rows[14] <= 3 * 128 and rows[20] <= 3 * 1024
 
 
 def test_the_count_table_is_that_of_the_corpus(documents, db):
