@@ -10,6 +10,7 @@ from .plan_queries import query
 from .plans.views import table
 from .session import new_folder
 from .sources import arrays, readers, tensors
+from .streaming import files
 
 
 def _numbered(spark: SparkSession, d: str) -> DataFrame:
@@ -50,3 +51,15 @@ def large_file_digests(spark: SparkSession, d: str) -> DataFrame:
     docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
     named = lambda df: df.withColumn("source", F.regexp_extract("path", "source=([^/]*)/", 1))
     return named(readers.file_digests(spark, path, "*.txt")).join(named(readers.listing(spark, path, "*.txt")).select("source", "size"), "source").select("source", "sha256", "size")
+
+
+_LOOKS = "SELECT user_id::VARCHAR AS path, hour(ts) AS look, max(event_id % 5)::BIGINT AS size, max(event_id % 3)::BIGINT AS modified FROM events GROUP BY 1, 2"
+
+
+@query(f"""WITH l AS ({_LOOKS})
+SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'new' WHEN size = first_value(size) OVER w AND modified = first_value(modified) OVER w THEN 'unchanged' ELSE 'changed' END AS decision
+FROM l WINDOW w AS (PARTITION BY path ORDER BY look)""")
+def file_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """What a stream of looks at a folder does with each file: new, unchanged, or changed since its first sight."""
+    looks = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("path"), F.hour("ts").cast("long").alias("look"))
+    return files.decided(looks.agg(F.max(F.expr("event_id % 5")).alias("size"), F.max(F.expr("event_id % 3")).alias("modified")), "look")
