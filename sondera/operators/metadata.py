@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -85,3 +85,9 @@ def plan(candidates: DataFrame, seed: int = splits.SEED) -> DataFrame:
     split = splits.full_split(candidates, seed)
     rows = split.select("role", "video", "family", "y", F.explode("frames").alias("f")).select("role", "video", "family", "y", "f.*")
     return splits.sample_ordinals(rows, "role", "video", "frame_index")
+
+
+def zipped(a: Column, b: Column, first: str, second: str) -> Column:
+    """Two arrays place by place as structs; arrays of unequal length are an error."""
+    checked = F.when(F.size(a) == F.size(b), a).otherwise(F.transform(a, lambda x: F.when(F.raise_error(F.lit("lists of unequal length")).isNull(), x)))
+    return F.zip_with(checked, b, lambda x, y: F.struct(x.alias(first), y.alias(second)))

@@ -141,7 +141,7 @@ _q("family_except", _PATCHES, "SELECT family FROM pv WHERE y = 0 EXCEPT SELECT f
 _q("foreground_filter", _PATCHES, "SELECT vec_id, image_id, round(len(list_filter(v, lambda x: abs(x) > 0.05)) / len(v), 6) AS occupancy FROM pv WHERE len(list_filter(v, lambda x: abs(x) > 0.05)) / len(v) >= 0.5")
 _q("foreground_missing_images", _PATCHES, "SELECT image_id FROM pv GROUP BY image_id HAVING max(len(list_filter(v, lambda x: abs(x) > 0.1)) / len(v)) < 0.25")
 ORACLES["l2_normalised"] = """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings)
-SELECT vec_id, round(v[1] / l, 6) AS first, round(v[-1] / l, 6) AS last, 1.0::DOUBLE AS length FROM n"""
+SELECT vec_id, (k - 1)::INT AS dim, round(v[k] / l, 6) AS x FROM n, (SELECT unnest(range(1, 65)) AS k)"""
 ORACLES["invalid_vectors"] = "SELECT count(*) AS vectors, count(*) FILTER (len(embedding) <> 64 OR list_inner_product(embedding, embedding) = 0) AS invalid FROM embeddings"
 _q("bank_index", _ROLES, "SELECT row_number() OVER (ORDER BY image_id, patch_id) - 1 AS bank_patch_id, image_id AS source_image, patch_id, family FROM ro WHERE role = 'bank' AND occupancy >= 0.7")
 _q("nn1_distance", _SEARCH, "SELECT query_id, bank_id, round(nearest_distance, 6) AS distance FROM near")

@@ -6,7 +6,6 @@ shared folder first, by the sinks or as small files, and read back by the reader
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from .functions import paths, vectors
 from .operators import diagnostics, grids, metadata, metrics, sampling, search
 from .plans import checks, encoding
 from .plans.views import table
-from .session import new_folder, write_text
+from .session import new_folder
 from .sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,71 +125,67 @@ def segmentation_totals(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- sources
 
 
-@query("SELECT n_name || '.mp4' AS filename, (n_nationkey % 2)::INT AS label FROM nation")
+@query("SELECT DISTINCT 'v' || user_id || '.mp4' AS filename, (user_id % 2)::INT AS label FROM events WHERE user_id % 11 <> 5")
 def label_csv_scan(spark: SparkSession, d: str) -> DataFrame:
-    """CSV with header and byte-order mark."""
-    rows = table(spark, d, "nation").selectExpr("n_name AS n", "n_nationkey % 2 AS y").collect()
-    path = new_folder(spark, "labels") + "/labels.csv"
-    write_text(spark, path, "﻿filename,label\n" + "".join(f"{r.n}.mp4,{r.y}\n" for r in rows))
-    return readers.label_csv(spark, path)
+    """CSV files with header and byte-order mark, one for each third of the users."""
+    lines = _labels(spark, d).groupBy((F.xxhash64("filename") % 3).alias("k")).agg(F.concat(F.lit("\ufefffilename,label\n"), F.array_join(F.collect_list(F.concat("filename", F.lit(","), "label")), "\n"), F.lit("\n")).alias("content"))
+    root = new_folder(spark, "labels")
+    sinks.text_files(lines.select(F.concat(F.lit("labels"), "k", F.lit(".csv")).alias("path"), "content"), root)
+    return readers.label_csv(spark, root)
 
 
-def _nation_files(spark: SparkSession, d: str) -> str:
-    """A manifest per nation and a part file per region, by their names in the folders."""
+def _manifest_files(spark: SparkSession, d: str) -> str:
+    """A manifest per video and a part file per part, by their names in the folders, written where the rows are."""
     root = new_folder(spark, "crops")
-    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).collect()
-    parts: dict[str, dict] = {}
-    for r in nations:
-        video, y = r.n_name, r.n_nationkey % 2
-        frames = [{"status": "ok" if k % 2 else "no_face", "frame_index": k, "file": f"frame_{k:06d}.png"} for k in range(r.n_nationkey % 4)]
-        write_text(spark, f"{root}/crops/{r.r_name}/{video}/metadata.json", json.dumps({"source": f"{video}.mp4", "label": y, "frame_count": len(frames), "frames": frames}, indent=1))
-        parts.setdefault(r.r_name, {})[f"{video}.mp4"] = {"label": "FAKE", "original": "o.mp4"} if y else {"label": "REAL"}
-    for part, entries in parts.items():
-        write_text(spark, f"{root}/raw/{part}/metadata.json", json.dumps(entries))
+    body = F.to_json(F.struct("source", "label", F.size("frames").alias("frame_count"), "frames"))
+    sinks.text_files(_manifests(spark, d).select(F.concat_ws("/", "part", "video", F.lit("metadata.json")).alias("path"), body.alias("content")), f"{root}/crops")
+    entries = F.map_from_entries(F.collect_list(F.struct("filename", F.struct("label", "original"))))
+    sinks.text_files(_parts(spark, d).groupBy("part").agg(F.to_json(entries).alias("content")).select(F.concat("part", F.lit("/metadata.json")).alias("path"), "content"), f"{root}/raw")
     return root
 
 
-@query("SELECT r_name AS part, n_name AS video, n_name || '.mp4' AS source, (n_nationkey % 2)::INT AS label, (n_nationkey % 4)::INT AS frame_count, ((n_nationkey % 4) // 2)::INT AS ok_frames FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT 'p' || user_id % 3 AS part, 'v' || user_id AS video, 'v' || user_id || '.mp4' AS source, (user_id % 2)::INT AS label, count(*)::INT AS frame_count, (count(*) FILTER (event_type <> 'error'))::INT AS ok_frames FROM events WHERE user_id % 7 <> 3 GROUP BY user_id")
 def manifest_scan(spark: SparkSession, d: str) -> DataFrame:
-    rows = readers.manifests(spark, f"{_nation_files(spark, d)}/crops")
+    rows = readers.manifests(spark, f"{_manifest_files(spark, d)}/crops")
     return rows.select("part", "video", "source", "label", "frame_count", F.size(F.filter("frames", lambda f: f["status"] == "ok")).alias("ok_frames"))
 
 
-@query("SELECT r_name AS part, n_name || '.mp4' AS filename, CASE WHEN n_nationkey % 2 = 1 THEN 'FAKE' ELSE 'REAL' END AS label, CASE WHEN n_nationkey % 2 = 1 THEN 'o.mp4' END AS original FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT DISTINCT 'p' || user_id % 3 AS part, 'v' || user_id || '.mp4' AS filename, CASE WHEN user_id % 2 = 1 THEN 'FAKE' ELSE 'REAL' END AS label, CASE WHEN user_id % 2 = 1 THEN 'v' || (user_id - 1) || '.mp4' END AS original FROM events")
 def part_metadata_scan(spark: SparkSession, d: str) -> DataFrame:
-    return readers.part_metadata(spark, f"{_nation_files(spark, d)}/raw")
+    return readers.part_metadata(spark, f"{_manifest_files(spark, d)}/raw")
 
 
-@query("SELECT n_name || ' of ' || n_nationkey AS name FROM nation")
+@query("SELECT p_name || ' of ' || p_partkey AS name FROM part")
 def name_list_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The second field of white-space separated lines, blank lines left out."""
-    path = new_folder(spark, "lists") + "/list.txt"
-    write_text(spark, path, "\n\n".join(f"{r.n_nationkey} \t {r.n_name} of {r.n_nationkey}" for r in table(spark, d, "nation").collect()) + "\n  \n")
-    return readers.name_list(spark, path)
+    """The second field of white-space separated lines, blank lines left out, of a list for each brand."""
+    line = F.concat(F.lit(" "), F.col("p_partkey"), F.lit(" \t "), "p_name", F.lit(" of "), "p_partkey")
+    lists = table(spark, d, "part").groupBy("p_brand").agg(F.concat(F.array_join(F.collect_list(line), "\n\n"), F.lit("\n  \n")).alias("content"))
+    root = new_folder(spark, "lists")
+    sinks.text_files(lists.select(F.concat("p_brand", F.lit(".txt")).alias("path"), "content"), root)
+    return readers.name_list(spark, root)
 
 
-def _region_files(spark: SparkSession, d: str) -> str:
+def _supplier_files(spark: SparkSession, d: str) -> str:
     root = new_folder(spark, "files")
-    for r in table(spark, d, "nation").collect():
-        write_text(spark, f"{root}/{r.n_regionkey}/{r.n_name}.txt", f"text of {r.n_name}")
+    sinks.text_files(table(spark, d, "supplier").select(F.concat("s_nationkey", F.lit("/"), "s_name", F.lit(".txt")).alias("path"), F.concat(F.lit("text of "), "s_name").alias("content")), root)
     return root
 
 
-@query("SELECT n_name || '.txt' AS name, n_regionkey::VARCHAR AS category, length('text of ' || n_name)::BIGINT AS size FROM nation")
+@query("SELECT s_name || '.txt' AS name, s_nationkey::VARCHAR AS category, length('text of ' || s_name)::BIGINT AS size FROM supplier")
 def file_listing(spark: SparkSession, d: str) -> DataFrame:
     """Files under category folders, with their sizes and no content read."""
-    files = readers.listing(spark, _region_files(spark, d), "*.txt")
+    files = readers.listing(spark, _supplier_files(spark, d), "*.txt")
     return files.select(paths.name(F.col("path")).alias("name"), paths.parent_name(F.col("path")).alias("category"), "size")
 
 
-@query("SELECT n_name AS stem, 1::BIGINT AS files FROM nation")
+@query("SELECT s_name AS stem, 1::BIGINT AS files FROM supplier")
 def file_stems(spark: SparkSession, d: str) -> DataFrame:
-    return readers.stem_index(readers.listing(spark, _region_files(spark, d))).select("stem", F.size("paths").cast("long").alias("files"))
+    return readers.stem_index(readers.listing(spark, _supplier_files(spark, d))).select("stem", F.size("paths").cast("long").alias("files"))
 
 
-@query("SELECT n_name || '.txt' AS name, sha256('text of ' || n_name) AS sha256 FROM nation")
+@query("SELECT s_name || '.txt' AS name, sha256('text of ' || s_name) AS sha256 FROM supplier")
 def file_sha256(spark: SparkSession, d: str) -> DataFrame:
-    return readers.file_digests(spark, _region_files(spark, d)).select(paths.name(F.col("path")).alias("name"), "sha256")
+    return readers.file_digests(spark, _supplier_files(spark, d)).select(paths.name(F.col("path")).alias("name"), "sha256")
 
 
 @query("SELECT n_name AS part, n_nationkey::BIGINT AS place FROM nation WHERE n_nationkey IN (3, 10, 21)")
@@ -251,11 +246,13 @@ def quarantined_rows(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- names and boxes
 
 
-@query("SELECT page_id, (url LIKE 'https://%' AND NOT regexp_matches(url, '(^|/)\\.\\.(/|$)')) AS inside, false AS stepped FROM pages")
+@query("""WITH u AS (SELECT page_id, url, url || CASE page_id % 3 WHEN 0 THEN '/../x' WHEN 1 THEN '/..x' ELSE '/y/..' END AS other FROM pages)
+SELECT page_id, (url LIKE 'https://%' AND NOT regexp_matches(url, '(^|/)\\.\\.(/|$)')) AS inside, (other LIKE 'https://%' AND NOT regexp_matches(other, '(^|/)\\.\\.(/|$)')) AS stepped FROM u""")
 def path_containment(spark: SparkSession, d: str) -> DataFrame:
     """Whether a path stays under a folder; a step up never does."""
     u = F.col("url")
-    return table(spark, d, "pages").select("page_id", paths.inside(u, F.lit("https:/")).alias("inside"), paths.inside(F.concat(u, F.lit("/../x")), F.lit("https:/")).alias("stepped"))
+    step = F.when(F.col("page_id") % 3 == 0, "/../x").when(F.col("page_id") % 3 == 1, "/..x").otherwise("/y/..")
+    return table(spark, d, "pages").select("page_id", paths.inside(u, F.lit("https:/")).alias("inside"), paths.inside(F.concat(u, step), F.lit("https:/")).alias("stepped"))
 
 
 @query("SELECT user_id, (user_id % 2)::INT AS y, CASE WHEN user_id % 2 = 1 THEN 'FAKE' ELSE 'REAL' END AS decoded, 'out/p' || (user_id % 3) || '/v' || user_id || '/frame_000007.npy' AS target FROM (SELECT DISTINCT user_id FROM events)")
@@ -379,11 +376,11 @@ def template_alignment(spark: SparkSession, d: str) -> DataFrame:
     return grids.aligned(g, g.where("image = 0"), "image", 80.0).withColumn("error", F.round("error", 6))
 
 
-@query("SELECT vec_id, 60::INT AS tokens, round(embedding[5]::DOUBLE, 6) AS first FROM embeddings")
+@query("SELECT vec_id, (k - 5)::INT AS token, round(embedding[k]::DOUBLE, 6) AS x FROM embeddings, (SELECT unnest(range(5, 65)) AS k)")
 def patch_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens after the leading class and register tokens, in storage precision."""
-    t = table(spark, d, "embeddings").select("vec_id", vectors.storage_floats(vectors.token_slice(F.col("embedding"), 4)).alias("t"))
-    return t.select("vec_id", F.size("t").alias("tokens"), F.round(F.col("t")[0].cast("double"), 6).alias("first"))
+    t = table(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.storage_floats(vectors.token_slice(F.col("embedding"), 4))).alias("token", "x"))
+    return t.withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 @query("SELECT vec_id AS item_id, k::INT AS patch_id, round(embedding[k * 2 + 3]::DOUBLE, 5) + 0.0 AS a, round(embedding[k * 2 + 4]::DOUBLE, 5) + 0.0 AS b FROM embeddings, (SELECT unnest(range(31)) AS k)")
@@ -419,11 +416,19 @@ def evidence_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return checks.evidence_mismatch(rows, saved)
 
 
-@query("SELECT true AS same, (SELECT count(*) > 1 FROM nation) = false AS after_loss")
+@query("""WITH a AS (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1),
+k AS (SELECT 'nations' AS what, (SELECT count(*) FROM (SELECT nation FROM a EXCEPT ALL SELECT nation FROM b)) + (SELECT count(*) FROM (SELECT nation FROM b EXCEPT ALL SELECT nation FROM a)) AS differ
+UNION ALL SELECT 'counts', (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)))
+SELECT what, differ, differ = 0 AS same FROM k""")
 def set_equality(spark: SparkSession, d: str) -> DataFrame:
-    """Whether two tables hold the same rows: in any order, and after one is lost."""
-    n = table(spark, d, "nation")
-    return spark.createDataFrame([(checks.same_rows(n, n.orderBy(F.desc("n_name"))), checks.same_rows(n, n.where("n_nationkey > 0")))], "same boolean, after_loss boolean")
+    """Whether suppliers and customers are of the same nations, and as many of each."""
+    per = lambda name, key: table(spark, d, name).groupBy(F.col(key).alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    a, b = per("supplier", "s_nationkey"), per("customer", "c_nationkey")
+    out = None
+    for what, columns in (("nations", ["nation"]), ("counts", ["nation", "n"])):
+        one = checks.differing_rows(a.select(*columns), b.select(*columns)).agg(F.count(F.lit(1)).alias("differ")).select(F.lit(what).alias("what"), "differ", (F.col("differ") == 0).alias("same"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS rows FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 7) GROUP BY ALL HAVING count(*) > 1")
@@ -432,11 +437,13 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     return checks.duplicates(rows.unionByName(rows.where("l_linenumber = 7")), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT o_orderkey, o_custkey, 2 * o_orderkey AS zipped FROM orders")
+@query("""WITH c AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS keys, list(o_totalprice ORDER BY o_orderdate, o_orderkey) AS prices FROM orders GROUP BY 1)
+SELECT o_custkey, unnest(range(len(keys)))::INT AS place, unnest(keys) AS o_orderkey, unnest(prices)::DOUBLE AS price FROM c""")
 def zipped_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Two lists in the same order put side by side by the key that they carry, in place of a zip by position."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return o.join(o.select("o_orderkey", (2 * F.col("o_orderkey")).alias("zipped")), "o_orderkey")
+    """Two ordered lists of each customer put side by side place by place; lists of unequal length would be an error."""
+    rows = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice")))
+    lists = table(spark, d, "orders").groupBy("o_custkey").agg(rows.alias("r")).select("o_custkey", F.transform("r", lambda x: x["o_orderkey"]).alias("keys"), F.transform("r", lambda x: x["o_totalprice"].cast("double")).alias("prices"))
+    return lists.select("o_custkey", F.posexplode(metadata.zipped(F.col("keys"), F.col("prices"), "o_orderkey", "price")).alias("place", "z")).select("o_custkey", "place", "z.o_orderkey", "z.price")
 
 
 _PRICES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")

@@ -36,11 +36,16 @@ def evidence_mismatch(queries: DataFrame, saved: DataFrame) -> DataFrame:
     """(role, sample_id, patch_id) in one of queries and saved evidence but not in the other."""
     key = ["role", "sample_id", "patch_id"]
     a, b = queries.select(*key), saved.select(*key)
+    return differing_rows(a, b)
+
+
+def differing_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that one has and the other lacks, each as often as that is so."""
     return a.exceptAll(b).unionByName(b.exceptAll(a))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return differing_rows(a, b).isEmpty()
 
 
 #: Digests that are hashed together in one row, about.

@@ -188,7 +188,7 @@ def foreground_missing_images(spark: SparkSession, d: str) -> DataFrame:
 @query
 def l2_normalised(spark: SparkSession, d: str) -> DataFrame:
     unit = table(spark, d, "embeddings").select("vec_id", vectors.l2_normalise(vectors.doubles(F.col("embedding"))).alias("v"))
-    return unit.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"), F.round(vectors.norm(F.col("v")), 6).alias("length"))
+    return unit.select("vec_id", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
 @query

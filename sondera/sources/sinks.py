@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import arrow_map
+from . import stores
+
 
 def json_report(df: DataFrame, path: str) -> None:
     """JSON lines; NaN and infinities are an error, as they have no JSON form."""
@@ -55,3 +59,16 @@ def quarantine(rows: DataFrame, bad, reason: str) -> tuple[DataFrame, DataFrame]
     """(good rows, bad rows with a reason)."""
     flag = F.coalesce(bad, F.lit(False))
     return rows.where(~flag), rows.where(flag).withColumn("reason", F.lit(reason))
+
+
+def text_files(rows: DataFrame, root: str) -> int:
+    """Writes each row (path, content) as a file under a folder, from the tasks that have the rows; each is moved into place when it is
+    whole, so that a task that runs again leaves the same files. Returns how many."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                stores.write_file(f"{root}/{path}", iter([content.encode()]))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return arrow_map(rows.select(F.col("path").cast("string"), F.col("content").cast("string")), run, "n long").agg(F.sum("n")).first()[0] or 0

@@ -124,3 +124,12 @@ def test_stream_scores_each_file_once(spark, tmp_path):
         streaming.score_stream(spark, f"file://{tmp_path}/in/*", bank, f"file://{tmp_path}/out", f"file://{tmp_path}/ck", 1).awaitTermination()
     got = spark.read.parquet(f"file://{tmp_path}/out/*").orderBy("vec_id").collect()
     assert [(r.vec_id, r.bank_id) for r in got] == [(0, 0), (1, 0), (2, 1)]
+
+
+def test_zip_of_unequal_lists_is_an_error(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"], [1.0, 2.0]), (2, [], [])], "k int, a array<string>, b array<double>")
+    got = rows.select(metadata.zipped(F.col("a"), F.col("b"), "x", "y").alias("z")).collect()
+    assert [[tuple(z) for z in r.z] for r in got] == [[("a", 1.0), ("b", 2.0)], []]
+    odd = spark.createDataFrame([(1, ["a"], [1.0, 2.0])], "k int, a array<string>, b array<double>")
+    with pytest.raises(Exception, match="unequal"):
+        odd.select(metadata.zipped(F.col("a"), F.col("b"), "x", "y").alias("z")).collect()
