@@ -8,7 +8,10 @@ template with short gaps; a chain that covers enough of its template is a span,
 
 from __future__ import annotations
 
+import functools
+import re
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from .common import column, prefix_hash, row_of, runs, slices, span_hash, text_b
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 # Licences and their notices as their publishers word them. Short licences are whole; of long ones there are the
-# notices that files carry and the sections that are quoted most, each a template of its own.
+# notices that files carry here, and all their sections in license_texts, each a template of its own.
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
 MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
@@ -129,6 +132,30 @@ PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."""),
 )
 
 
+#: Files of whole licences, as their publishers word them, by label.
+WHOLE = {"apache": ("Apache-2.0",), "artistic": ("Artistic",), "bsd": ("BSD",), "cc0": ("CC0-1.0",), "gfdl": ("GFDL-1.2", "GFDL-1.3"), "gpl": ("GPL-1", "GPL-2", "GPL-3"), "lgpl": ("LGPL-2", "LGPL-2.1", "LGPL-3"), "mpl": ("MPL-1.1", "MPL-2.0")}
+#: A section of a whole licence is its next paragraphs until they have so many words.
+SECTION_WORDS = 100
+
+
+@functools.cache
+def whole_licences() -> tuple[tuple[str, str], ...]:
+    """(label, section) of the licences in license_texts, so that a part that is quoted, and not only the whole, is found."""
+    out = []
+    for label, names in WHOLE.items():
+        for name in names:
+            held: list[str] = []
+            for paragraph in re.split(r"\n\s*\n", (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text()):
+                held.append(paragraph)
+                if sum(len(p.split()) for p in held) >= SECTION_WORDS:
+                    out.append((label, "\n".join(held)))
+                    held = []
+            # what is left belongs to the last section
+            if held and out:
+                out[-1] = (out[-1][0], "\n".join([out[-1][1], *held]))
+    return tuple(out)
+
+
 @dataclass(frozen=True)
 class Scan:
     #: Runs shorter than this are not used.
@@ -226,8 +253,9 @@ class SuffixAutomaton:
 
 
 class Scanner:
-    def __init__(self, p: Scan, templates=TEMPLATES, phrases=PHRASES):
+    def __init__(self, p: Scan, templates=None, phrases=PHRASES):
         self.p = p
+        templates = (*TEMPLATES, *whole_licences()) if templates is None else templates
         self.labels = [x for x, _ in templates]
         hashed = [_words_of(t) for _, t in templates]
         self.lengths = [len(h) for h in hashed]
@@ -340,14 +368,14 @@ def _scan_map(shared):
     return run
 
 
-def scan(docs: DataFrame, p: Scan = Scan()) -> DataFrame:
+def scan(docs: DataFrame, p: Scan = Scan(), templates: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word (least and largest start of a phrase), base_labels, labels (those of spans
     too), score (largest share of a template covered, 0.5 at least where a phrase stands) and spans.
 
     A null text counts as empty: no words, no labels (""), score 0. Repeated rows get equal results; an empty table gives
     no rows; columns other than doc_id and text are not read, whatever their names. Texts of any length are streamed whole. Of
-    overlapping spans all are given. The automaton is made once, from the templates alone, and broadcast.
+    overlapping spans all are given. templates are (label, text) pairs; without them, all notices and sections here. The automaton is made once, from the templates alone, and broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Scanner(p))
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(p, templates))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return arrow_map(rows, _scan_map(shared), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,covered:double>>")

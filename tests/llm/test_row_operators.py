@@ -223,7 +223,7 @@ def test_licence_phrases(request, table):
 
 
 def test_matching_statistics_are_longest_template_runs():
-    scanner = licenses.Scanner(licenses.Scan())
+    scanner = licenses.Scanner(licenses.Scan(), licenses.TEMPLATES)
     sequences = [np.searchsorted(scanner.vocabulary, licenses._words_of(t)).tolist() for _, t in licenses.TEMPLATES]
     runs = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, min(len(s), i + 12) + 1)}
     rng = np.random.default_rng(5)
@@ -247,10 +247,10 @@ def test_licence_spans(spark):
     assert (got[3].labels, got[3].score) == ("", 0) and got[4].labels == "cc-by-nc"
 
 
-def plain_spans(text, p=licenses.Scan()):
+def plain_spans(text, p=licenses.Scan(), known=licenses.TEMPLATES):
     """(label, first, last, share) from runs found by comparing every place of the text with every place of every template."""
     file = licence_words(text)
-    templates = [licence_words(t) for _, t in licenses.TEMPLATES]
+    templates = [licence_words(t) for _, t in known]
     run = {}  # (template, place in it, place in the file) -> length of the run that ends there
     for t, words_ in enumerate(templates):
         at = {}
@@ -276,7 +276,7 @@ def plain_spans(text, p=licenses.Scan()):
         else:
             best["n"] += min(n, k - best["k"], j - best["j"])
             best["k"], best["j"] = k, j
-    return Counter((licenses.TEMPLATES[t][0], c["first"], c["k"], min(1, c["n"] / len(templates[t]))) for t, cs in chains.items() for c in cs if c["n"] >= p.covered * len(templates[t]))
+    return Counter((known[t][0], c["first"], c["k"], min(1, c["n"] / len(templates[t]))) for t, cs in chains.items() for c in cs if c["n"] >= p.covered * len(templates[t]))
 
 
 def licence_words(text):
@@ -295,7 +295,7 @@ def test_licence_spans_match_a_plain_version(spark, documents, edge):
     damaged = spark.createDataFrame(rows, "doc_id long, text string")
     seen = 0
     for docs in (damaged, documents, edge):
-        for r, text in zip(licenses.scan(docs).collect(), [x.text for x in docs.select("text").collect()]):
+        for r, text in zip(licenses.scan(docs, templates=licenses.TEMPLATES).collect(), [x.text for x in docs.select("text").collect()]):
             want = plain_spans(text)
             assert Counter((s.label, s["first"], s.last, s.covered) for s in r.spans) == want
             found = {x[0] for x in want} | set(filter(None, r.base_labels.split(",")))
@@ -312,6 +312,24 @@ def test_whole_licences_have_their_labels(spark):
     assert {label for label, _ in licenses.TEMPLATES} >= {"zlib", "boost", "epl", "gpl", "apache", "bsd", "mit", "isc"}
 
 
+def test_sections_of_whole_licences(spark):
+    """A licence has its label, and so has any section of it that is quoted, a little changed too; spans are those of a plain version."""
+    sections = licenses.whole_licences()
+    known = (*licenses.TEMPLATES, *sections)
+    assert len(sections) > 200 and {label for label, _ in sections} == set(licenses.WHOLE)
+    rng = np.random.default_rng(13)
+    rows = []
+    for k in range(0, len(sections), 9):
+        w = sections[k][1].split()
+        w[len(w) // 3] = "changed"
+        rows.append((k, "lorem " + " ".join(w) + " ipsum"))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        assert sections[k][0] in got[k].labels.split(",") and got[k].score > 0.8
+        if rng.random() < 0.15:
+            assert Counter((s.label, s["first"], s.last, s.covered) for s in got[k].spans) == plain_spans(text, known=known)
+
+
 def test_licence_empty(empty):
     assert licenses.scan(empty).count() == 0
 
