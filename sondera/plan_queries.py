@@ -15,7 +15,7 @@ from .functions import paths, vectors
 from .operators import diagnostics, grids, metadata, metrics, sampling, search
 from .plans import checks, encoding
 from .plans.views import table
-from .session import new_folder
+from .session import scratch_folder
 from .sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,14 +129,14 @@ def segmentation_totals(spark: SparkSession, d: str) -> DataFrame:
 def label_csv_scan(spark: SparkSession, d: str) -> DataFrame:
     """CSV files with header and byte-order mark, one for each third of the users."""
     lines = _labels(spark, d).groupBy((F.xxhash64("filename") % 3).alias("k")).agg(F.concat(F.lit("\ufefffilename,label\n"), F.array_join(F.collect_list(F.concat("filename", F.lit(","), "label")), "\n"), F.lit("\n")).alias("content"))
-    root = new_folder(spark, "labels")
+    root = scratch_folder(spark, "labels")
     sinks.text_files(lines.select(F.concat(F.lit("labels"), "k", F.lit(".csv")).alias("path"), "content"), root)
     return readers.label_csv(spark, root)
 
 
 def _manifest_files(spark: SparkSession, d: str) -> str:
     """A manifest per video and a part file per part, by their names in the folders, written where the rows are."""
-    root = new_folder(spark, "crops")
+    root = scratch_folder(spark, "crops")
     body = F.to_json(F.struct("source", "label", F.size("frames").alias("frame_count"), "frames"))
     sinks.text_files(_manifests(spark, d).select(F.concat_ws("/", "part", "video", F.lit("metadata.json")).alias("path"), body.alias("content")), f"{root}/crops")
     entries = F.map_from_entries(F.collect_list(F.struct("filename", F.struct("label", "original"))))
@@ -160,13 +160,13 @@ def name_list_scan(spark: SparkSession, d: str) -> DataFrame:
     """The second field of white-space separated lines, blank lines left out, of a list for each brand."""
     line = F.concat(F.lit(" "), F.col("p_partkey"), F.lit(" \t "), "p_name", F.lit(" of "), "p_partkey")
     lists = table(spark, d, "part").groupBy("p_brand").agg(F.concat(F.array_join(F.collect_list(line), "\n\n"), F.lit("\n  \n")).alias("content"))
-    root = new_folder(spark, "lists")
+    root = scratch_folder(spark, "lists")
     sinks.text_files(lists.select(F.concat("p_brand", F.lit(".txt")).alias("path"), "content"), root)
     return readers.name_list(spark, root)
 
 
 def _supplier_files(spark: SparkSession, d: str) -> str:
-    root = new_folder(spark, "files")
+    root = scratch_folder(spark, "files")
     sinks.text_files(table(spark, d, "supplier").select(F.concat("s_nationkey", F.lit("/"), "s_name", F.lit(".txt")).alias("path"), F.concat(F.lit("text of "), "s_name").alias("content")), root)
     return root
 
@@ -203,7 +203,7 @@ def requested_parts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS price FROM orders")
 def json_report_round_trip(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("price"))
-    path = new_folder(spark, "report")
+    path = scratch_folder(spark, "report")
     sinks.json_report(rows, path)
     return spark.read.schema(rows.schema).json(path)
 
@@ -211,7 +211,7 @@ def json_report_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey, c_name, c_nationkey FROM customer")
 def csv_report_round_trip(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer")
-    path = new_folder(spark, "report")
+    path = scratch_folder(spark, "report")
     sinks.csv_report(rows, path, ["c_custkey", "c_name", "c_nationkey"])
     return spark.read.schema("c_custkey long, c_name string, c_nationkey int").csv(path, header=True)
 
@@ -220,7 +220,7 @@ def csv_report_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def evidence_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Evidence by role; writing one role again leaves the other."""
     rows = table(spark, d, "embeddings").select("vec_id", F.when(F.col("label") < 5, "calibration").otherwise("evaluation").alias("role"), "label")
-    path = new_folder(spark, "evidence")
+    path = scratch_folder(spark, "evidence")
     sinks.evidence(rows, path)
     sinks.evidence(rows.where("role = 'calibration'").withColumn("label", F.col("label") + 100), path)
     return spark.read.parquet(path).select("vec_id", "role", F.col("label").alias("value"))
@@ -230,7 +230,7 @@ def evidence_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def bank_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A bank written, checked against its completion row, and counted."""
     e = table(spark, d, "embeddings")
-    path = new_folder(spark, "bank")
+    path = scratch_folder(spark, "bank")
     sinks.bank(e.select(F.col("vec_id").alias("bank_patch_id"), F.col("label").alias("source_idx"), F.lit(0).alias("patch_id"), "embedding"), e.select(F.col("label").alias("source_idx")).distinct(), path, "plan", 0.5, 0.1)
     sinks.load_bank(spark, path, "plan")
     return spark.read.parquet(f"{path}/complete").drop("plan_sha256")
@@ -492,7 +492,7 @@ def checkpoint_epochs(spark: SparkSession, d: str) -> DataFrame:
     """Epochs at which a run improves on the last checkpoint by more than the least delta, which are those that write one: written, and
     read again."""
     rows = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("run"), F.month("o_orderdate").alias("epoch")).agg(F.round(F.avg(F.col("o_totalprice").cast("decimal(18,2)")).cast("double"), 2).alias("loss"))
-    path = new_folder(spark, "checkpoints")
+    path = scratch_folder(spark, "checkpoints")
     sampling.improvements(rows, "run", 500.0).write.partitionBy("run").parquet(path)
     return spark.read.parquet(path).select(F.col("run").cast("string").alias("run"), "epoch", "loss")
 
@@ -511,7 +511,7 @@ def region_cache(spark: SparkSession, d: str) -> DataFrame:
     """Regions kept after exclusions, and the exclusions that stay as a report: written, and read as one table."""
     rows = table(spark, d, "supplier").select("s_suppkey", "s_name", (F.col("s_nationkey") % 3 == 0).alias("excluded"))
     gone = rows.where("excluded AND s_suppkey % 2 = 0")
-    path = new_folder(spark, "regions")
+    path = scratch_folder(spark, "regions")
     metadata.exclude(rows, gone, "s_suppkey").write.partitionBy("excluded").parquet(path)
     return readers.parquet(spark, path, "s_suppkey", "s_name", "excluded").withColumn("excluded", F.col("excluded").cast("boolean"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import rasters
 from .plan_queries import _GRID, _grid, query
 from .plans.views import table
-from .session import new_folder
+from .session import scratch_folder
 from .sources import caches
 
 # ---------------------------------------------------------------- masks
@@ -175,7 +175,7 @@ def semantic_cache(spark: SparkSession, d: str) -> DataFrame:
     label = F.when(inside, F.element_at(F.array(F.lit(2), F.lit(10), F.lit(11)), F.expr("CAST(value div 5 % 3 + 1 AS INT)"))).otherwise(F.expr("CAST(value div 5 % 2 AS INT)"))
     labels = rasters.pack(rows.withColumn("label", label), "image", 14, 14, ["label"])
     images = pairs.join(labels.select("image", *[F.col(c).alias(f"labels_{c}") for c in ("height", "width", "data")]), "image").join(whole, "image")
-    path = new_folder(spark, "semantic-cache")
+    path = scratch_folder(spark, "semantic-cache")
     work = lambda df: rasters.semantic_grids(df, "image", SETTINGS)
     caches.update(spark, path, images.where("image % 2 = 0"), "image", SETTINGS, work)
     done = caches.update(spark, path, images, "image", SETTINGS, work)

@@ -51,13 +51,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the application ends."""
+    path = new_folder(spark, name)
+    _file_system(spark, path).deleteOnExit(_hadoop_path(spark, path))
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage and survives lost executors. What discard() has not
     deleted by then goes when the application ends."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = scratch_folder(spark, name)
     df.write.parquet(path)
-    _file_system(spark, path).deleteOnExit(_hadoop_path(spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._sondera_path = path
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.ordering import ordered_rank
 from .plan_queries import query
 from .plans.views import table
-from .session import new_folder
+from .session import scratch_folder
 from .sources import arrays, readers, tensors
 from .streaming import files
 
@@ -25,7 +25,7 @@ def tensor_round_trip(spark: SparkSession, d: str) -> DataFrame:
     e = _numbered(spark, d)
     rows = e.select(F.lit("vectors").alias("name"), "row", F.col("embedding").cast("array<double>").alias("values"))
     rows = rows.unionByName(e.select(F.lit("labels").alias("name"), "row", F.array(F.col("label").cast("double")).alias("values")))
-    path = new_folder(spark, "tensors")
+    path = scratch_folder(spark, "tensors")
     tensors.write(rows, path, {"vectors": "F32", "labels": "I64"}, {"vectors": [8, 8]})
     n = e.count()
     back = tensors.read(spark, path, {"vectors": [n, 8, 8], "labels": [n, 1]})
@@ -37,7 +37,7 @@ h AS (SELECT row, dim, CASE WHEN x = 0 THEN 0 ELSE pow(2::DOUBLE, greatest(floor
 SELECT row, dim, CASE WHEN unit = 0 THEN 0 ELSE round_even(x / unit, 0) * unit END AS x, label::BIGINT AS label, vec_id FROM h JOIN e USING (row)""")
 def half_bank_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A bank written as aligned arrays in half precision, checked and loaded."""
-    path, record = new_folder(spark, "array-bank"), {"plan_sha256": "of the plan", "foreground_minimum": 0.5}
+    path, record = scratch_folder(spark, "array-bank"), {"plan_sha256": "of the plan", "foreground_minimum": 0.5}
     arrays.write_bank(table(spark, d, "embeddings"), path, ["vec_id"], "embedding", ["label", "vec_id"], record, half=True)
     rows = arrays.aligned(arrays.load_bank(spark, path, record), "embedding", ["label", "vec_id"])
     return rows.select("row", F.posexplode("embedding").alias("dim", "x"), "label", "vec_id")
@@ -46,7 +46,7 @@ def half_bank_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT source, sha256(string_agg(replace(text, chr(10), ' ') || chr(10), '' ORDER BY doc_id)) AS sha256, sum(strlen(text) + 1)::BIGINT AS size FROM documents GROUP BY source")
 def large_file_digests(spark: SparkSession, d: str) -> DataFrame:
     """The texts of each source as one file, and the files' digests, read in chunks."""
-    path = new_folder(spark, "texts")
+    path = scratch_folder(spark, "texts")
     docs = table(spark, d, "documents").select("source", "doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
     docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
     named = lambda df: df.withColumn("source", F.regexp_extract("path", "source=([^/]*)/", 1))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import projection, sampling, training
 from .plan_queries import QUERIES, query
 from .plans.views import table
-from .session import new_folder
+from .session import scratch_folder
 
 _STEPS = "SELECT o_custkey % 7 AS name, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderdate, o_orderkey) - 1 AS step, o_totalprice::DOUBLE AS value FROM orders"
 
@@ -46,7 +46,7 @@ def preview_colours(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     real = rows.where("label < 5").select("label", "vec_id", "embedding")
     fitted = projection.fit(sampling.even_sample(real, ["label"], ["vec_id"], 100), "embedding")
-    path = f"{new_folder(spark, 'projection')}/visualization.json"
+    path = f"{scratch_folder(spark, 'projection')}/visualization.json"
     projection.store(spark, fitted, path)
     rgb = projection.colours(F.col("embedding"), projection.load(spark, path))
     return rows.select("vec_id", F.posexplode(rgb).alias("channel", "x")).withColumn("x", F.round("x", 6))
