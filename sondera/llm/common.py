@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import delete_folder, discard, file_exists, folders_in, materialise, new_folder, shared_dir  # noqa: F401
+from ..session import delete_folder, discard, file_exists, folders_in, materialise, new_folder, scratch_folder, shared_dir  # noqa: F401
 
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"

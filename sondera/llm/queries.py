@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, licenses, linededup, merkle, mixing, neardup, ngram_lm, pii, quality, sharding, tokens, trie, wrappers
-from .common import new_folder, read_documents
+from .common import read_documents, scratch_folder
 
 
 #: The key of the registered query, whose pseudonyms protect nobody.
@@ -41,7 +41,7 @@ def op6_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(read_documents(spark, sf_dir), 40, path=new_folder(spark, "slot-map"))
+    return sharding.shard(read_documents(spark, sf_dir), 40, path=scratch_folder(spark, "slot-map"))
 
 
 def op8_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

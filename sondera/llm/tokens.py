@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import arrow_map
-from .common import column, materialise, new_folder
+from .common import column, materialise, scratch_folder
 
 END_ID = 1
 #: Entries that a worker's caches of encoded words and pieces may have before they are emptied.
@@ -243,7 +243,7 @@ def _read_map(uri: str, most: int = 1 << 22):
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str | None = None, order: list[Column] | None = None) -> tuple[str, DataFrame]:
-    """Writes the files and returns (folder, table of parts): part, n_docs, n_ids, kind (of the integers), base (ids in the parts
+    """Writes the files to a folder (one that goes with the application, where none is given) and returns (folder, table of parts): part, n_docs, n_ids, kind (of the integers), base (ids in the parts
     before). The driver sees one row of counts per part.
 
     Documents stand in ascending doc_id order, null last, those of one doc_id in an order of their texts; or by the columns
@@ -252,7 +252,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder:
     doc_id, text and those of the order are not read, whatever their names.
     """
     spark = docs.sparkSession
-    folder = folder or new_folder(spark, "tokens")
+    folder = folder or scratch_folder(spark, "tokens")
     # a hash of the text parts rows of one doc_id, or of none, over the ranges, and where they were read those of one text too
     doc_id = docs["doc_id"].cast("long")
     order = order or [doc_id.isNull(), doc_id, F.xxhash64(docs["text"])]
