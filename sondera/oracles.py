@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import raster_queries, store_queries, training_queries  # noqa: F401  each has its SQL next to its queries
 from .plan_queries import ORACLES as PLAN_ORACLES
 
 ORACLES: dict[str, str] = dict(PLAN_ORACLES)
