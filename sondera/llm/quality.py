@@ -1,8 +1,9 @@
 """Quality rules with a distribution-divergence verdict.
 
 Base rules are counts over a document's words. The verdict compares two histograms of each document, its character classes
-and the common words of a few languages, with the references of its language by Jensen-Shannon distance. References are sums
-over all documents that pass the base rules, so they need no outside data and junk weighs little in them. A document is only
+and common words, with the references of its language by Jensen-Shannon distance. Common words are those of four languages that are
+known, and the most frequent ones of every language of the corpus, counted in a pass over all documents that pass the base rules.
+References are sums over these documents too, so they need no outside data and junk weighs little in them. A document is only
 judged on a histogram that holds enough counts (minimum-length guards), and only against a reference that does.
 """
 
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -41,7 +42,9 @@ class Rules:
     most_word_distance: float = 0.30
     #: A short text's word histogram is far from any reference by chance: what a sample with so many free bins is
     #: expected to diverge by, free bins / (8 n ln 2), is taken off its squared distance.
-    free_bins: int = 20
+    free_bins: int = 40
+    #: Words of each language that are common because the corpus says so.
+    frequent_words: int = 20
     #: A histogram with fewer counts than this is not judged; a reference with fewer is not used.
     least_chars: int = 200
     least_words: int = 50
@@ -58,21 +61,29 @@ def _class_table() -> np.ndarray:
     return t
 
 
-def _common_table() -> tuple[np.ndarray, np.ndarray]:
-    """Sorted word hashes, and the place of each in the histogram."""
-    words = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+#: Bits of a word's hash by which words are counted: a rare word shares its cell with a common one with odds of words / 65,536.
+CELL_BITS = 16
+
+
+def cells(words: list[str]) -> np.ndarray:
+    """The cell of each word."""
     raw = [w.encode() for w in words]
     ends = np.cumsum([len(r) for r in raw])
     h = span_hash(prefix_hash(np.frombuffer(b"".join(raw), np.uint8), True), ends - np.array([len(r) for r in raw]), ends)
-    order = np.argsort(h)
-    return h[order], order
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+class Vocabulary:
+    """Which cells are common: each is a bin of the word histogram, and all other words together are the last."""
+
+    def __init__(self, frequent: list[int] = ()):
+        common = sorted({*cells(sorted({w for ws in COMMON_WORDS.values() for w in ws})).tolist(), *frequent})
+        self.size = len(common) + 1
+        self.bin = np.full(1 << CELL_BITS, self.size - 1, np.int64)
+        self.bin[common] = np.arange(len(common))
 
 
 CLASS = _class_table()
-COMMON_HASH, COMMON_AT = _common_table()
-N_COMMON = len(COMMON_HASH)
-#: Bins of the word histogram: each common word, and all other words together.
-N_WORD_BINS = N_COMMON + 1
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -101,8 +112,8 @@ def _repeats(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return many, later
 
 
-def counts(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
-    """The base counts of each text and its two histograms (chars, commons)."""
+def counts(buf: np.ndarray, offs: np.ndarray, vocabulary: Vocabulary | None) -> dict[str, np.ndarray]:
+    """The base counts of each text and its histograms: chars, and commons if there is a vocabulary, else each word's cell and row."""
     n = len(offs) - 1
     starts, ends, first = word_runs(buf, offs)
     row = row_of(first)
@@ -139,10 +150,10 @@ def counts(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     out["n_dup_lines"] = np.bincount(line_row[later], minlength=n)
     s, e = _stripped(buf, starts, ends)
     bare = span_hash(prefix_hash(buf, True), s, e)
-    at = np.minimum(np.searchsorted(COMMON_HASH, bare), N_COMMON - 1)
-    hit = COMMON_HASH[at] == bare
-    bins = np.where(hit, COMMON_AT[at], N_COMMON)
-    out["commons"] = np.bincount(row * N_WORD_BINS + bins, minlength=n * N_WORD_BINS).reshape(n, N_WORD_BINS)
+    cell = (bare >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    if vocabulary is None:
+        return out | {"cell": cell, "row": row}
+    out["commons"] = np.bincount(row * vocabulary.size + vocabulary.bin[cell], minlength=n * vocabulary.size).reshape(n, vocabulary.size)
     return out
 
 
@@ -154,14 +165,45 @@ def _lang(batch: pa.RecordBatch) -> list[str]:
     return [x or "" for x in column(batch, "lang").to_pylist()]
 
 
-def _histogram_map(rules: Rules):
+def _cell_map(rules: Rules):
+    """Words by language and cell, of a task's documents that pass the base rules."""
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            buf, offs = text_buffer(column(batch, "text"))
+            langs = np.array(_lang(batch), object)
+            for a, b, part, po in slices(buf, offs):
+                c = counts(part, po, None)
+                good = ~base_failed(c, rules)
+                for lang in set(langs[a:b]):
+                    mine = (good & (langs[a:b] == lang))[c["row"]]
+                    sums[lang] = sums.get(lang, 0) + np.bincount(c["cell"][mine], minlength=1 << CELL_BITS)
+        for lang, v in sums.items():
+            at = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], ["lang", "cell", "n"])
+
+    return run
+
+
+def vocabulary(docs: DataFrame, rules: Rules = Rules()) -> Vocabulary:
+    """The known common words and the most frequent cells of each language of the corpus; the driver sees those alone."""
+    rows = arrow_map(docs.select("text", F.col("lang").cast("string").alias("lang")), _cell_map(rules), "lang string, cell int, n long")
+    per = rows.groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    most = Window.partitionBy("lang").orderBy(F.col("n").desc(), "cell")
+    found = per.withColumn("place", F.row_number().over(most)).where(F.col("place") <= rules.frequent_words).select("cell")
+    cells_ = [r.cell for r in found.distinct().limit(BROADCAST_ROWS * rules.frequent_words + 1).collect()]
+    return Vocabulary(sorted(cells_))
+
+
+def _histogram_map(rules: Rules, vocabulary: Vocabulary):
     def run(batches):
         for batch in batches:
             buf, offs = text_buffer(column(batch, "text"))
             langs = _lang(batch)
             sums: dict[str, np.ndarray] = {}
             for a, b, part, po in slices(buf, offs):
-                c = counts(part, po)
+                c = counts(part, po, vocabulary)
                 good = ~base_failed(c, rules)
                 both = np.hstack([c["chars"], c["commons"]])
                 for lang in set(langs[a:b]):
@@ -173,10 +215,10 @@ def _histogram_map(rules: Rules):
     return run
 
 
-def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def references(docs: DataFrame, vocabulary: Vocabulary, rules: Rules = Rules()) -> DataFrame:
     """(lang, bins): summed histograms of all documents that pass the base rules, per language ("" for null), as an array of
     (bin, n). One row per language."""
-    rows = arrow_map(docs.select("text", F.col("lang").cast("string").alias("lang")), _histogram_map(rules), "lang string, bin int, n long")
+    rows = arrow_map(docs.select("text", F.col("lang").cast("string").alias("lang")), _histogram_map(rules, vocabulary), "lang string, bin int, n long")
     per = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     return per.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("bins"))
 
@@ -216,14 +258,14 @@ def verdicts(c: dict[str, np.ndarray], langs: np.ndarray, refs: dict[str, np.nda
     return out[0], out[1]
 
 
-def _verdict_map(rules: Rules, refs: dict[str, np.ndarray], passed: list[str]):
+def _verdict_map(rules: Rules, vocabulary: Vocabulary, refs: dict[str, np.ndarray], passed: list[str]):
     def run(batches):
         for batch in batches:
             buf, offs = text_buffer(column(batch, "text"))
             langs = np.array(_lang(batch), object)
             parts: dict[str, list[np.ndarray]] = {}
             for a, b, part, po in slices(buf, offs):
-                c = counts(part, po)
+                c = counts(part, po, vocabulary)
                 failed = base_failed(c, rules)
                 chars, commons = verdicts(c, langs[a:b], refs, rules)
                 with np.errstate(invalid="ignore"):
@@ -239,14 +281,14 @@ def _verdict_map(rules: Rules, refs: dict[str, np.ndarray], passed: list[str]):
     return run
 
 
-def collected(refs: DataFrame) -> dict[str, np.ndarray]:
-    """References on the driver: one row of about 80 counts per language. More languages than BROADCAST_ROWS are an error."""
+def collected(refs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """References on the driver: one row of counts per language. More languages than BROADCAST_ROWS are an error."""
     rows = refs.limit(BROADCAST_ROWS + 1).collect()
     if len(rows) > BROADCAST_ROWS:
         raise ValueError(f"more than {BROADCAST_ROWS} languages: lang must be a language code")
     out = {}
     for r in rows:
-        v = np.zeros(len(CLASSES) + N_WORD_BINS)
+        v = np.zeros(len(CLASSES) + vocabulary.size)
         for x in r.bins:
             v[x.bin] = x.n
         out[r.lang] = v
@@ -256,6 +298,11 @@ def collected(refs: DataFrame) -> dict[str, np.ndarray]:
 _TYPES = ", ".join(f"{{0}}{k} long" for k in COUNTS) + ", {0}base_failed boolean, {0}kept boolean, {0}char_distance double, {0}word_distance double"
 
 
+def _measured(docs: DataFrame, rules: Rules) -> tuple[Vocabulary, dict[str, np.ndarray]]:
+    common = vocabulary(docs, rules)
+    return common, collected(references(docs, common, rules), common)
+
+
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the two distances (null where a guard holds).
 
@@ -263,20 +310,20 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     are judged alike; an empty table gives no rows; columns other than doc_id, text and lang are not read. Texts of any
     length are worked on whole.
     """
-    refs = collected(references(docs, rules))
+    common, refs = _measured(docs, rules)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    return arrow_map(rows, _verdict_map(rules, refs, ["doc_id"]), "doc_id long, " + _TYPES.format(""))
+    return arrow_map(rows, _verdict_map(rules, common, refs, ["doc_id"]), "doc_id long, " + _TYPES.format(""))
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that are kept, in the columns of docs, whatever others they are. Null, empty and blank texts fail the base rules
     and go; very long texts are judged whole; rows that repeat, or have no doc_id, are judged each for itself. A distance on the
     bound is kept. No rows give none."""
-    refs = collected(references(docs, rules))
+    common, refs = _measured(docs, rules)
     names = [f"c{k}" for k in range(len(docs.columns))]
     place = {c.lower(): k for k, c in enumerate(docs.columns)}
     plain = docs.toDF(*names)
     rows = plain.withColumn("text", F.col(names[place["text"]])).withColumn("lang", F.col(names[place["lang"]]).cast("string"))
     verdict = StructType.fromDDL(_TYPES.format("q_"))
-    out = arrow_map(rows, _verdict_map(rules, refs, names), StructType([*plain.schema.fields, *verdict.fields]))
+    out = arrow_map(rows, _verdict_map(rules, common, refs, names), StructType([*plain.schema.fields, *verdict.fields]))
     return out.where("q_kept").select(*names).toDF(*docs.columns)

@@ -47,35 +47,52 @@ def jsd(p, q):
     return math.sqrt(max(0, (part(p) + part(q)) / 2))
 
 
-def histograms(text):
+def bare_words(text):
+    out = []
+    for w in words(text):
+        for cut in (lambda x: x[:-1] if len(x) > 1 and x[-1] in ".,;:!?'\"()-" else x, lambda x: x[1:] if len(x) > 1 and x[0] in ".,;:!?'\"()-" else x):
+            w = cut(w)
+        out.append(w.translate(FOLD))
+    return out
+
+
+def histograms(text, common):
+    """common: cells of the histogram's bins."""
     chars, bins = Counter(), Counter()
     for c in "".join(words(text)):
         name = "beyond" if c > "\x7f" else "vowel" if c in "aeiou" else "consonant" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "symbol" if c in "#*$%&|<>" else "mark" if c in ".,;:!?'\"()-" else "other"
         chars[name] += 1
-    common = {w for ws in quality.COMMON_WORDS.values() for w in ws}
-    for w in words(text):
-        for cut in (lambda x: x[:-1] if len(x) > 1 and x[-1] in ".,;:!?'\"()-" else x, lambda x: x[1:] if len(x) > 1 and x[0] in ".,;:!?'\"()-" else x):
-            w = cut(w)
-        w = w.translate(FOLD)
-        bins[w if w in common else None] += 1
+    for cell in quality.cells(bare_words(text)).tolist() if words(text) else []:
+        bins[cell if cell in common else None] += 1
     return [chars[c] for c in quality.CLASSES], [bins[c] for c in [*sorted(common), None]]
 
 
+def common_cells(rows, rules):
+    """Cells of the known words, and of each language's most frequent ones among documents that pass the base rules."""
+    per = {}
+    for r in rows:
+        n, _, _, _, rep = base_counts(r.text)
+        if n >= 50 and 100 * rep <= 50 * n:
+            per.setdefault(r.lang, Counter()).update(quality.cells(bare_words(r.text)).tolist())
+    known = quality.cells(sorted({w for ws in quality.COMMON_WORDS.values() for w in ws})).tolist()
+    return {*known, *(c for counts in per.values() for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: rules.frequent_words])}
+
+
 def test_quality_verdict(documents):
     rules = quality.Rules()
     rows = documents.select("doc_id", "text", "lang").collect()
-    refs = {}
+    common, refs = common_cells(rows, rules), {}
     for r in rows:
         n, _, _, _, rep = base_counts(r.text)
         if n >= 50 and 100 * rep <= 50 * n:
-            c, w = histograms(r.text)
+            c, w = histograms(r.text, common)
             old = refs.setdefault(r.lang, [np.zeros(len(c)), np.zeros(len(w))])
             old[0] += c
             old[1] += w
     got = {r.doc_id: r for r in quality.judge(documents).collect()}
     for r in rows:
         kept = not got[r.doc_id].base_failed
-        for k, (hist, name) in enumerate(zip(histograms(r.text), ("char_distance", "word_distance"))):
+        for k, (hist, name) in enumerate(zip(histograms(r.text, common), ("char_distance", "word_distance"))):
             usable = {x: v[k] for x, v in refs.items() if v[k].sum() >= rules.least_reference}
             if sum(hist) < (rules.least_chars, rules.least_words)[k] or not usable:
                 assert got[r.doc_id][name] is None
@@ -91,6 +108,18 @@ def test_quality_verdict(documents):
     assert {r.doc_id for r in stage.select("doc_id").collect()} == {k for k, v in got.items() if v.kept}
 
 
+def test_a_language_that_nobody_listed_is_judged(spark):
+    """Prose of a made-up language passes; the same letters in words that are not its words do not."""
+    rng = np.random.default_rng(21)
+    common = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu") for b in ("n", "sa", "re", "vo")]
+    rare = lambda: "".join(rng.choice(list("kalomitunsrevy"), 7))
+    prose = lambda: " ".join(str(rng.choice(common)) if rng.random() < 0.6 else rare() for _ in range(300))
+    rows = [(k, prose(), "zz") for k in range(60)] + [(1000 + k, " ".join(rare() for _ in range(300)), "zz") for k in range(4)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k].kept for k in range(60)) and not any(got[1000 + k].kept for k in range(4))
+    assert min(got[1000 + k].word_distance for k in range(4)) > 0.3 > max(got[k].word_distance for k in range(60))
+
+
 def test_quality_edges(edge, empty):
     assert quality.keep_good(edge).columns == edge.columns
     assert quality.judge(empty).count() == quality.keep_good(empty).count() == 0
