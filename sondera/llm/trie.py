@@ -67,8 +67,8 @@ def rebuild(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     """Nodes of the trie of conversations (conv_id, length) and their turns (conv_id, depth, a, b, bytes, length).
 
-    Prefixes are told apart by 128 bits of hashes of their turns, combined by exclusive or: among 10**12 prefixes two would fall
-    together with odds of about 1 in 10**14.
+    Prefixes are told apart by 128 bits of hashes of their turns, combined by exclusive or, and turns by 120 bits: among 10**12 of
+    either two would fall together with odds under 1 in 10**12.
     """
     values = turns.withColumns({"va": F.xxhash64("depth", "a", "b"), "vb": F.xxhash64("b", "a", F.lit(1), "depth")}).drop("a", "b")
     paths = running_sums(values, ["conv_id"], [F.col("depth")], {"va": "pa", "vb": "pb"}, xor=True)
