@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import even_places, ordered_rank, running_sums
-
-
-def even_sample(rows: DataFrame, group: list[str], order: list[str], count: int) -> DataFrame:
-    """At most `count` evenly spaced rows of each ordered group, the first and last included."""
+from ..session import materialise
+
+
+def even_sample(rows: DataFrame, group: list[str], order: list[str], count: int, large: bool = False) -> DataFrame:
+    """At most `count` evenly spaced rows of each ordered group, the first and last included. Groups that may be large are ranked by
+    ranges, so that none is one task; many small ones by a window."""
+    if large:
+        ranked = materialise(ordered_rank(rows, group, order, "__place"), "ranked")
+        sizes = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+        on = reduce(lambda a, b: a & b, [ranked[c].eqNullSafe(sizes[c]) for c in group])
+        placed = ranked.join(sizes, on).select(*[ranked[c] for c in ranked.columns], "__n")
+        return placed.where(F.array_contains(even_places(F.col("__n"), count), F.col("__place").cast("long"))).drop("__place", "__n")
     w = Window.partitionBy(*group)
     placed = rows.withColumn("__place", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
     return placed.where(F.array_contains(even_places(F.col("__n"), count), F.col("__place").cast("long"))).drop("__place", "__n")
@@ -36,9 +46,8 @@ def round_robin(rows: DataFrame, order: str, shards: int) -> DataFrame:
 
 
 def batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
-    """Adds batch: consecutive lots of `size` rows of each ordered group."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return rows.withColumn("batch", F.floor(place / size))
+    """Adds batch: consecutive lots of `size` rows of each ordered group. Rows are ranked by ranges, so a group may be large."""
+    return ordered_rank(rows, [group], [order], "__place").withColumn("batch", F.floor(F.col("__place") / size)).drop("__place")
 
 
 def circular_lead(rows: DataFrame, group: str, order: str, value: str, out: str = "next") -> DataFrame:

@@ -45,7 +45,7 @@ def preview_colours(spark: SparkSession, d: str) -> DataFrame:
     tests hold it against a full decomposition, and the colours against SQL from the stored projection.)"""
     rows = table(spark, d, "embeddings")
     real = rows.where("label < 5").select("label", "vec_id", "embedding")
-    fitted = projection.fit(sampling.even_sample(real, ["label"], ["vec_id"], 100), "embedding")
+    fitted = projection.fit(sampling.even_sample(real, ["label"], ["vec_id"], 100, large=True), "embedding")
     path = f"{scratch_folder(spark, 'projection')}/visualization.json"
     projection.store(spark, fitted, path)
     rgb = projection.colours(F.col("embedding"), projection.load(spark, path))

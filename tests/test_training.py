@@ -88,3 +88,11 @@ def test_losses_of_known_vectors(spark):
     rows = [(1, [1.0, 0.0], [1.0, 0.0], True, True), (1, [1.0, 0.0], [0.0, 1.0], True, False), (2, [0.0, 2.0], [0.0, 1.0], False, False)]
     r = training.losses(spark.createDataFrame(rows, "image int, predicted array<double>, target array<double>, masked boolean, in_region boolean"), "image", 0.25, 0.1).first()
     assert (r.masked, r.region) == (0.5, 0.0) and abs(r.local_global - (1 - 2**-0.5) / 2) < 1e-12 and abs(r.total - 0.5 - 0.1 * r.local_global) < 1e-12
+
+
+def test_even_samples_by_ranges_are_those_of_a_window(spark):
+    from sondera.operators import sampling
+
+    rows = spark.createDataFrame([(None if g == 2 else g, k) for g in range(3) for k in range(5 if g else 200)], "g int, k int").repartition(6)
+    one, two = (sorted(map(repr, sampling.even_sample(rows, ["g"], ["k"], 7, large=x).collect())) for x in (False, True))
+    assert one == two and len(one) == 7 + 5 + 5
