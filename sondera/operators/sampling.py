@@ -16,9 +16,9 @@ def even_sample(rows: DataFrame, group: list[str], order: list[str], count: int,
     ranges, so that none is one task; many small ones by a window."""
     if large:
         ranked = materialise(ordered_rank(rows, group, order, "__place"), "ranked")
-        sizes = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-        on = reduce(lambda a, b: a & b, [ranked[c].eqNullSafe(sizes[c]) for c in group])
-        placed = ranked.join(sizes, on).select(*[ranked[c] for c in ranked.columns], "__n")
+        sizes = ranked.groupBy(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(group)]).agg(F.count(F.lit(1)).alias("__n"))
+        on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g{k}")) for k, c in enumerate(group)])
+        placed = ranked.join(sizes, on).drop(*[f"__g{k}" for k in range(len(group))])
         return placed.where(F.array_contains(even_places(F.col("__n"), count), F.col("__place").cast("long"))).drop("__place", "__n")
     w = Window.partitionBy(*group)
     placed = rows.withColumn("__place", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
