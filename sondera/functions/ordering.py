@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 
-def shuffle_key(seed: int, salt: str, *columns: Column) -> Column:
+def shuffle_key(seed: int | Column, salt: str, *columns: Column) -> Column:
     """md5 of seed|salt|columns: an order that looks random, is the same on every engine and needs no state."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *[c.cast("string") for c in columns]))
+    return F.md5(F.concat_ws("|", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), F.lit(salt), *[c.cast("string") for c in columns]))
 
 
 def hashed_rank(df: DataFrame, key: str, tie: str, out: str, partition: tuple[str, ...] = ()) -> DataFrame:

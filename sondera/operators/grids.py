@@ -55,10 +55,10 @@ def regions(cells: DataFrame, image: str, groups: dict[int, tuple[int, ...]] = R
     return marked.withColumn("region", region).drop("__touch")
 
 
-def covering_mask(cells: DataFrame, image: str, ratio: float, seed: int) -> DataFrame:
+def covering_mask(cells: DataFrame, image: str, ratio: float, seed: int | Column) -> DataFrame:
     """(image, row, col, region, masked, in_primary): one informative region drawn per image is covered whole, every other
     region by its floor share of what is left, and the rest drawn from cells not yet taken, so that the number of masked cells is
-    round-half-even(n * ratio), at least 1 and at most n - 1. All draws are keyed orders. cells: foreground cells (image, row, col,
+    round-half-even(n * ratio), at least 1 and at most n - 1. All draws are keyed orders; seed is one for all images, or an expression of an image. cells: foreground cells (image, row, col,
     region); an image with fewer than two cells or without an informative region is an error."""
     by = Window.partitionBy(image)
     cell_key = shuffle_key(seed, "cell", F.col(image), F.col("row"), F.col("col"))

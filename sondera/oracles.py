@@ -328,17 +328,19 @@ rg AS (SELECT image, row, col, CASE WHEN class = 2 AND touch THEN 7 WHEN class =
 )
 _q("grid_boundary", _CELLS + ", c AS (SELECT image, row, col FROM cells WHERE class <> 7)", "SELECT c.*, (SELECT count(*) FROM c o WHERE o.image = c.image AND abs(o.row - c.row) + abs(o.col - c.col) = 1) = 4 AS interior FROM c")
 _q("semantic_regions", _REGIONS, "SELECT * FROM rg")
-_q(
-    "covering_mask",
-    _REGIONS
-    + """, f AS (SELECT *, md5('42|cell|' || image || '|' || row || '|' || col) AS key, count(*) OVER (PARTITION BY image) AS n FROM rg WHERE region <> 0),
-pm AS (SELECT image, arg_min(region, md5('42|region|' || image || '|' || region)) AS pr FROM f WHERE region >= 2 GROUP BY image),
+def _mask(seed: str) -> str:
+    """CTE z: cells with what is covered, drawn by a seed."""
+    return f""", f AS (SELECT *, md5({seed} || '|cell|' || image || '|' || row || '|' || col) AS key, count(*) OVER (PARTITION BY image) AS n FROM rg WHERE region <> 0),
+pm AS (SELECT image, arg_min(region, md5({seed} || '|region|' || image || '|' || region)) AS pr FROM f WHERE region >= 2 GROUP BY image),
 g AS (SELECT f.*, pr, least(n - 1, greatest(1, round_even(n * 0.75::DOUBLE, 0)))::BIGINT AS target, row_number() OVER (PARTITION BY f.image, region ORDER BY key, row, col) AS place, count(*) OVER (PARTITION BY f.image, region) AS size FROM f JOIN pm USING (image)),
 h AS (SELECT *, least(target, count(*) FILTER (region = pr) OVER i) AS tf, count(*) FILTER (region = pr) OVER i AS np FROM g WINDOW i AS (PARTITION BY image)),
 k AS (SELECT *, CASE WHEN region = pr THEN place <= target ELSE place <= floor(size * coalesce((target - tf)::DOUBLE / nullif(n - np, 0)::DOUBLE, 0)) END AS sure FROM h),
-z AS (SELECT *, target - count(*) FILTER (sure) OVER (PARTITION BY image) AS need, row_number() OVER (PARTITION BY image, sure OR region = pr ORDER BY key, row, col) AS spare FROM k)""",
-    "SELECT image, row, col, region, sure OR (region <> pr AND spare <= need) AS masked, region = pr AND sure AS in_primary FROM z",
-)
+z AS (SELECT *, target - count(*) FILTER (sure) OVER (PARTITION BY image) AS need, row_number() OVER (PARTITION BY image, sure OR region = pr ORDER BY key, row, col) AS spare FROM k)"""
+
+
+_COVERED = "row, col, region, sure OR (region <> pr AND spare <= need) AS masked, region = pr AND sure AS in_primary FROM z"
+_q("covering_mask", _REGIONS + _mask("'42'"), f"SELECT image, {_COVERED}")
+_q("prepared_batches", _REGIONS + _mask("(3 * 1000003 + image // 4 * 10007 + image % 4)::VARCHAR"), f"SELECT (image // 4)::BIGINT AS batch, (image % 4)::BIGINT AS place, (3 * 1000003 + image // 4 * 10007 + image % 4)::BIGINT AS seed, image, {_COVERED}")
 _q("bounding_boxes", _CELLS, "SELECT image, min(col) AS x0, min(row) AS y0, max(col) + 1 AS x1, max(row) + 1 AS y1 FROM cells WHERE class IN (6, 7, 8) GROUP BY image")
 ORACLES["detection_sizes"] = """WITH s AS (SELECT p_partkey, p_size * 40 + 1 AS w, p_size * 23 + p_partkey % 7 + 1 AS h FROM part), k AS (SELECT *, least(1.0::DOUBLE, 640.0::DOUBLE / greatest(w, h)) AS k FROM s)
 SELECT p_partkey, greatest(1, round_even(w * k, 0))::INT AS width, greatest(1, round_even(h * k, 0))::INT AS height FROM k"""

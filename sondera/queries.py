@@ -704,6 +704,17 @@ def covering_mask(spark: SparkSession, d: str) -> DataFrame:
     return grids.covering_mask(cells, "image", 0.75, 42)
 
 
+@query
+def prepared_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Images of an epoch in batches of four: each with its place, the seed that this gives it, and the mask drawn by that seed over its
+    grid of regions."""
+    batch, index = F.expr("CAST(image div 4 AS LONG)"), F.expr("CAST(image % 4 AS LONG)")
+    seed = sampling.derived_seed(F.lit(3).cast("long"), batch, index)
+    cells = grids.regions(_cells(spark, d), "image").where("region <> 0").select("image", "row", "col", "region")
+    masked = grids.covering_mask(cells, "image", 0.75, seed)
+    return masked.select(batch.alias("batch"), index.alias("place"), seed.alias("seed"), "image", "row", "col", "region", "masked", "in_primary")
+
+
 @query
 def bounding_boxes(spark: SparkSession, d: str) -> DataFrame:
     return grids.bounding_box(_cells(spark, d).where("class IN (6, 7, 8)"), "image")
