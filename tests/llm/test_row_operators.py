@@ -150,7 +150,7 @@ def test_pseudonyms(spark):
 
 def test_values_side_by_side_are_all_replaced(spark):
     text = "+1 (826) 555-4081 190.137.223.204 4111111111111111 +1 (826) 555-4081 +44 20 7946 0958 10.1.2.3 a@b.org 4111111111111111 219-09-9999 2024-02-29"
-    got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id int, text string"), "k").first()
     assert got.n_replaced == 10
     assert not any(v in got.text for v in ("555-4081", "190.137.223.204", "4111111111111111", "7946 0958", "10.1.2.3", "219-09-9999", "2024-02-29"))
 
