@@ -34,15 +34,21 @@ class Backoff:
     alpha: float = 0.4
     #: Text bytes of a chunk, about; the number of chunks follows the input.
     chunk: int = 5 << 20
-    #: Parts are 2 ** bits, as many as there are chunks. Up to so many bits a chunk has a row for each part; beyond it rows would be as many as
-    #: the square of the chunks, so grams of about sqrt(chunks) chunks are summed first.
-    one_level_bits: int = 12
+    #: Parts are 2 ** bits, a quarter to half the number of chunks, since each row has a cost of its own. Up to so many bits a chunk has a row for
+    #: each part; beyond it rows would be as many as the square of the chunks, so grams of about sqrt(chunks) chunks are summed first.
+    one_level_bits: int = 10
 
 
 def _column(table, name: str) -> pa.Array:
     return table.column(name).combine_chunks() if isinstance(table, pa.Table) else table.column(name)
 
 
+def _whole(table: pa.Table) -> pa.RecordBatch:
+    """A table as one batch: columns in pieces would be put together, and so copied whole, for each row that is read of them."""
+    batches = table.combine_chunks().to_batches()
+    return batches[0] if batches else pa.RecordBatch.from_pylist([], schema=table.schema)
+
+
 def places(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(last word, key) of each n-gram that does not cross rows, in order."""
     if len(row) < n:
@@ -112,12 +118,12 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array([r[k] for r in rows], pa.binary() if kind == "binary" else pa.int64()) for k, (name, kind) in enumerate(kinds)})
 
 
-def _keys(table: pa.Table, k: int) -> np.ndarray:
+def _keys(table: pa.RecordBatch, k: int) -> np.ndarray:
     """The grams of a packed row, from their part's first on, in order."""
     return np.cumsum(unpacked(_column(table, "keys")[k].as_buffer(), _column(table, "size")[k].as_py()), dtype=np.uint64)
 
 
-def _counts(table: pa.Table, k: int) -> np.ndarray:
+def _counts(table: pa.RecordBatch, k: int) -> np.ndarray:
     return unpacked(_column(table, "counts")[k].as_buffer(), _column(table, "size")[k].as_py()).astype(np.int64)
 
 
@@ -153,6 +159,7 @@ def _exploded(p: Backoff, bits: int):
 
 def _summed(table: pa.Table) -> pa.Table:
     """The count table of a part: its n-grams that occur more than once, over all chunks."""
+    table = _whole(table)
     ns, rows = _column(table, "n").to_numpy(), []
     for n in np.unique(ns):
         mine = np.flatnonzero(ns == n)
@@ -170,6 +177,7 @@ def _summed(table: pa.Table) -> pa.Table:
 
 def _joined(grams: pa.Table, table: pa.Table) -> pa.Table:
     """The exploded n-grams of a part with the counts of the table, in their order; those not in it with their own."""
+    grams, table = _whole(grams), _whole(table)
     totals = {n: (_keys(table, k), _counts(table, k)) for k, n in enumerate(_column(table, "n").to_pylist())} if table.num_rows else {}
     rows = []
     for k, (chunk, n, part, size) in enumerate(zip(*(_column(grams, c).to_pylist() for c in ("chunk", "n", "part", "size")))):
@@ -186,7 +194,7 @@ def _cuts(part: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
 
 
-def _absolute(table: pa.Table, rows: np.ndarray, bits: int) -> list[np.ndarray]:
+def _absolute(table: pa.RecordBatch, rows: np.ndarray, bits: int) -> list[np.ndarray]:
     """The grams of packed rows of parts of so many bits."""
     return [_keys(table, int(k)) + np.uint64(_column(table, "part")[int(k)].as_py() << (BITS - bits)) for k in rows]
 
@@ -196,6 +204,7 @@ def _merged(coarse: int, bits: int):
     the group of chunks."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = _whole(table)
         group, rows = _column(table, "group")[0].as_py(), []
         ns = _column(table, "n").to_numpy()
         for n in np.unique(ns):
@@ -216,6 +225,7 @@ def _spread(coarse: int):
     """Counts of a group's distinct n-grams back to the chunks that have them."""
 
     def run(grams: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = _whole(grams)
         ns, rows = _column(grams, "n").to_numpy(), []
         found = sorted(zip(*(_column(answers, c).to_pylist() for c in ("n", "part", "size", "sums"))))
         for n in np.unique(ns):
@@ -302,7 +312,7 @@ def _parts(docs: DataFrame, p: Backoff) -> tuple[DataFrame, DataFrame, DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = arrow_map(rows.select("text"), _size_map, "bytes long, words long").agg(F.sum("bytes").alias("b"), F.sum("words").alias("w")).first()
     chunks = max(1, -(-(size.b or 0) // p.chunk))
-    bits = max(4, int(chunks).bit_length())
+    bits = max(4, int(chunks).bit_length() - 2)
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")
     dealt = arrow_map(rows.select(chunk.alias("chunk"), "doc_id", "text"), _pack_map, "chunk long, pack binary")
     join = lambda grams, table: grams.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(_joined, JOINED)
@@ -310,6 +320,7 @@ def _parts(docs: DataFrame, p: Backoff) -> tuple[DataFrame, DataFrame, DataFrame
         grams = dealt.groupBy("chunk").applyInArrow(_exploded(p, bits), GRAMS)
         table = grams.groupBy("part").applyInArrow(_summed, TABLE)
         return dealt, table, join(grams, table), size.w or 0, bits
+    bits += 2
     # two levels: a row of a chunk is a coarse part, a row of a group of chunks a fine one; both carry thousands of grams
     coarse = -(-bits // 2)
     grams = dealt.groupBy("chunk").applyInArrow(_exploded(p, coarse), GRAMS).withColumn("group", F.pmod("chunk", F.lit(1 << (bits - coarse))).cast("long"))
@@ -322,11 +333,10 @@ def _parts(docs: DataFrame, p: Backoff) -> tuple[DataFrame, DataFrame, DataFrame
 def _unpack_map(bits_of_part):
     def run(batches):
         for batch in batches:
-            table = pa.Table.from_batches([batch])
             for k in range(batch.num_rows):
-                part, n = _column(table, "part")[k].as_py(), _column(table, "n")[k].as_py()
-                grams = _keys(table, k) + np.uint64(part << bits_of_part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), n), pa.int32()), pa.array(grams.astype(np.int64)), pa.array(_counts(table, k))], ["n", "gram", "count"])
+                part, n = _column(batch, "part")[k].as_py(), _column(batch, "n")[k].as_py()
+                grams = _keys(batch, k) + np.uint64(part << bits_of_part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), n), pa.int32()), pa.array(grams.astype(np.int64)), pa.array(_counts(batch, k))], ["n", "gram", "count"])
 
     return run
 

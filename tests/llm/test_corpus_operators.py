@@ -194,6 +194,19 @@ def test_rows_of_a_chunk_do_not_follow_the_number_of_chunks():
     assert rows[8] <= 3 * 16 and rows[14] <= 3 * 128 and rows[20] <= 3 * 1024
 
 
+def test_rows_of_a_part_are_read_without_copies_of_all(monkeypatch):
+    """A part comes in pieces, with rows of many chunks: its columns are put together once, not for each row."""
+    grams = [ngram_lm._table(ngram_lm.GRAMS, [(0, chunk, n, 2, ngram_lm._steps(np.array([chunk, 1 << 20], np.uint64)), ngram_lm.packed(np.array([1, 2], np.uint64))) for n in (1, 2)]) for chunk in range(300)]
+    part, calls = pa.concat_tables(grams), []
+    assert part.column("keys").num_chunks == 300
+    monkeypatch.setattr(ngram_lm, "_column", lambda t, name, f=ngram_lm._column: calls.append(isinstance(t, pa.Table)) or f(t, name))
+    table = ngram_lm._summed(part)
+    assert [ngram_lm._keys(ngram_lm._whole(table), k).tolist() for k in range(2)] == [[1 << 20]] * 2
+    joined = ngram_lm._joined(part, table)
+    assert {ngram_lm.unpacked(x, 2).tolist()[1] for x in joined.column("sums").to_pylist()} == {600} and joined.num_rows == 600
+    assert sum(calls) < 20
+
+
 def test_the_count_table_is_that_of_the_corpus(documents, db):
     """Grams are hashes: their counts are compared, by order."""
     got = Counter(tuple(r) for r in ngram_lm.count_table(documents, ngram_lm.Backoff(chunk=30_000)).select("n", "count").collect())
