@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,37 @@ def test_pruned_search_of_noise_and_of_equal_vectors(spark):
     same = [(i, [1.0, 2.0]) for i in range(100)]
     found, _ = search.pruned(frame(spark, [(1, [2.0, 4.0])]), frame(spark, same), 4, 100, bank_block=8, cell_rows=9)
     assert sorted(r.bank_id for r in found.collect()) == [0, 1, 2, 3]
+
+
+def test_a_query_goes_once_to_a_pack_whatever_its_blocks(spark, monkeypatch):
+    """Small blocks of one pack are bits of one row: queries do not move once for each block. Counts and neighbours stay those of blocks."""
+    rng = np.random.default_rng(13)
+    both = clustered(rng, 700)
+    bank, queries = ([(i, v.tolist()) for i, v in enumerate(x)] for x in (both[:600], both[600:]))
+    moved, meet = [], search._visited
+    monkeypatch.setattr(search, "_visited", lambda visits, *a: moved.append(visits.groupBy("id").count().agg({"count": "max"}).first()[0] or 0) or meet(visits, *a))
+    found, visits = search.pruned(frame(spark, queries), frame(spark, bank), 5, len(bank), bank_block=200, cell_rows=4)
+    want = brute(queries, bank, 5)
+    for r in found.collect():
+        assert want[r.query_id][r["rank"] - 1][0] == r.bank_id
+    seen = visits.collect()
+    assert max(v.visited for v in seen) > 8 and max(moved) <= 3
+
+
+def test_similarities_are_worked_out_in_bounded_blocks(spark, monkeypatch):
+    """However large a bank and a batch of queries are, a worker holds so many similarities and bounds at a time."""
+    rng = np.random.default_rng(14)
+    bank, queries = rng.normal(size=(700, 6)), rng.normal(size=(300, 6))
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    monkeypatch.setattr(search, "STEP", 128)
+    monkeypatch.setattr(search, "BOUNDS_AT_A_TIME", 2048)
+    sizes, top = [], search._top
+    monkeypatch.setattr(search, "_top", lambda sim, *a: sizes.append(sim.size) or top(sim, *a))
+
+    class Shared:
+        value = (np.arange(700), unit(bank))
+
+    batch = pa.record_batch([pa.array(range(300)), pa.array(queries.tolist())], ["id", "embedding"])
+    got = pa.Table.from_batches(list(search._broadcast_map(Shared, 3, search.Way(True, search.QUERY_BLOCK, search.BANK_BLOCK))([batch])))
+    order = np.argsort(-(unit(queries) @ unit(bank).T), axis=1)[:, :3]
+    assert got.column("bank_id").to_pylist() == order.ravel().tolist() and max(sizes) <= 2048
