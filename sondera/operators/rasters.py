@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import arrow_map
+from ..session import arrow_map, ship
 
 # Falling brightness that tells foreground, and the largest mean error of a match.
 FOREGROUND_LADDER = (32, 24, 16, 12, 8, 4, 2, 1, 0)
@@ -27,10 +27,12 @@ LEAST_FOREGROUND, LEAST_FOREGROUND_SHARE = 64, 0.01
 BRIGHT = 16
 #: Bytes of rasters that a worker has at hand at a time.
 BATCH_BYTES = 32 << 20
+#: Rows that a worker makes at a time, and pixels.
+OUT_ROWS, OUT_PIXELS = 4096, 1 << 16
 
 
 def each_row(df: DataFrame, function: Callable[[dict], Iterator[dict]], schema: str) -> DataFrame:
-    """Rows of a table, each made by a function of one row; batches are worked on a few rows at a time."""
+    """Rows of a table, made by a function of one row; batches are worked on a few rows at a time, and what is made goes on as it comes."""
     kind = StructType.fromDDL(schema)
     fields = kind.names
 
@@ -38,11 +40,20 @@ def each_row(df: DataFrame, function: Callable[[dict], Iterator[dict]], schema:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(kind)
+        table = lambda out: pa.RecordBatch.from_pydict({f: [r[f] for r in out] for f in fields}, schema=arrow)
         for batch in batches:
-            step = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+            step = max(1, min(OUT_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
-                out = [r for row in batch.slice(at, step).to_pylist() for r in function(row)]
-                yield pa.RecordBatch.from_pydict({f: [r[f] for r in out] for f in fields}, schema=arrow)
+                out, size = [], 0
+                for row in batch.slice(at, step).to_pylist():
+                    for r in function(row):
+                        out.append(r)
+                        size += sum(len(x) for x in r.values() if isinstance(x, bytes))
+                        if len(out) >= OUT_ROWS or size >= BATCH_BYTES:
+                            yield table(out)
+                            out, size = [], 0
+                if out:
+                    yield table(out)
 
     return arrow_map(df, run, schema)
 
@@ -78,6 +89,7 @@ def pack(pixels: DataFrame, image: str, height: int, width: int, values: list[st
         out = {image: [table.column(image)[0].as_py()]} | {k: [x] for k, x in packed(a).items()}
         return pa.table({image: pa.array(out[image], table.schema.field(image).type), "height": pa.array(out["height"], pa.int32()), "width": pa.array(out["width"], pa.int32()), "channels": pa.array(out["channels"], pa.int32()), "data": pa.array(out["data"], pa.binary())})
 
+    ship(pixels.sparkSession)
     return pixels.select(image, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *[F.col(c).cast("int").alias(c) for c in values]).groupBy(image).applyInArrow(one, f"{image} {kind}, {RASTER}")
 
 
@@ -174,14 +186,26 @@ def expand_masks(masks: DataFrame, image: str, closing: float, dilation: float,
 def pixels_of(rasters: DataFrame, image: str) -> DataFrame:
     """(image, row, col, value) of the first channel of each raster; none of those without data."""
 
-    def one(row):
-        if row["data"] is not None:
-            a = raster(row)[:, :, 0]
-            for y in range(a.shape[0]):
-                for x in range(a.shape[1]):
-                    yield {image: row[image], "row": y, "col": x, "value": int(a[y, x])}
+    schema, name = f"{image} {dict(rasters.dtypes)[image]}, row int, col int, value int", image
+    kind = StructType.fromDDL(schema)
 
-    return each_row(rasters.select(image, "height", "width", "data"), one, f"{image} {dict(rasters.dtypes)[image]}, row int, col int, value int")
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(kind)
+        for batch in batches:
+            batch = batch.filter(batch.column("data").is_valid())
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                a = raster(one.to_pylist()[0])[:, :, 0]
+                step = max(1, OUT_PIXELS // max(1, a.shape[1]))
+                for top in range(0, a.shape[0], step):
+                    part = a[top : top + step]
+                    row, col = np.indices(part.shape, np.int32)
+                    key = one.column(name).take(pa.array(np.zeros(part.size, np.int64)))
+                    yield pa.RecordBatch.from_arrays([key, pa.array((row + np.int32(top)).ravel()), pa.array(col.ravel()), pa.array(part.ravel().astype(np.int32))], schema=arrow)
+
+    return arrow_map(rasters.select(image, "height", "width", "data"), run, schema)
 
 
 # ---------------------------------------------------------------- resampling

@@ -1,6 +1,7 @@
 """Packed rasters: masks, resampling, templates and semantic crops."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sondera.operators import rasters
@@ -169,3 +170,23 @@ def test_cache_goes_on_quarantines_and_refuses_other_settings(spark, tmp_path):
     assert "do not give" in done[3].reason and "does not match" in done[4].reason and done[3].grid is done[4].grid is None
     with pytest.raises(ValueError, match="grid_size"):
         caches.update(spark, path, pairs, "k", settings | {"grid_size": 14}, work)
+
+
+def test_what_is_made_of_rasters_goes_on_in_small_batches(spark, monkeypatch):
+    """A worker holds so many rows or pixels at a time, whatever is made of a batch."""
+    from sondera.operators import rasters
+
+    maps = []
+    monkeypatch.setattr(rasters, "arrow_map", lambda df, run, schema: maps.append(run))
+    monkeypatch.setattr(rasters, "OUT_PIXELS", 50)
+    monkeypatch.setattr(rasters, "OUT_ROWS", 16)
+    a = np.arange(12 * 10, dtype=np.uint8).reshape(12, 10)
+    rows = spark.createDataFrame([("a", 12, 10, a.tobytes()), ("b", 12, 10, None)], "k string, height int, width int, data binary")
+    rasters.pixels_of(rows, "k")
+    rasters.each_row(rows, lambda r: ({"k": r["k"], "n": n} for n in range(100)), "k string, n int")
+    batch = pa.Table.from_pylist([r.asDict() for r in rows.collect()], pa.schema([("k", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary())])).to_batches()[0]
+    pixels, each = (list(run([batch])) for run in maps)
+    assert max(b.num_rows for b in pixels) <= 50 and max(b.num_rows for b in each) <= 16
+    got = pa.Table.from_batches(pixels).to_pylist()
+    assert [(r["k"], r["value"]) for r in got] == [("a", int(x)) for x in a.ravel()] and all(a[r["row"], r["col"]] == r["value"] for r in got)
+    assert sum(b.num_rows for b in each) == 200
