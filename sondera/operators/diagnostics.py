@@ -13,8 +13,8 @@ from ..functions import vectors
 from ..session import arrow_map, materialise
 from .search import _matrix
 
-#: Rows that meet in a block of a quadratic diagnostic.
-BLOCK = 2048
+#: Rows of a block of a quadratic diagnostic: what moves is the square of the rows by this. Distances are worked out so many rows at a time.
+BLOCK, STEP = 8192, 1024
 
 
 def _mean(column: str) -> Column:
@@ -95,14 +95,17 @@ def _euclidean_map(batches):
             get = lambda c: batch.column(batch.schema.get_field_index(c))[k].as_py()  # noqa: B023, E731
             (ia, la, a), (_, lb, b) = (pa.ipc.open_stream(get(c)).read_all().combine_chunks().columns for c in ("pack", "other"))
             a, b = _matrix(a), _matrix(b)
-            far = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
-            # the distance of a row to itself is 0, whatever its rounding
-            if get("block") == get("block_b"):
-                np.fill_diagonal(far, 0)
             names, lb = np.unique(lb.to_numpy(), return_inverse=True)
-            sums = np.zeros((len(a), len(names)))
-            for j in range(len(names)):
-                sums[:, j] = far[:, lb == j].sum(1)
+            sums, same = np.zeros((len(a), len(names))), get("block") == get("block_b")
+            for s, t in ((s, t) for s in range(0, len(a), STEP) for t in range(0, len(b), STEP)):
+                p, q = a[s : s + STEP], b[t : t + STEP]
+                far = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T, 0))
+                # the distance of a row to itself is 0, whatever its rounding
+                if same and s == t:
+                    np.fill_diagonal(far, 0)
+                of = lb[t : t + STEP]
+                for j in np.unique(of):
+                    sums[s : s + STEP, j] += far[:, of == j].sum(1)
             n, m = len(a), len(names)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ia.to_numpy(), m)), pa.array(np.repeat(la.to_numpy(), m)), pa.array(np.tile(names, n)), pa.array(sums.reshape(-1))], ["id", "li", "lj", "total"])
 

@@ -171,3 +171,24 @@ def test_similarities_are_worked_out_in_bounded_blocks(spark, monkeypatch):
     got = pa.Table.from_batches(list(search._broadcast_map(Shared, 3, search.Way(True, search.QUERY_BLOCK, search.BANK_BLOCK))([batch])))
     order = np.argsort(-(unit(queries) @ unit(bank).T), axis=1)[:, :3]
     assert got.column("bank_id").to_pylist() == order.ravel().tolist() and max(sizes) <= 2048
+
+
+def test_distances_of_a_block_are_worked_out_in_steps(monkeypatch):
+    """Blocks are large, so that few pairs move; a worker still holds a step's distances at a time."""
+    from sondera.operators import diagnostics
+
+    monkeypatch.setattr(diagnostics, "STEP", 16)
+    shapes, root = [], np.sqrt
+    monkeypatch.setattr(np, "sqrt", lambda x: shapes.append(x.shape) or root(x))
+    rng = np.random.default_rng(15)
+    v, label = rng.normal(size=(50, 3)), rng.integers(3, size=50)
+    sink = pa.BufferOutputStream()
+    rows = pa.table({"id": pa.array(range(50)), "label": pa.array(label), "vector": pa.array(v.tolist())})
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    pack = sink.getvalue().to_pybytes()
+    batch = pa.record_batch({"block": [0], "pack": [pack], "block_b": [0], "other": [pack]})
+    got = {(r["id"], r["lj"]): r["total"] for b in diagnostics._euclidean_map([batch]) for r in b.to_pylist()}
+    far = root(((v[:, None] - v[None]) ** 2).sum(-1))
+    assert all(abs(got[i, j] - far[i, label == j].sum()) < 1e-9 for i in range(50) for j in range(3))
+    assert max(map(max, shapes)) <= 16
