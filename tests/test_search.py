@@ -173,6 +173,35 @@ def test_similarities_are_worked_out_in_bounded_blocks(spark, monkeypatch):
     assert got.column("bank_id").to_pylist() == order.ravel().tolist() and max(sizes) <= 2048
 
 
+def test_a_bank_passes_by_in_batches(spark, monkeypatch):
+    """Beyond a few rows no worker holds the bank, of which only a step meets queries at a time; equal vectors rank by id."""
+    rng = np.random.default_rng(16)
+    bank = [(i, v.tolist()) for i, v in enumerate(rng.integers(-1, 2, size=(500, 4)) + np.array([0, 0, 0, 3.0]))]
+    queries = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))] + [(900, bank[0][1])]
+    monkeypatch.setattr(search, "HELD_BYTES", 0)
+    monkeypatch.setattr(search, "_broadcast_map", None)
+    got = {}
+    for r in search.nearest(frame(spark, queries), frame(spark, bank), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.bank_id, r.similarity))
+    want = brute(queries, bank, 20)
+    assert got.keys() == want.keys()
+    for q in want:
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], atol=1e-12)
+    first = [b for b, s in got[900] if s > 1 - 1e-12]
+    assert len(first) > 2 and first == sorted(first)
+
+    monkeypatch.setattr(search, "STEP", 32)
+    monkeypatch.setattr(search, "BOUNDS_AT_A_TIME", 512)
+    sizes, better = [], search._Lot._better
+    monkeypatch.setattr(search._Lot, "_better", lambda lot, s, ids, sim: sizes.append(sim.size) or better(lot, s, ids, sim))
+    rows = [{"pack": p, "lot": 0, "side": side, "id": i, "embedding": v, "least": -2.0, "blocks": None, "block": 0} for p in range(2) for side, x in enumerate((queries, bank)) for i, v in x]
+    schema = pa.schema([("pack", pa.int64()), ("lot", pa.int64()), ("side", pa.int32()), ("id", pa.int64()), ("embedding", pa.list_(pa.float64())), ("least", pa.float64()), ("blocks", pa.binary()), ("block", pa.int64())])
+    found = pa.Table.from_batches(search._meet_map(20)(pa.Table.from_pylist(rows, schema).to_batches(70))).to_pylist()
+    assert len(found) == 2 * 20 * len(queries) and max(sizes) <= 512
+    for n, r in enumerate(found):
+        assert abs(r["similarity"] - want[r["query_id"]][r["rank"] - 1][1]) < 1e-12
+
+
 def test_distances_of_a_block_are_worked_out_in_steps(monkeypatch):
     """Blocks are large, so that few pairs move; a worker still holds a step's distances at a time."""
     from sondera.operators import diagnostics
