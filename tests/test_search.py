@@ -202,6 +202,18 @@ def test_a_bank_passes_by_in_batches(spark, monkeypatch):
         assert abs(r["similarity"] - want[r["query_id"]][r["rank"] - 1][1]) < 1e-12
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_first_blocks_are_picked_without_sorting_all(monkeypatch, k):
+    rng = np.random.default_rng(17)
+    rows, bound = rng.integers(1, 4, size=90), rng.integers(12, size=(40, 90)) / 12
+    order = np.argsort(-bound, axis=1, kind="stable")
+    held = np.cumsum(rows[order], axis=1) - rows[order]
+    want = [{int(b) for b, h in zip(*x) if h < k} for x in zip(order, held)]
+    monkeypatch.setattr(np, "argsort", None)
+    got = search.Index(None, None, None, rows, None, None).first(bound, k)
+    assert [set(np.flatnonzero(x).tolist()) for x in got] == want
+
+
 def test_distances_of_a_block_are_worked_out_in_steps(monkeypatch):
     """Blocks are large, so that few pairs move; a worker still holds a step's distances at a time."""
     from sondera.operators import diagnostics
